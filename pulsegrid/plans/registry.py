@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import campaign_plans, profile_plans
+from pulsegrid.plans import audience_plans, campaign_plans, profile_plans
 
-MODULES = (profile_plans, campaign_plans)
+MODULES = (profile_plans, campaign_plans, audience_plans)
 
 
 def queries() -> dict:

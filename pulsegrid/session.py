@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pools hold up to 200,000 rows; above this limit Spark would not cut groups before a shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "200000",
 }
 
 

@@ -61,7 +61,8 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.001"
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                         "spark.driver.memory": "8g"})
+                                         "spark.driver.memory": "8g",
+                                         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     oracles, failed = entry.oracle_sql(), 0
     for name, query in entry.queries().items():
