@@ -126,7 +126,7 @@ def excluded_senders(sends: DataFrame, campaigns: DataFrame, requests: DataFrame
     """
     wanted = requests.select(F.explode("exclude_campaign_ids").alias("external_id")).distinct()
     ids = campaigns.join(wanted, "external_id", "left_semi").select(F.col("id").alias("campaign_id"), "external_id")
-    got = sends.select("customer_id", "campaign_id").distinct().join(ids, "campaign_id")
+    got = sends.select("customer_id", "campaign_id").join(ids, "campaign_id")
     return got.groupBy("customer_id").agg(F.collect_set("external_id").alias("sent_campaigns"))
 
 
