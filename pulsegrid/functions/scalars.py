@@ -176,5 +176,10 @@ def trend_label(current: Column, prior: Column) -> Column:
     return F.when(current > prior, "rising").when(current < prior, "declining").otherwise("stable")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` evaluated once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def joined(array: Column) -> Column:
     return F.array_join(array, " | ")

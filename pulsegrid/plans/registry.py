@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import audience_plans, campaign_plans, predict_plans, profile_plans
+from pulsegrid.plans import audience_plans, campaign_plans, narrative_plans, predict_plans, profile_plans
 
-MODULES = (profile_plans, campaign_plans, audience_plans, predict_plans)
+MODULES = (profile_plans, campaign_plans, audience_plans, predict_plans, narrative_plans)
 
 
 def queries() -> dict:
