@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import audience_plans, campaign_plans, narrative_plans, predict_plans, profile_plans
+from pulsegrid.plans import (
+    audience_plans,
+    campaign_plans,
+    ingest_plans,
+    log_plans,
+    narrative_plans,
+    predict_plans,
+    profile_plans,
+)
 
-MODULES = (profile_plans, campaign_plans, audience_plans, predict_plans, narrative_plans)
+MODULES = (
+    ingest_plans, profile_plans, campaign_plans, audience_plans, predict_plans, narrative_plans, log_plans,
+)
 
 
 def queries() -> dict:
