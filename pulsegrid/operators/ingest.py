@@ -125,9 +125,9 @@ def dedup_events(items: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def accepted_events(outcomes: DataFrame, received_at) -> DataFrame:
-    """Accepted items as pending rows of the events table."""
-    extra = [c for c in ("request_id",) if c in outcomes.columns]
+def accepted_events(outcomes: DataFrame, received_at, *keep: str) -> DataFrame:
+    """Accepted items as pending rows of the events table; ``keep`` names columns to carry along."""
+    extra = [*keep, *[c for c in ("request_id",) if c in outcomes.columns]]
     return outcomes.where(F.col("outcome") == "accepted").select(
         "event_id", F.col("customer_key").alias("customer_id"), F.col("campaign_key").alias("campaign_id"), "channel",
         "type", F.col("occurred").alias("occurred_at"), S.as_ts(received_at).alias("received_at"), "payload",

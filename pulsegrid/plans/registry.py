@@ -10,10 +10,12 @@ from pulsegrid.plans import (
     narrative_plans,
     predict_plans,
     profile_plans,
+    stream_plans,
 )
 
 MODULES = (
     ingest_plans, profile_plans, campaign_plans, audience_plans, predict_plans, narrative_plans, log_plans,
+    stream_plans,
 )
 
 
