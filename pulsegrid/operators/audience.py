@@ -7,6 +7,7 @@ steps after it (weights, caps, reasons) see at most 200,000 rows per request.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,17 +146,33 @@ def _base(customers: DataFrame, profiles: DataFrame, excluded: DataFrame) -> Dat
     )
 
 
-def _passes(requests: DataFrame) -> list[DataFrame]:
-    """The request table in broadcastable parts; its size is checked, not assumed."""
-    n = requests.count()
-    if n <= REQUESTS_PER_PASS:
+@dataclass(frozen=True)
+class RequestShape:
+    """How many requests there are and how large the largest is: checked, not assumed."""
+
+    count: int
+    max_size: int
+
+    @classmethod
+    def of(cls, requests: DataFrame) -> RequestShape:
+        row = requests.agg(F.count("*").alias("n"), F.max("size").alias("m")).first()
+        return cls(row.n, int(row.m or 1))
+
+    @property
+    def max_pool(self) -> int:
+        return min(self.max_size * V.POOL_MULTIPLIER, V.POOL_CEILING)
+
+
+def _passes(requests: DataFrame, count: int) -> list[DataFrame]:
+    """The request table in parts small enough to broadcast."""
+    if count <= REQUESTS_PER_PASS:
         return [requests]
-    parts = -(-n // REQUESTS_PER_PASS) * 2
+    parts = -(-count // REQUESTS_PER_PASS) * 2
     return [requests.where(F.pmod(F.xxhash64("request_id"), F.lit(parts)) == p) for p in range(parts)]
 
 
 def audience_prefilter(customers: DataFrame, profiles: DataFrame, sends: DataFrame, campaigns: DataFrame,
-                       requests: DataFrame, as_of) -> DataFrame:
+                       requests: DataFrame, as_of, shape: RequestShape | None = None) -> DataFrame:
     """Every (request, customer) that passes the request's conditions.
 
     The join is an equi-join on the preferred channel: a request lists the channels it
@@ -179,20 +196,16 @@ def audience_prefilter(customers: DataFrame, profiles: DataFrame, sends: DataFra
         & (F.col("since").isNull() | (F.col("last_event_at") >= F.col("since")))
         & ~F.arrays_overlap("sent_campaigns", "excluded")
     )
-    found = [base.join(F.broadcast(part), "preferred_channel").where(keep) for part in _passes(asked)]
+    # A request has at most six rows here.
+    parts = _passes(asked, (shape or RequestShape.of(requests)).count)
+    found = [base.join(F.broadcast(part), "preferred_channel").where(keep) for part in parts]
     return reduce(DataFrame.unionByName, found).drop("floor", "since", "excluded", "sent_campaigns")
 
 
-def _largest(requests: DataFrame, what: Column) -> int:
-    """Largest bound among the requests; a literal bound lets Spark cut groups before the shuffle."""
-    row = requests.agg(F.max(what).alias("m")).first()
-    return int(row.m or 1)
-
-
 def _cut(df: DataFrame, score: str, limit: Column, bound: int, rank: str) -> DataFrame:
     """Best ``limit`` rows per request with their rank; no request's limit exceeds ``bound``.
 
-    Three fan-ins: each task cuts its own rows, then each (request, bucket of customers) is
+    ``bound`` is a literal, which lets Spark cut groups before a shuffle. Three fan-ins: each task cuts its own rows, then each (request, bucket of customers) is
     cut, then the request. The last task sorts at most 64 x ``bound`` rows however many match.
     """
     order = [F.col(score).desc(), F.col("customer_id").asc()]
@@ -207,10 +220,10 @@ def _cut(df: DataFrame, score: str, limit: Column, bound: int, rank: str) -> Dat
     return ranked.where(F.col(rank) <= bound).where(F.col(rank) <= limit)
 
 
-def candidate_pool(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+def candidate_pool(candidates: DataFrame, shape: RequestShape) -> DataFrame:
     """Best ``10 x size`` by stored score per request, with the number considered."""
     limit = pool_limit(F.col("size"))
-    pooled = _cut(candidates, "raw_score", limit, _largest(requests, limit), "_pos").drop("_pos")
+    pooled = _cut(candidates, "raw_score", limit, shape.max_pool, "_pos").drop("_pos")
     return pooled.withColumn("considered", F.count("*").over(Window.partitionBy("request_id"))).withColumn(
         "truncated", F.col("considered") == limit
     )
@@ -280,14 +293,15 @@ def ranked_pool(requests: DataFrame, customers: DataFrame, profiles: DataFrame,
     2 x size that the next steps can use.
     """
     valid = validate_audience_requests(requests).where(F.col("error").isNull())
-    found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of)
+    shape = RequestShape.of(valid)
+    found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape)
     reserve = F.col("size") * 2
     if exact:
         counts = found.groupBy("request_id").agg(F.count("*").alias("considered"))
-        best = _cut(_weighted(found, as_of), "weighted", reserve, _largest(valid, reserve), "rank")
+        best = _cut(_weighted(found, as_of), "weighted", reserve, 2 * shape.max_size, "rank")
         return best.join(counts, "request_id").withColumn("truncated", F.lit(False))
     order = Window.partitionBy("request_id").orderBy(F.col("weighted").desc(), F.col("customer_id").asc())
-    pool = _weighted(candidate_pool(found, valid), as_of)
+    pool = _weighted(candidate_pool(found, shape), as_of)
     return pool.withColumn("rank", F.row_number().over(order))
 
 

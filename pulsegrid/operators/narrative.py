@@ -233,8 +233,8 @@ def fact_numbers(facts: Column) -> Column:
 def unsupported_literals(texts: Column, numbers: Column) -> Column:
     """Cited numbers that are neither in the facts nor there as a percentage or fraction."""
     def known(literal: Column, allowed: Column) -> Column:
-        return S.let(literal.try_cast("double"), lambda n: F.exists(
-            allowed, lambda f: (f == n) | (f == n / 100) | (f == n * 100)))
+        n = literal.try_cast("double")
+        return F.array_contains(allowed, n) | F.array_contains(allowed, n / 100) | F.array_contains(allowed, n * 100)
 
     cited = F.flatten(F.transform(texts, number_literals))
     return S.let(numbers, lambda allowed: F.filter(cited, lambda lit: ~known(lit, allowed)))
@@ -276,6 +276,11 @@ def _cited(bad: Column) -> Column:
     return F.concat(F.lit("ai: cited number "), F.get(bad, F.lit(0)), F.lit(" not present in facts"))
 
 
+def _known_numbers(outputs: DataFrame) -> Column:
+    """Stored with the facts when many outputs share a document, else collected here."""
+    return F.col("fact_numbers") if "fact_numbers" in outputs.columns else fact_numbers(F.col("facts"))
+
+
 def validate_analyses(outputs: DataFrame) -> DataFrame:
     """Adds ``error`` to rows of (raw, facts): the first broken rule, NULL when valid."""
     v = F.col("_v")
@@ -298,7 +303,7 @@ def validate_analyses(outputs: DataFrame) -> DataFrame:
     ])
     return (
         outputs.withColumn("_v", F.try_parse_json(strip_to_json(F.col("raw"))))
-        .withColumn("_bad", unsupported_literals(texts, fact_numbers(F.col("facts"))))
+        .withColumn("_bad", unsupported_literals(texts, _known_numbers(outputs)))
         .withColumn("error", F.when(v.isNull() | ~shape, "ai: malformed analysis JSON")
                     .when(_blank(summary), "ai: analysis missing summary")
                     .when(missing, "ai: analysis missing strengths/weaknesses/anomalies arrays")
@@ -342,7 +347,7 @@ def validate_recommendations(outputs: DataFrame) -> DataFrame:
     shape = (whole.startswith("OBJECT") | (whole == "VOID")) & (listed.startswith("ARRAY") | (listed == "VOID"))
     return (
         outputs.withColumn("_v", F.try_parse_json(strip_to_json(F.col("raw"))))
-        .withColumn("_nums", fact_numbers(F.col("facts")))
+        .withColumn("_nums", _known_numbers(outputs))
         .withColumn("_e", entries)
         .withColumn("_p", F.array_compact(F.transform("_e", problem)))
         .withColumn("error", F.when(v.isNull() | ~shape | ~F.forall("_e", well_formed),

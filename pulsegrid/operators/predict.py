@@ -558,6 +558,8 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
         F.zip_with("pa", "s", lambda p, s: p + s).alias("a"),
         F.zip_with("pb", F.zip_with("n", "s", lambda n, s: n - s), lambda p, f: p + f).alias("b"),
     )
+    # Few bytes but much work per row: as many tasks as cores, which Spark would else merge.
+    vectors = vectors.repartition(spark.sparkContext.defaultParallelism)
     sim, names = F.col("_sim"), F.array(*[F.lit(c) for c in V.CHANNELS])
 
     def finish(channel: Column, i: Column) -> Column:

@@ -32,11 +32,11 @@ def a2_audience_prefilter(spark, sf):
 
 
 def a3_candidate_pool(spark, sf):
-    return flat(A.candidate_pool(_prefiltered(spark, sf), _valid(spark, sf)), "request_id", "customer_id", "considered", "truncated")
+    return flat(A.candidate_pool(_prefiltered(spark, sf), A.RequestShape.of(_valid(spark, sf))), "request_id", "customer_id", "considered", "truncated")
 
 
 def a4_objective_score(spark, sf):
-    pool = A.candidate_pool(_prefiltered(spark, sf), _valid(spark, sf))
+    pool = A.candidate_pool(_prefiltered(spark, sf), A.RequestShape.of(_valid(spark, sf)))
     score = A.objective_score(
         F.col("objective"), F.col("raw_score"), F.col("conversions"), F.col("positive_events"),
         F.col("last_event_at"), X.as_of())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,35 +21,31 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         return X.customers(self.spark, self.dir)
 
-    @property
+    @cached_property
     def campaigns(self) -> DataFrame:
         return X.campaigns(self.spark)
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         return X.events(self.spark, self.dir)
 
-    @property
+    @cached_property
     def daily(self) -> DataFrame:
         return campaign_daily(self.events, AS_OF)
 
-    @property
+    @cached_property
     def sends(self) -> DataFrame:
         return derive_sends(self.events, AS_OF)
 
-    @property
+    @cached_property
     def profiles(self) -> DataFrame:
         return build_profiles(self.events, AS_OF)
 
 
-def micros(name: str) -> Column:
-    return F.coalesce(F.unix_micros(name), F.lit(-1).cast("long")).alias(name)
-
-
 def flat(df: DataFrame, *names: str) -> DataFrame:
     """Strings, longs and doubles only, without NULL: the common ground of both engines."""
     cols = []

@@ -9,6 +9,7 @@ from pulsegrid.operators import campaigns as K
 from pulsegrid.operators import narrative as N
 from pulsegrid.plans.base import EVD, Tables, flat, sql
 from pulsegrid.plans.campaign_plans import METRICS
+from pulsegrid.session import spread
 from pulsegrid.sources import fixture as X
 
 
@@ -60,11 +61,12 @@ def _outputs(spark, sf, analysis: bool):
     """One model output per event: the rule narrative of a campaign, edited in eight ways."""
     f = _facts(spark, sf)
     facts = f.select("campaign_id", N.facts_json(f).alias("facts"))
+    facts = facts.withColumn("fact_numbers", N.fact_numbers(F.col("facts")))
     if analysis:
         body = N.rule_analysis(f)
     else:
         body = N.rule_recommendations(f)
-    e = X.raw(spark, sf, "events").select(
+    e = spread(X.raw(spark, sf, "events")).select(
         F.col("event_id").alias("output_id"), (F.col("event_id") % 20).alias("campaign_id"),
         (F.col("event_id") % 8).alias("edit"),
         X.pick(["model-a", "model-b", V.RULE_PROVIDER], F.col("event_id")).alias("provider"),
@@ -92,7 +94,7 @@ def _outputs(spark, sf, analysis: bool):
         .when(edit == 2, F.concat(F.lit("Here it is: "), doc, F.lit(" Done.")))
         .when(edit == 3, "no JSON at all").otherwise(doc)
     )
-    return j.select("output_id", "provider", raw.alias("raw"), "facts")
+    return j.select("output_id", "provider", raw.alias("raw"), "facts", "fact_numbers")
 
 
 def n7_validate_analyses(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,13 +18,19 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "200000",
 }
 
+# Static: only a session built here has them.
+STATIC_SETTINGS = {
+    # No stack trace per Column call; building a long plan takes half the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(master: str | None = None, app: str = "pulsegrid", **extra: str) -> SparkSession:
     """A session with the required settings; on a cluster leave ``master`` out."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -36,6 +42,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread for work that is heavy per row.
+
+    Large inputs have more splits than that and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a local one only where the cluster names none."""
     sc = spark.sparkContext
