@@ -91,21 +91,25 @@ def platform_cells(daily: DataFrame, campaigns: DataFrame, as_of) -> DataFrame:
 
 def platform_evidence(wanted: DataFrame, daily: DataFrame, campaigns: DataFrame, as_of) -> DataFrame:
     """Evidence per distinct (objective, lookback) and channel; the vocabulary bounds it."""
-    cells = platform_cells(daily, campaigns, as_of)
+    asked = wanted.select(*KEY).distinct()
+    windows = asked.agg(F.collect_set("lookback_days").alias("w")).scalar()
+    within = (
+        platform_cells(daily, campaigns, as_of).withColumn("_w", windows)
+        .withColumn("lookback_days", F.explode(F.filter("_w", lambda n: n >= F.col("age"))))
+        .groupBy("of", "channel", "lookback_days").agg(*[F.sum(t).alias(t) for t in V.EVENT_TYPES])
+    )
     spine = (
-        wanted.select(*KEY).distinct()
-        .withColumn("channel", F.explode(F.array(*[F.lit(c) for c in V.CHANNELS])))
+        asked.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in V.CHANNELS])))
         .withColumn("_s", S.success_event(F.col("objective")))
     )
     own = F.col("of") == F.col("objective")
-    inside = F.col("age") <= F.col("lookback_days")
     success = _success(F.col("_s"))
 
     def total(value: Column, cond: Column | None = None) -> Column:
-        picked = F.when(inside if cond is None else inside & cond, value)
-        return F.coalesce(F.sum(picked), F.lit(0).cast("long"))
+        return F.coalesce(F.sum(value if cond is None else F.when(cond, value)), F.lit(0).cast("long"))
 
-    return spine.join(cells, "channel", "left").groupBy(*KEY, "channel").agg(
+    # One row per objective on the other side: five per (channel, window).
+    return spine.join(within, ["channel", "lookback_days"], "left").groupBy(*KEY, "channel").agg(
         total(success, own).alias("objective_successes"), total(F.col("delivered"), own).alias("objective_delivered"),
         total(success, ~own).alias("other_successes"), total(F.col("delivered"), ~own).alias("other_delivered"),
         total(F.col("sent")).alias("sent"), total(F.col("bounced")).alias("bounced"),
@@ -164,8 +168,9 @@ def audience_evidence(requests: DataFrame, rollup: DataFrame, profiles: DataFram
     """Responses per (request, channel) of each audience, with the audience's size.
 
     Score floors, activity limits and windows are thresholds, so a customer is placed once
-    among the sorted thresholds of all requests and counts are kept per place. Every request
-    then sums places, and the data is read once however many audiences are asked for.
+    among the sorted thresholds of all requests and counts are kept per place. The counts are
+    then accumulated along each axis, so a request looks up one place: the data is read once
+    however many audiences are asked for, and no request meets all places.
     """
     now = S.as_ts(as_of)
     aud = requests.where(F.col("scope") == "audience").select(
@@ -199,22 +204,35 @@ def audience_evidence(requests: DataFrame, rollup: DataFrame, profiles: DataFram
         .select("i", "j", place("window", lambda n: n < F.col("age")).alias("w"), "channel", "delivered",
                 *SUCCESS_TYPES)
     )
-    places = sizes.unionByName(seen).groupBy("i", "j", "w", "channel").agg(
-        *[F.sum(t).alias(t) for t in ("delivered", *SUCCESS_TYPES)]
-    )
+    measures = ("delivered", *SUCCESS_TYPES)
+
+    def accumulate(df: DataFrame, axis: str, reach: Column) -> DataFrame:
+        """Counts along one axis for every threshold a place satisfies, not per request."""
+        keys = [k for k in ("i", "j", "w", "channel") if k != axis]
+        return df.select(*keys, F.explode(reach).alias(axis), *measures).groupBy(*keys, axis).agg(
+            *[F.sum(t).alias(t) for t in measures])
+
+    def upward(axis: str, over: str) -> Column:
+        below = F.size(F.col(f"_t.{over}"))
+        return F.when(F.col(axis) < below, F.sequence(F.col(axis) + 1, below)).otherwise(F.array().cast("array<int>"))
+
+    places = sizes.unionByName(seen).groupBy("i", "j", "w", "channel").agg(*[F.sum(t).alias(t) for t in measures])
+    places = accumulate(places.withColumn("_t", bounds), "w", upward("w", "window"))
+    places = accumulate(places.withColumn("_t", bounds), "j", upward("j", "limit_days"))
+    places = accumulate(places.where(F.col("i") > 0), "i", F.sequence(F.lit(1), F.col("i")))
     placed = aud.withColumn("_t", bounds).select(
         "request_id", "success_event",
-        F.array_position("_t.floor", F.col("floor")).alias("fi"),
-        F.array_position("_t.limit_days", F.col("limit_days")).alias("fj"),
-        F.array_position("_t.window", F.col("window")).alias("fw"),
+        F.array_position("_t.floor", F.col("floor")).cast("int").alias("i"),
+        F.array_position("_t.limit_days", F.col("limit_days")).cast("int").alias("j"),
+        F.array_position("_t.window", F.col("window")).cast("int").alias("w"),
         F.explode(F.array(*[F.lit(c) for c in ("", *V.CHANNELS)])).alias("channel"),
     )
-    inside = (F.col("i") >= F.col("fi")) & (F.col("j") < F.col("fj")) & (F.col("w") < F.col("fw"))
 
     def total(channel: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(inside & (F.col("channel") == channel), value)), F.lit(0).cast("long"))
+        return F.coalesce(F.sum(F.when(F.col("channel") == channel, value)), F.lit(0).cast("long"))
 
-    wide = placed.join(places, "channel", "left").groupBy("request_id").agg(
+    # Every request meets one place per channel.
+    wide = placed.join(places, ["i", "j", "w", "channel"], "left").groupBy("request_id").agg(
         total("", F.col("delivered")).alias("audience_size"),
         *[F.struct(F.lit(c).alias("channel"), total(c, _success(F.col("success_event"))).alias("target_successes"),
                    total(c, F.col("delivered")).alias("target_delivered")).alias(f"_{c}") for c in V.CHANNELS],

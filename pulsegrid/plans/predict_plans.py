@@ -83,12 +83,30 @@ def b15_predict_all_customers(spark, sf):
     return flat(B.predict_all_customers(t.customers, t.events, t.daily, t.campaigns, AS_OF))
 
 
+def b15_predict_channels_fixed_part(spark, sf):
+    """What does not depend on the draws: rates, evidence, risks, reasons, audience size."""
+    t = Tables(spark, sf)
+    out = B.predict_channels(
+        X.prediction_requests(spark, sf), t.events, t.profiles, t.customers, t.daily, t.campaigns, AS_OF)
+    return flat(out, "request_id", "scope", "success_event", "channel", "predicted_rate", "low_data", "opt_out_rate",
+                "bounce_rate", "objective_delivered", "objective_successes", "other_delivered", "other_successes",
+                "target_delivered", "target_successes", "reasons", "lookback_days", "audience_size")
+
+
+def b15_predict_all_customers_rates(spark, sf):
+    """Rate of the best channel of every customer and objective."""
+    t = Tables(spark, sf)
+    out = B.predict_all_customers(t.customers, t.events, t.daily, t.campaigns, AS_OF)
+    return flat(out, "customer_id", "objective", "predicted_rate")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         b1_normalize_prediction_requests, b3_platform_evidence, b4_audience_evidence, b5_customer_evidence,
         b7_platform_mean, b8_posteriors, b9_simulate, b11_risk_rates, b12_rank_channels, b13_prediction_reasons,
-        b14_prediction_advice, b15_predict_channels, b15_predict_all_customers,
+        b14_prediction_advice, b15_predict_channels, b15_predict_channels_fixed_part, b15_predict_all_customers,
+        b15_predict_all_customers_rates,
     )
 }
 
@@ -168,6 +186,51 @@ risk AS (
 
 _P = (*EVP, PREQ)
 
+_REASONS = """concat_ws(' | ',
+          CASE WHEN on_ > 0 THEN printf('%.1f%% %s rate over %s deliveries in %s campaigns (last %dd)',
+              os::DOUBLE / on_ * 100, success, format('{:,}', on_), objective, lookback)
+            WHEN xn > 0 THEN printf('no %s-campaign history; estimate borrows %.1f%% from %s deliveries on other objectives',
+              objective, xs::DOUBLE / xn * 100, format('{:,}', xn))
+            ELSE 'no history on this channel; estimate is the platform average' END,
+          CASE WHEN scope = 'platform' THEN NULL
+            WHEN tn > 0 THEN printf('%s history: %s %s over %s deliveries', scope, format('{:,}', ts), success,
+              format('{:,}', tn))
+            ELSE scope || ' has never been reached on this channel' END,
+          CASE WHEN on_ + tn < 200 THEN 'low data: treat as a directional estimate' END,
+          CASE WHEN del >= 100 AND xoo > 0 AND oo > 2 * xoo THEN
+            printf('high opt-out risk: %.1f%% unsubscribes/complaints vs %.1f%% on the other channels', oo * 100, xoo * 100)
+          END,
+          CASE WHEN sent >= 100 AND xbo > 0 AND bo > 2 * xbo THEN
+            printf('high bounce rate: %.1f%% vs %.1f%% on the other channels', bo * 100, xbo * 100) END)"""
+
+# Every customer x objective x channel with 90 days of history, as the model states it.
+EVERY = """
+sx AS (SELECT * FROM (VALUES ('conversion', 'converted'), ('engagement', 'clicked'), ('retention', 'opened'),
+  ('reactivation', 'opened'), ('awareness', 'opened')) t(objective, success)),
+pl AS (
+  SELECT sx.objective, success, c.channel,
+    coalesce(sum(n) FILTER (of = sx.objective AND type = success), 0) AS os,
+    coalesce(sum(n) FILTER (of = sx.objective AND type = 'delivered'), 0) AS on0,
+    coalesce(sum(n) FILTER (of <> sx.objective AND type = success), 0) AS xs,
+    coalesce(sum(n) FILTER (of <> sx.objective AND type = 'delivered'), 0) AS xn0
+  FROM sx CROSS JOIN (SELECT unnest(['email', 'sms', 'whatsapp', 'push', 'web']) AS channel) c
+  LEFT JOIN dl ON dl.channel = c.channel AND dl.day >= DATE '2024-01-31' - 90 GROUP BY ALL),
+pl2 AS (
+  SELECT *, greatest(on0, os) AS on_, greatest(xn0, xs) AS xn,
+    sum(os + xs) OVER w / sum(greatest(on0, os) + greatest(xn0, xs)) OVER w AS mg
+  FROM pl WINDOW w AS (PARTITION BY objective)),
+pl3 AS (
+  SELECT objective, success, channel, 50 * ((xs + 100 * mg) / (xn + 100)) + os AS a2,
+    50 * (1 - (xs + 100 * mg) / (xn + 100)) + on_ - os AS b2 FROM pl2),
+ct AS (
+  SELECT customer_id, channel, type, count(*) AS n FROM ev WHERE campaign_id IS NOT NULL GROUP BY ALL),
+allp AS (
+  SELECT cu.id AS customer_id, pl3.objective, pl3.channel, least(a2 + b2, 30) * a2 / (a2 + b2) + coalesce(s.n, 0) AS a,
+    least(a2 + b2, 30) * b2 / (a2 + b2) + greatest(coalesce(d.n, 0), coalesce(s.n, 0)) - coalesce(s.n, 0) AS b
+  FROM cu CROSS JOIN pl3
+  LEFT JOIN ct s ON s.customer_id = cu.id AND s.channel = pl3.channel AND s.type = pl3.success
+  LEFT JOIN ct d ON d.customer_id = cu.id AND d.channel = pl3.channel AND d.type = 'delivered')"""
+
 ORACLES = {
     "b1_normalize_prediction_requests": """
       SELECT o AS request_id,
@@ -213,21 +276,19 @@ ORACLES = {
           row_number() OVER (PARTITION BY request_id ORDER BY floor(a / (a + b) * 10000 + 0.5) DESC, pos) AS rank
         FROM post""", *_P),
     "b13_prediction_reasons": sql(
-        """SELECT request_id, channel, concat_ws(' | ',
-          CASE WHEN on_ > 0 THEN printf('%.1f%% %s rate over %s deliveries in %s campaigns (last %dd)',
-              os::DOUBLE / on_ * 100, success, format('{:,}', on_), objective, lookback)
-            WHEN xn > 0 THEN printf('no %s-campaign history; estimate borrows %.1f%% from %s deliveries on other objectives',
-              objective, xs::DOUBLE / xn * 100, format('{:,}', xn))
-            ELSE 'no history on this channel; estimate is the platform average' END,
-          CASE WHEN scope = 'platform' THEN NULL
-            WHEN tn > 0 THEN printf('%s history: %s %s over %s deliveries', scope, format('{:,}', ts), success,
-              format('{:,}', tn))
-            ELSE scope || ' has never been reached on this channel' END,
-          CASE WHEN on_ + tn < 200 THEN 'low data: treat as a directional estimate' END,
-          CASE WHEN del >= 100 AND xoo > 0 AND oo > 2 * xoo THEN
-            printf('high opt-out risk: %.1f%% unsubscribes/complaints vs %.1f%% on the other channels', oo * 100, xoo * 100)
-          END,
-          CASE WHEN sent >= 100 AND xbo > 0 AND bo > 2 * xbo THEN
-            printf('high bounce rate: %.1f%% vs %.1f%% on the other channels', bo * 100, xbo * 100) END) AS reasons
+        f"""SELECT request_id, channel, {_REASONS} AS reasons
         FROM risk""", *_P),
+    "b15_predict_channels_fixed_part": sql(
+        f"""SELECT request_id, risk.scope, risk.success AS success_event, channel,
+          floor(post.a / (post.a + post.b) * 10000 + 0.5) / 10000 AS predicted_rate,
+          (on_ + tn < 200)::BIGINT AS low_data, round(oo, 6) + 0.0 AS opt_out_rate, round(bo, 6) + 0.0 AS bounce_rate,
+          on_ AS objective_delivered, os AS objective_successes, xn AS other_delivered, xs AS other_successes,
+          CASE WHEN risk.scope = 'platform' THEN -1 ELSE tn END AS target_delivered,
+          CASE WHEN risk.scope = 'platform' THEN -1 ELSE ts END AS target_successes, {_REASONS} AS reasons,
+          lookback AS lookback_days, CASE WHEN risk.scope = 'audience'
+            THEN (SELECT count(*) FROM aud WHERE aud.request_id = risk.request_id) ELSE -1 END AS audience_size
+        FROM risk JOIN (SELECT request_id, channel, a, b FROM post) post USING (request_id, channel)""", *_P),
+    "b15_predict_all_customers_rates": sql(
+        """SELECT customer_id, objective, max(floor(a / (a + b) * 10000 + 0.5) / 10000) AS predicted_rate
+        FROM allp GROUP BY ALL""", *_P, EVERY),
 }
