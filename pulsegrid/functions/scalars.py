@@ -143,7 +143,7 @@ def nullif_zero(n: Column) -> Column:
 
 
 def trim_space(s: Column) -> Column:
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
 def truncate_text(s: Column, limit: int) -> Column:

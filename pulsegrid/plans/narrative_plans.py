@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
+from pulsegrid.functions import scalars as S
 from pulsegrid.operators import campaigns as K
 from pulsegrid.operators import narrative as N
 from pulsegrid.plans.base import EVD, Tables, flat, sql
@@ -57,6 +58,10 @@ def n6_unsupported_numbers(spark, sf):
     return flat(_texts(spark, sf).select("doc_id", F.size(bad).alias("unsupported")))
 
 
+def s15_truncate_text(spark, sf):
+    return flat(_texts(spark, sf).select("doc_id", S.truncate_text(F.col("text"), 120).alias("cut")))
+
+
 def _outputs(spark, sf, analysis: bool):
     """One model output per event: the rule narrative of a campaign, edited in eight ways."""
     f = _facts(spark, sf)
@@ -113,7 +118,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         n1_campaign_facts, n2_rule_analysis, n3_rule_recommendations, n4_numbers_in_text, n5_fact_numbers,
-        n6_unsupported_numbers, n7_validate_analyses, n8_validate_recommendations, n9_output_quality,
+        n6_unsupported_numbers, s15_truncate_text, n7_validate_analyses, n8_validate_recommendations, n9_output_quality,
     )
 }
 
@@ -226,6 +231,11 @@ ORACLES = {
     "n6_unsupported_numbers": f"""SELECT doc_id, len(list_filter({_NUMS}, lambda n:
         NOT list_contains(ok, n) AND NOT list_contains(ok, n / 100) AND NOT list_contains(ok, n * 100))) AS unsupported
       FROM documents, (SELECT [1, 2, 3, 5, 10, 24, 30, 50, 100, 2024]::DOUBLE[] AS ok)""",
+    "s15_truncate_text": r"""
+      WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g') AS s
+        FROM documents)
+      SELECT doc_id, CASE WHEN strlen(s) <= 120 THEN s ELSE left(s, list_max(list_filter(range(0, 121),
+        lambda k: strlen(left(s, k)) <= 120))) || '…' END AS cut FROM t""",
     "n7_validate_analyses": f"SELECT i AS output_id, {_BAD7} AS error FROM (SELECT event_id AS i FROM events)",
     "n8_validate_recommendations": """SELECT event_id AS output_id, CASE event_id % 8
         WHEN 3 THEN 'ai: malformed recommendations JSON'
