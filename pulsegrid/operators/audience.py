@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
+from pulsegrid.operators.profiles import reanchor
 
 # Requests of one pass are broadcast; more of them are answered in several passes.
 REQUESTS_PER_PASS = 2000
@@ -306,8 +307,15 @@ def ranked_pool(requests: DataFrame, customers: DataFrame, profiles: DataFrame,
 
 
 def recommend_audience(requests: DataFrame, customers: DataFrame, profiles: DataFrame, sends: DataFrame,
-                       campaigns: DataFrame, as_of, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(candidates, meta) for all valid requests."""
+                       campaigns: DataFrame, as_of, exact: bool = False,
+                       decayed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candidates, meta) for all valid requests.
+
+    Scores are compared as stored, each at its own anchor, unless ``decayed`` brings them to
+    ``as_of`` first.
+    """
+    if decayed:
+        profiles = reanchor(profiles, as_of)
     pool = ranked_pool(requests, customers, profiles, sends, campaigns, as_of, exact)
     contexts = cap_context(requests.select("request_id", "channel", "objective"), campaigns).select(
         "request_id", "cap", "window_hours"

@@ -9,7 +9,7 @@ from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
 
 
-def pipeline_health(events: DataFrame, dlq: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
+def health_report(events: DataFrame, dlq: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
     """Queue depth, oldest pending age, attempts, dead letters and ingest rates."""
     now = S.as_ts(as_of)
     pending = F.col("status") == "pending"

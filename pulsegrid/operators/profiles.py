@@ -261,18 +261,24 @@ def customer_last_event(customers: DataFrame, events: DataFrame, as_of) -> DataF
     )
 
 
+def reanchor(profiles: DataFrame, as_of) -> DataFrame:
+    """Stored scores decayed to ``as_of``; an anchor never moves back."""
+    now = S.as_ts(as_of)
+    return profiles.withColumns({
+        "engagement_score": S.decay_raw(F.col("engagement_score"), F.col("score_updated_at"), now),
+        "score_updated_at": F.greatest(F.col("score_updated_at"), now),
+    })
+
+
 def refresh_scores(profiles: DataFrame, events: DataFrame, as_of) -> DataFrame:
     """Stored profiles re-anchored at ``as_of`` with trend and preferred channel recomputed."""
-    now = S.as_ts(as_of)
     trend = activity_trend(events, as_of).select("customer_id", F.col("activity_trend").alias("_trend"))
     chan = preferred_channel(channel_counts(events, as_of)).select(
         "customer_id", F.col("preferred_channel").alias("_chan")
     )
     return (
-        profiles.join(trend, "customer_id", "left").join(chan, "customer_id", "left")
+        reanchor(profiles, as_of).join(trend, "customer_id", "left").join(chan, "customer_id", "left")
         .withColumns({
-            "engagement_score": S.decay_raw(F.col("engagement_score"), F.col("score_updated_at"), now),
-            "score_updated_at": F.greatest(F.col("score_updated_at"), now),
             "activity_trend": F.coalesce("_trend", F.lit("stable")),
             "preferred_channel": F.col("_chan"),
         })

@@ -71,9 +71,9 @@ def l9_list_dlq(spark, sf):
     return flat(L.list_dlq(dlq(spark, sf), after=100, limit=20), "id", "event_id", "error", "failed_at", "has_more")
 
 
-def l10_pipeline_health(spark, sf):
+def l10_health_report(spark, sf):
     letters, events, _ = replayed(spark, sf)
-    return flat(H.pipeline_health(events, letters, outcomes(spark, sf), AS_OF))
+    return flat(H.health_report(events, letters, outcomes(spark, sf), AS_OF))
 
 
 def l11_trace_event(spark, sf):
@@ -87,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l1_lifecycle_entries, l2_apply_log_mode, l3_query_event_logs, l3_query_unknown_customer, l4_min_level, l5_prune,
-        l6_activity_records, l7_query_activity, l9_list_dlq, l10_pipeline_health, l11_trace_event,
+        l6_activity_records, l7_query_activity, l9_list_dlq, l10_health_report, l11_trace_event,
     )
 }
 
@@ -176,7 +176,7 @@ ORACLES = {
         """SELECT id, event_id, CASE WHEN id >= 1000000000 THEN 'bad row' ELSE 'profile update timed out' END AS error,
           epoch_us(failed_at) AS failed_at, (count(*) OVER () > 20)::BIGINT AS has_more
         FROM dq WHERE id > 100 ORDER BY id LIMIT 20""", *EV, DLQ),
-    "l10_pipeline_health": sql(
+    "l10_health_report": sql(
         """SELECT count(*) FILTER (back) AS pending_events, count(*) FILTER (status = 'processed') AS processed_events,
           count(*) FILTER (status = 'failed' AND NOT back) AS failed_events, 0 AS duplicate_events,
           round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(received_at) FILTER (back))) / 1e6, 6)

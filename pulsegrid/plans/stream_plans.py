@@ -12,7 +12,7 @@ from pulsegrid.plans.ingest_plans import bodies
 from pulsegrid.session import checkpoint_dir
 from pulsegrid.streaming.pipeline import EngagementPipeline
 
-LOADS = 3
+LOADS = 2
 
 
 def run_pipeline(spark, sf) -> EngagementPipeline:

@@ -23,6 +23,7 @@ from pulsegrid.operators.rollups import campaign_daily, derive_sends, merge_dail
 from pulsegrid.sources.batches import malformed_batches, split_batches, stream_batch_files
 
 BUCKETS = 64
+WRITERS = 4
 _PARTITIONS = 1 << 14
 _ROWS = 1 << 26
 
@@ -60,8 +61,14 @@ class EngagementPipeline:
         )
 
     def _write(self, df: DataFrame, table: str, load: int, *by: str) -> None:
-        """Replace the load's own partition; the mode is dynamic whatever the session says."""
+        """Replace the load's own partition; the mode is dynamic whatever the session says.
+
+        Rows go to their folder's writers first, several for each folder, so that neither many
+        small files nor one writer of a busy day come of it.
+        """
         out = df.withColumn("load", F.lit(load))
+        if by:
+            out = out.repartition(*by, F.pmod(F.xxhash64("event_id"), F.lit(WRITERS)))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load", *by).parquet(
             f"{self.base}/{table}"
         )
@@ -85,6 +92,14 @@ class EngagementPipeline:
         return F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int")
 
     def process(self, batch: DataFrame, load: int) -> None:
+        """One micro-batch. The posted files are read once for the two steps that need them."""
+        batch = batch.persist()
+        try:
+            self._process(batch, load)
+        finally:
+            batch.unpersist()
+
+    def _process(self, batch: DataFrame, load: int) -> None:
         now = F.lit(self.clock()).cast("timestamp")
         self._write(malformed_batches(batch), "refused_batches", load)
         items = I.parse_items(split_batches(batch))
@@ -98,8 +113,8 @@ class EngagementPipeline:
         events = I.accepted_events(mine, now, "id").withColumns(
             {"status": F.lit("processed"), "processed_at": now}
         )
-        self._write(events.withColumn("event_day", F.to_date("occurred_at")), "events", load)
-        done = self.table("events").where(F.col("load") == load).drop("load")
+        self._write(events.withColumn("event_day", F.to_date("occurred_at")), "events", load, "event_day")
+        done = self.table("events").where(F.col("load") == load).drop("load", "event_day")
         self._write(P.profile_partials(done, now), "profile_cells", load)
         self._write(campaign_daily(done), "campaign_daily", load)
         self._write(derive_sends(done), "sends", load)

@@ -85,8 +85,8 @@ def world(spark, n=40, sent=None):
     return cust, prof, sends.withColumn("sent_at", F.col("t").cast("timestamp")).drop("t"), camp
 
 
-def recommend(spark, exact=False, w=None, **over):
-    cand, meta = A.recommend_audience(request(spark, **over), *(w or world(spark)), AS_OF, exact)
+def recommend(spark, exact=False, w=None, decayed=False, **over):
+    cand, meta = A.recommend_audience(request(spark, **over), *(w or world(spark)), AS_OF, exact, decayed)
     return cand.orderBy("rank").collect(), meta.first()
 
 
@@ -133,6 +133,17 @@ def test_exact_mode_looks_past_the_pool(spark):
     assert got[0].customer_id == 1 and meta.candidates_considered == 36
 
 
+def test_decayed_scores_change_the_order(spark):
+    """The highest stored score is the oldest one."""
+    cust, prof, sends, camp = world(spark)
+    prof = prof.withColumn("score_updated_at", F.when(F.col("customer_id") == 38, F.lit("2023-06-01")).otherwise(
+        F.lit("2024-01-30")).cast("timestamp"))
+    w = (cust, prof, sends, camp)
+    over = dict(size=1, respect_frequency_cap=False, objective="awareness", exclude_campaign_ids=["camp_001"])
+    assert recommend(spark, w=w, **over)[0][0].customer_id == 38
+    assert recommend(spark, w=w, decayed=True, **over)[0][0].customer_id == 36
+
+
 def test_request_passes_agree(spark, monkeypatch):
     """More requests than one broadcast may hold give the same rows."""
     reqs = request(spark).withColumn("request_id", F.explode(F.expr("sequence(1L, 9L)")))

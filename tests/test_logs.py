@@ -128,6 +128,6 @@ def test_dlq_pages(spark, world):
 def test_health(spark, world):
     e, _, dlq, *_ = world
     out = spark.createDataFrame([("accepted",)] * 3 + [("rejected",)], "outcome string")
-    h = H.pipeline_health(D.replay_dlq(dlq, e, dlq.select("id"), NOW)[1], dlq, out, NOW).first()
+    h = H.health_report(D.replay_dlq(dlq, e, dlq.select("id"), NOW)[1], dlq, out, NOW).first()
     assert (h.pending_events, h.processed_events, h.dlq_size, h.accepted_rate) == (1, 11, 2, 0.75)
     assert h.oldest_pending_seconds == 29 * 86400

@@ -51,6 +51,14 @@ def test_defaults_and_clamp(spark):
     assert p.b > 0 and p["mean"] <= 1 and p.objective_delivered == 50
 
 
+def test_success_event_and_clamp(spark):
+    df = spark.createDataFrame([(o,) for o in (*V.OBJECTIVES, "fame")], "o string")
+    assert [r.s for r in df.select(B.S.success_event(F.col("o")).alias("s")).collect()] == [
+        "converted", "clicked", "opened", "opened", "opened", None]
+    s, n = B.clamp_counts(F.lit(-3), F.lit(-9))
+    assert tuple(spark.range(1).select(s, n).first()) == (0, 0)
+
+
 def test_clear_winner(spark):
     got = predicted(evidence(spark, {c: obj(s, 100000) for c, s in (("email", 5000), ("sms", 1000), ("push", 500))}))
     e = got["email"]
