@@ -7,9 +7,11 @@ documents equal in a band share a bucket.
 
 Within a bucket only star edges are made, from the member with most company in all its buckets (the
 likely original of a family of copies) to the others, so their number is linear in the bucket's
-size. Edges are confirmed on the full shingle sets. Members of a bucket that a star leaves in another
-component than its centre form the bucket's next star, until no bucket has two such members; edges
-within a component are never compared. Documents with the same set are one node from the start.
+size. Edges are confirmed on the full shingle sets, those within a component are never compared.
+Members that a star leaves outside its centre's component go on into finer buckets, which add another
+band to the key: similar documents share that too in one of many places, others do not. This goes on
+until no bucket has two such members in different components, so no bucket is cut off, however
+large, and no step makes pairs of its members. Documents with the same set are one node from the start.
 
 Buckets, stars and components are joins and pre-aggregated groupings: no task holds a whole bucket.
 """
@@ -31,6 +33,8 @@ from pulsegrid.session import settle
 
 BANDS, ROWS = 48, 8
 SEED = 20240131
+# Finer buckets that a left-over row goes into.
+FORKS = 2
 # Words whose hash a task remembers.
 REMEMBERED = 400_000
 
@@ -153,8 +157,8 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, company) of buckets with two or more nodes; company: rows in all buckets of a node."""
-    rows = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    """(bucket, band, node, company) of buckets with two or more nodes; company: rows in all buckets of a node."""
+    rows = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
     shared = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     size = bits.size_for(shared.count(), 16)
     mark = settle(bits.bitmap(shared.select(bits.cells(F.col("bucket"), size, 1)[0].alias("cell")), "cell"), "bucket-marks")
@@ -162,14 +166,13 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
     rows = bits.probe(rows, mark, bits.cells(F.col("bucket"), size, 1), "__shared").where("__shared").drop("__shared")
     rows = settle(rows.join(shared, "bucket"), "bucket-rows")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-    return settle(rows.join(company, "node").select("bucket", "node", "company"), "bucket-members")
+    return settle(rows.join(company, "node").select("bucket", "band", "node", "company"), "bucket-members")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(bucket, centre, node): each bucket's members against the one with most company, smallest id first."""
-    centre = rows.groupBy("bucket").agg(
-        F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(centre.drop("n"), "bucket")
+    """Each bucket's members beside the one with most company, the smallest id first; a partial maximum."""
+    top = rows.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
+    return rows.join(top, "bucket").where("centre <> node")
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 85, id_col: str = "doc_id",
@@ -195,47 +198,53 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 85, id_co
     candidates = settle(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     sets = _candidate_sets(source, candidates, width)
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = None
+    bands = settle(nodes.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands"), "bands")
+    label, level = None, 0
     while True:
         stars = settle(_stars(members), "stars")
-        edges = stars.where("centre <> node").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(
-            F.count("*").alias("shared"))
-        if label is not None:
-            edges = _across(edges, label)
-        found = settle(_by_strength(edges, sets, percent), "links")
-        links = links.unionByName(found)
-        label = components(links)
-        members = settle(_left_over(stars, label), "left-over")
+        edges = stars.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        found = settle(confirmed(edges if label is None else _across(edges, label), sets, percent), "links")
+        # Without a new link the components are as they were.
+        if label is None or not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
+        members = settle(_finer(_left_over(stars, label), bands, level), "left-over")
+        level += 1
         if members.isEmpty():
-            break
-    return _result(signed, label)
+            return _result(signed, label)
 
 
-def _by_strength(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return confirmed(edges.select("a", "b"), sets, percent)
+def _labelled(rows: DataFrame, label: DataFrame, *ends: str) -> DataFrame:
+    """``rows`` with the component c<end> of each named column; a node without links is its own."""
+    for end in ends:
+        rows = rows.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        rows = rows.withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return rows
 
 
 def _across(edges: DataFrame, label: DataFrame) -> DataFrame:
     """Edges between different components."""
-    named = edges
-    for end in ("a", "b"):
-        named = named.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*edges.columns)
+    return _labelled(edges, label, "a", "b").where("ca <> cb").select("a", "b")
 
 
 def _left_over(stars: DataFrame, label: DataFrame) -> DataFrame:
     """Members outside their centre's component, of buckets that have two or more of them in different ones."""
-    rows = stars.where("centre <> node").withColumnRenamed("node", "b").withColumnRenamed("centre", "a")
-    rows = _labelled(rows, label).where("ca <> cb")
-    several = rows.groupBy("bucket").agg(F.min("cb").alias("low"), F.max("cb").alias("high")).where("low <> high")
-    return rows.join(several.select("bucket"), "bucket", "left_semi").select("bucket", F.col("b").alias("node"), "company")
+    return _several(_labelled(stars, label, "centre", "node").where("ccentre <> cnode"))
 
 
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    for end in ("a", "b"):
-        rows = rows.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        rows = rows.withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return rows
+def _several(rows: DataFrame) -> DataFrame:
+    two = rows.groupBy("bucket").agg(F.min("cnode").alias("low"), F.max("cnode").alias("high")).where("low <> high")
+    return rows.join(two.select("bucket"), "bucket", "left_semi").select("bucket", "band", "node", "company", "cnode")
+
+
+def _finer(rows: DataFrame, bands: DataFrame, level: int) -> DataFrame:
+    """The rows in buckets whose key has one band more: ``FORKS`` other bands for each, not used before."""
+    count = F.size("bands")
+    steps = [F.pmod(F.lit((level * FORKS + i) * 7), count - 1) + 1 for i in range(FORKS)]
+    other = F.array(*[F.pmod(F.col("band") + s, count) for s in steps])
+    forked = rows.join(bands, "node").select("node", "company", "cnode", "bucket", "bands", F.explode(other).alias("band"))
+    return _several(forked.select("node", "company", "cnode", "band", F.xxhash64("bucket", F.get("bands", F.col("band"))).alias("bucket"))
+                    ).drop("cnode")
 
 
 def _candidate_sets(source: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
