@@ -53,9 +53,17 @@ def decay_raw(raw: Column, anchor: Column, now: Column) -> Column:
     return raw * decay_factor(seconds_between(now, anchor))
 
 
-def grow_factor(seconds: Column) -> Column:
-    """Inverse of the decay, used once to move a sum from as_of back to its anchor."""
-    return F.exp(F.lit(V.DECAY_RATE) * F.greatest(seconds, F.lit(0.0)))
+def block_end(ts: Column) -> Column:
+    """The end of the 365-day block (counted from 1970) that holds a time: the anchor of partial sums."""
+    span = 365 * 86400 * 1000000
+    return F.timestamp_micros((F.call_function("div", F.unix_micros(ts) - F.pmod(F.unix_micros(ts), F.lit(span)), F.lit(span)) + 1)
+                              * F.lit(span))
+
+
+def moved_raw(raw: Column, anchor: Column, to: Column) -> Column:
+    """A decayed sum moved to another anchor. Block anchors lie at most a block after the newest
+    event, so the factor is never above 2^26.1, and far smaller where time has passed."""
+    return raw * F.exp(F.lit(-V.DECAY_RATE) * seconds_between(to, anchor))
 
 
 def merge_anchor(left: Column, right: Column) -> Column:

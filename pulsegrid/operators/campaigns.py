@@ -71,7 +71,7 @@ def platform_baseline(daily: DataFrame) -> DataFrame:
 
 def list_campaigns(campaigns: DataFrame, daily: DataFrame, status: str | None = None, channel: str | None = None,
                    after: int | None = None, limit: int | None = None) -> DataFrame:
-    """A page of campaign summaries by id; only the page's campaigns are aggregated."""
+    """A page of campaign summaries by id; all campaigns are aggregated, then paged."""
     if status and status not in V.CAMPAIGN_STATUSES:
         raise ValueError("invalid status filter")
     if channel and channel not in V.CHANNELS:

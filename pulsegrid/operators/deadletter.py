@@ -15,20 +15,27 @@ def select_unprocessed(events: DataFrame) -> DataFrame:
 
 
 def failed_attempts(failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
-    """Failures numbered per event; those after the last allowed attempt cannot happen.
+    """Failures with their ``round`` (from 0) and ``attempt`` in it (from 1).
 
-    Groups are cut to ``max_attempts`` rows in each task, so an event failing without end is
-    no hot group.
+    An event is dead-lettered by its last allowed attempt and only tried again after a replay,
+    which counts from the beginning; so every ``max_attempts`` failures are one round.
     """
     order = Window.partitionBy("id").orderBy("attempted_at", "error")
-    return failures.withColumn("attempt", F.row_number().over(order)).where(F.col("attempt") <= max_attempts)
+    nth = F.row_number().over(order) - 1
+    return failures.withColumn("_nth", nth).withColumns({
+        "round": F.expr(f"_nth div {int(max_attempts)}"), "attempt": F.col("_nth") % max_attempts + 1}).drop("_nth")
 
 
 def classify_failures(failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
-    """Per event: attempts, last error and the status it ends in."""
-    numbered = failed_attempts(failures, max_attempts)
+    """Per event: attempts of its last round, last error and the status it ends in."""
+    return failure_rounds(failures, max_attempts).groupBy("id").agg(*[
+        F.max_by(c, "round").alias(c) for c in ("attempts", "last_error", "failed_at", "status")])
+
+
+def failure_rounds(failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
+    """Per event and round of attempts the same; a round that ends in ``failed`` left a dead letter."""
     return (
-        numbered.groupBy("id").agg(
+        failed_attempts(failures, max_attempts).groupBy("id", "round").agg(
             F.max("attempt").alias("attempts"),
             F.max_by("error", "attempt").alias("last_error"),
             F.max("attempted_at").alias("failed_at"),
@@ -38,7 +45,8 @@ def classify_failures(failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -
 
 
 def dead_letters(events: DataFrame, classified: DataFrame) -> DataFrame:
-    """Rows for the dead-letter table, payload kept for a replay."""
+    """Rows for the dead-letter table, payload kept for a replay: one for each failed row of
+    ``failure_rounds`` (or of ``classify_failures``, which knows the last round only)."""
     done = classified.where(F.col("status") == "failed").select("id", "attempts", "last_error", "failed_at")
     return events.select("id", "event_id", "payload").join(done, "id").select(
         "id", "event_id", "payload", F.col("last_error").alias("error"), "attempts", "failed_at",
@@ -78,8 +86,8 @@ def replay_dlq(dlq: DataFrame, events: DataFrame, ids: DataFrame, as_of,
 
 
 def stuck_pending(events: DataFrame, as_of, seconds: int = V.STUCK_AFTER_SECONDS,
-                  limit: int = V.STUCK_LIMIT) -> DataFrame:
-    """Oldest pending events received more than 30 seconds ago, by id."""
+                  limit: int | None = None) -> DataFrame:
+    """Pending events received more than 30 seconds ago; with ``limit`` the oldest ones by id."""
     before = S.as_ts(as_of) - F.expr(f"INTERVAL '{seconds}' SECOND")
     waiting = events.where((F.col("status") == "pending") & (F.col("received_at") < before))
-    return waiting.orderBy("id").limit(limit)
+    return waiting if limit is None else waiting.orderBy("id").limit(limit)

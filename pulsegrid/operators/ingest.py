@@ -107,21 +107,23 @@ def dedup_events(items: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``outcome``: rejected, accepted or duplicate.
 
     The first open occurrence in input order claims an id that is not stored yet. The claim
-    is a partial minimum per id, and goes back to the rows by their unique position, so an
-    id repeated in a third of all rows lands on no single task.
+    is a partial minimum per id, and goes back to the rows by id and position, so an id repeated in a
+    third of all rows lands on no single task and no row is doubled. A position is (batch_id, idx),
+    or (post_id, idx) where items have a ``post_id``: needed where two bodies can share a batch_id.
     """
-    pos = _position(F.col("batch_id"), F.col("idx"))
+    pos = _position(F.col("post_id" if "post_id" in items.columns else "batch_id"), F.col("idx"))
     open_ = items.where(F.col("reject_reason").isNull())
     claims = (
         open_.groupBy("event_id").agg(F.min(pos).alias("_pos"))
         .join(stored.select("event_id"), "event_id", "left_anti")
-        .select("_pos", F.lit(True).alias("_claimed"))
+        .select(F.col("event_id").alias("_id"), F.col("_pos").alias("_at"), F.lit(True).alias("_claimed"))
     )
+    rows = items.withColumn("_pos", pos)
     return (
-        items.withColumn("_pos", pos).join(claims, "_pos", "left")
+        rows.join(claims, (rows["_pos"] == claims["_at"]) & (rows["event_id"] == claims["_id"]), "left")
         .withColumn("outcome", F.when(F.col("reject_reason").isNotNull(), "rejected")
                     .when(F.col("_claimed"), "accepted").otherwise("duplicate"))
-        .drop("_pos", "_claimed")
+        .drop("_pos", "_at", "_id", "_claimed")
     )
 
 
@@ -136,15 +138,17 @@ def accepted_events(outcomes: DataFrame, received_at, *keep: str) -> DataFrame:
 
 
 def ingest_summary(outcomes: DataFrame) -> DataFrame:
-    """Per batch: accepted, duplicates and the rejected items by index (at most 500)."""
-    rejected = F.when(
-        F.col("outcome") == "rejected", F.struct(F.col("idx").alias("index"), F.col("reject_reason").alias("reason"))
-    )
-    return outcomes.groupBy("batch_id").agg(
-        F.count_if(F.col("outcome") == "accepted").alias("accepted"),
-        F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
-        F.array_sort(F.collect_list(rejected)).alias("rejected"),
-    )
+    """Per batch: how many items were accepted, duplicates and rejected."""
+    return outcomes.groupBy("batch_id").agg(*[
+        F.count_if(F.col("outcome") == outcome).alias(name)
+        for outcome, name in (("accepted", "accepted"), ("duplicate", "duplicates"), ("rejected", "rejected"))
+    ])
+
+
+def rejected_items(outcomes: DataFrame) -> DataFrame:
+    """The rejected items of all batches, one row each: batch_id, index, reason."""
+    return outcomes.where(F.col("outcome") == "rejected").select(
+        "batch_id", F.col("idx").alias("index"), F.col("reject_reason").alias("reason"))
 
 
 def ingest(items: DataFrame, customers: DataFrame, campaigns: DataFrame, stored: DataFrame, as_of) -> DataFrame:

@@ -25,18 +25,19 @@ ENTRY = (
     "id", "created_at", "event_id", "customer_id", "campaign_id", "stage", "level", "message", "request_id", "worker",
     "attempt", "details",
 )
-NEWEST = [("id", "desc")]
+NEWEST = [("created_at", "desc"), ("id", "desc")]
 
 
 def _entries(rows: DataFrame, stage: Column) -> DataFrame:
     """Common form of one step's rows; a zero attempt and empty texts become NULL.
 
-    The id orders rows by the step's own row number, stage and attempt, without a counter.
+    The id is made of the step's own row number, stage and running number (``nth``, else the attempt):
+    a decimal, as rows, loads and failures have no largest number.
     """
     attempt = S.nullif_zero(F.col("attempt").cast("long"))
     number = S.lookup(F.col("stage"), {s: i for i, s in enumerate(V.LOG_STAGES)}, F.lit(7))
     return rows.withColumn("stage", stage).select(
-        (F.col("row_id") * 64 + number * 8 + F.coalesce(attempt, F.lit(0).cast("long"))).alias("id"),
+        _entry_id(F.col("row_id"), number, F.coalesce(F.col("nth") if "nth" in rows.columns else attempt, F.lit(0))).alias("id"),
         "created_at", S.nullif_empty(F.col("event_id")).alias("event_id"), "customer_id", "campaign_id", "stage",
         S.lookup(F.col("stage"), {s: t[0] for s, t in STAGE_TEXT.items()}, F.lit("info")).alias("level"),
         S.lookup(F.col("stage"), {s: t[1] for s, t in STAGE_TEXT.items()}, F.lit("")).alias("message"),
@@ -45,6 +46,11 @@ def _entries(rows: DataFrame, stage: Column) -> DataFrame:
     )
 
 
+def _entry_id(row: Column, stage: Column, nth: Column) -> Column:
+    whole = row.cast("decimal(20,0)") * F.lit(8 * (1 << 31)).cast("decimal(12,0)")
+    return (whole + (stage.cast("long") * F.lit(1 << 31).cast("long") + nth.cast("long"))).cast("decimal(38,0)")
+
+
 def _bare(rows: DataFrame) -> DataFrame:
     fill = {"worker": F.lit(""), "attempt": F.lit(0)}
     return rows.withColumns({k: v for k, v in fill.items() if k not in rows.columns})
@@ -71,13 +77,13 @@ def processed_entries(events: DataFrame, worker: str = "") -> DataFrame:
 
 def failure_entries(events: DataFrame, failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS,
                     worker: str = "") -> DataFrame:
-    """retry rows, and a dead_lettered row for the last allowed attempt."""
+    """retry rows, and a dead_lettered row for the last allowed attempt of each round."""
     facts = events.select("id", "event_id", "customer_id", "campaign_id", "request_id")
     error = S.truncate_text(F.col("error"), 500)
     rows = failed_attempts(failures, max_attempts).join(facts, "id").select(
         F.col("id").alias("row_id"), F.col("attempted_at").alias("created_at"), "event_id", "customer_id",
         "campaign_id", "request_id", F.lit(worker).alias("worker"), "attempt",
-        F.to_json(F.struct(error.alias("error"))).alias("details"),
+        (F.col("round") * max_attempts + F.col("attempt")).alias("nth"), F.to_json(F.struct(error.alias("error"))).alias("details"),
     )
     return _entries(rows, F.when(F.col("attempt") >= max_attempts, "dead_lettered").otherwise("retry"))
 
@@ -133,11 +139,12 @@ def _with_external_ids(page: DataFrame, customers: DataFrame, campaigns: DataFra
     return page.join(cu, "customer_id", "left").join(ca, "campaign_id", "left")
 
 
-def query_event_logs(logs: DataFrame, customers: DataFrame, campaigns: DataFrame, cursor: int | None = None,
+def query_event_logs(logs: DataFrame, customers: DataFrame, campaigns: DataFrame, cursor: tuple | None = None,
                      limit: int | None = None, **filters) -> DataFrame:
-    """A page of log rows, newest first; the dimension joins see the page only."""
+    """A page of log rows, newest first; the cursor is (created_at, id) of the last row seen. The
+    dimension joins see the page only."""
     rows = filter_event_logs(logs, customers, campaigns, **filters)
-    page = keyset_page(rows, NEWEST, None if cursor is None else (cursor,), limit)
+    page = keyset_page(rows, NEWEST, cursor, limit)
     return _with_external_ids(page, customers, campaigns)
 
 
@@ -201,9 +208,9 @@ def filter_activity(records: DataFrame, action: str | None = None, entity: str |
     return records
 
 
-def query_activity(records: DataFrame, cursor: int | None = None, limit: int | None = None, **filters) -> DataFrame:
-    """A page of activity, newest first."""
-    return keyset_page(filter_activity(records, **filters), NEWEST, None if cursor is None else (cursor,), limit)
+def query_activity(records: DataFrame, cursor: tuple | None = None, limit: int | None = None, **filters) -> DataFrame:
+    """A page of activity, newest first; the cursor is (created_at, id)."""
+    return keyset_page(filter_activity(records, **filters), NEWEST, cursor, limit)
 
 
 def list_dlq(dlq: DataFrame, after: int | None = None, limit: int | None = None) -> DataFrame:

@@ -11,7 +11,10 @@ from pulsegrid import vocab as V
 
 
 def page_limit(limit: int | None) -> int:
-    return V.DEFAULT_PAGE if limit is None or limit <= 0 else min(limit, V.MAX_PAGE)
+    """The page size; one beyond the largest is an error, not cut in silence."""
+    if limit is not None and limit > V.MAX_PAGE:
+        raise ValueError(f"limit must not exceed {V.MAX_PAGE}")
+    return V.DEFAULT_PAGE if limit is None or limit <= 0 else limit
 
 
 def after_cursor(df: DataFrame, keys: list[tuple[str, str]], cursor: tuple | None) -> DataFrame:

@@ -1,16 +1,17 @@
 """Engagement profiles as a two-level aggregate.
 
-Level one, a *cell*, is one row per (customer, channel, type). Cells add up: counts are
-sums, the newest event is a maximum and the decayed score is a sum once both sides are
-decayed to the same time. A full rebuild, a micro-batch partial and the merge of partials
+Level one, a *cell*, is one row per (customer, channel, type, block of 365 days). Cells add up:
+counts are sums, the newest event is a maximum, and the decayed score is a plain sum, as every
+cell of a block decays to the block's end. No sum is ever grown from a time long after it, where it
+would have underflowed. A full rebuild, a micro-batch partial and the merge of partials
 are therefore the same two aggregates. All cell measures are fixed-width, so Spark uses its
 hash aggregate with map-side partials: one customer owning a third of all events costs each
-map task at most 40 rows in the shuffle.
+map task at most 40 rows for each year in the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
@@ -55,15 +56,16 @@ def _in_trend(as_of: Column, first_day: int, last_day: int) -> Column:
 def event_cells(events: DataFrame, as_of) -> DataFrame:
     """Processed events up to ``as_of`` folded into cells, with the trend counts beside them.
 
-    ``raw`` is the decayed sum at ``as_of``. The trend counts ignore the status, the
+    ``raw`` is the decayed sum at ``raw_at``, the end of the cell's block. The trend counts ignore the status, the
     measures do not; a cell of failed events only has ``n`` = 0.
     """
     now = S.as_ts(as_of)
     done = F.col("status") == "processed"
-    age = S.seconds_between(now, F.col("occurred_at"))
+    age = S.seconds_between(F.col("raw_at"), F.col("occurred_at"))
     return (
         until(events, as_of)
-        .groupBy(*CELL_KEYS)
+        .withColumn("raw_at", S.block_end(F.col("occurred_at")))
+        .groupBy(*CELL_KEYS, "raw_at")
         .agg(
             F.count_if(done).alias("n"),
             F.coalesce(
@@ -73,7 +75,6 @@ def event_cells(events: DataFrame, as_of) -> DataFrame:
             F.count_if(_in_trend(now, V.TREND_DAYS, 0)).alias("trend_current"),
             F.count_if(_in_trend(now, 2 * V.TREND_DAYS, V.TREND_DAYS)).alias("trend_prior"),
         )
-        .withColumn("raw_at", now)
     )
 
 
@@ -82,18 +83,10 @@ def profile_partials(events: DataFrame, as_of) -> DataFrame:
     return event_cells(events, as_of).where(F.col("n") > 0).drop("trend_current", "trend_prior")
 
 
-def merge_cells(partials: DataFrame, as_of) -> DataFrame:
+def merge_cells(partials: DataFrame) -> DataFrame:
     """Add up cells of any number of loads, in any order."""
-    now = S.as_ts(as_of)
-    return (
-        partials.groupBy(*CELL_KEYS)
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(S.decay_raw(F.col("raw"), F.col("raw_at"), now)).alias("raw"),
-            F.max("recency").alias("recency"),
-        )
-        .withColumn("raw_at", now)
-    )
+    return partials.groupBy(*CELL_KEYS, "raw_at").agg(
+        F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.max("recency").alias("recency"))
 
 
 def activity_trend(events: DataFrame, as_of) -> DataFrame:
@@ -125,7 +118,6 @@ def _preferred(counts: dict[str, Column]) -> Column:
 
 def profiles_from_cells(cells: DataFrame, as_of, trend: DataFrame | None = None) -> DataFrame:
     """One profile row per customer with at least one processed event."""
-    now = S.as_ts(as_of)
     typ, ch = F.col("type"), F.col("channel")
     inline = "trend_current" in cells.columns
     sums = [
@@ -134,12 +126,14 @@ def profiles_from_cells(cells: DataFrame, as_of, trend: DataFrame | None = None)
         _sum_where(S.is_negative(typ)).alias("negative_events"),
         _sum_where(typ == "converted").alias("conversions"),
         *[_sum_where(S.is_positive(typ) & (ch == c)).alias(f"_pos_{c}") for c in V.CHANNELS],
-        F.sum(S.decay_raw(F.col("raw"), F.col("raw_at"), now)).alias("_raw"),
+        F.sum(S.moved_raw(F.col("raw"), F.col("raw_at"), _recency_ts(F.col("_newest")))).alias("_raw"),
         F.max("recency").alias("_recency"),
     ]
     if inline:
         sums += [F.sum("trend_current").alias("_cur"), F.sum("trend_prior").alias("_prior")]
-    agg = cells.groupBy("customer_id").agg(*sums).where(F.col("total_events") > 0)
+    # Every cell moves once, from its block's end to the customer's newest event.
+    newest = F.max("recency").over(Window.partitionBy("customer_id"))
+    agg = cells.withColumn("_newest", newest).groupBy("customer_id").agg(*sums).where(F.col("total_events") > 0)
     if inline:
         agg = agg.withColumn("activity_trend", S.trend_label(F.col("_cur"), F.col("_prior")))
     elif trend is not None:
@@ -153,7 +147,7 @@ def profiles_from_cells(cells: DataFrame, as_of, trend: DataFrame | None = None)
         "customer_id", "total_events", "positive_events", "negative_events", "conversions",
         last.alias("last_event_at"),
         _recency_type(F.col("_recency")).alias("last_event_type"),
-        (F.col("_raw") * S.grow_factor(S.seconds_between(now, last))).alias("engagement_score"),
+        F.col("_raw").alias("engagement_score"),
         last.alias("score_updated_at"),
         "activity_trend",
         _preferred({c: F.col(f"_pos_{c}") for c in V.CHANNELS}).alias("preferred_channel"),
@@ -167,7 +161,7 @@ def build_profiles(events: DataFrame, as_of) -> DataFrame:
 
 def merge_profiles(old: DataFrame, new: DataFrame, events: DataFrame, as_of) -> DataFrame:
     """Profiles from stored cells and the cells of a later load."""
-    cells = merge_cells(old.unionByName(new), as_of)
+    cells = merge_cells(old.unionByName(new))
     return profiles_from_cells(cells, as_of, activity_trend(events, as_of))
 
 
@@ -219,23 +213,22 @@ def last_event(events: DataFrame, as_of) -> DataFrame:
 def decayed_score(events: DataFrame, as_of, anchor: str = "last") -> DataFrame:
     """Sum of weights, each halved every 14 days, at the last event or at ``as_of``.
 
-    Summing at ``as_of`` keeps every factor at or below one; the move to the last event is a
-    single multiplication per customer. Not clamped: clamping would depend on arrival order.
+    Summed by blocks of 365 days, each at its end, and moved once. Not clamped: clamping would depend
+    on arrival order.
     """
-    now = S.as_ts(as_of)
-    age = S.seconds_between(now, F.col("occurred_at"))
-    out = (
+    age = S.seconds_between(F.col("raw_at"), F.col("occurred_at"))
+    blocks = (
         until(events, as_of).where(F.col("status") == "processed")
-        .groupBy("customer_id")
+        .withColumn("raw_at", S.block_end(F.col("occurred_at"))).groupBy("customer_id", "raw_at")
         .agg(
             F.sum(S.event_weight(F.col("type")) * S.decay_factor(age)).alias("raw"),
             F.max("occurred_at").alias("last"),
         )
     )
-    if anchor == "as_of":
-        return out.select("customer_id", "raw", now.alias("anchor"))
-    grown = F.col("raw") * S.grow_factor(S.seconds_between(now, F.col("last")))
-    return out.select("customer_id", grown.alias("raw"), F.col("last").alias("anchor"))
+    newest = F.max("last").over(Window.partitionBy("customer_id"))
+    to = S.as_ts(as_of) if anchor == "as_of" else newest
+    return blocks.withColumn("anchor", to).groupBy("customer_id").agg(
+        F.sum(S.moved_raw(F.col("raw"), F.col("raw_at"), F.col("anchor"))).alias("raw"), F.max("anchor").alias("anchor"))
 
 
 def preferred_channel(counts: DataFrame) -> DataFrame:

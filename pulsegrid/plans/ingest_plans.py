@@ -42,11 +42,13 @@ def _bodies(spark, sf):
 
 
 def i1_read_event_batches(spark, sf):
-    """Items and refused batches per batch."""
-    b = _bodies(spark, sf)
-    items = J.split_batches(b).groupBy("batch_id").agg(F.count("*").alias("items")).withColumn("error", F.lit(""))
-    bad = J.malformed_batches(b).select("batch_id", F.lit(0).cast("long").alias("items"), F.col("batch_error").alias("error"))
-    return flat(items.unionByName(bad))
+    """Batch files read: how many files hold how many items, and how many are refused."""
+    base = _scratch(spark)
+    _bodies(spark, sf).repartitionByRange("batch_id").write.partitionBy("batch_id").text(base)
+    good, bad = J.read_event_batches(spark, base)
+    sizes = good.groupBy("batch_id").agg(F.count("*").alias("items")).select("items", F.lit("").alias("error"))
+    refused = bad.select(F.lit(0).cast("long").alias("items"), F.col("batch_error").alias("error"))
+    return flat(sizes.unionByName(refused).groupBy("items", "error").agg(F.count("*").alias("batches")))
 
 
 def i2_parse_items(spark, sf):
@@ -77,8 +79,11 @@ def i5_dedup_events(spark, sf):
 
 def i6_ingest_summary(spark, sf):
     out = I.ingest_summary(outcomes(spark, sf))
-    text = F.transform("rejected", lambda r: F.concat(r["index"].cast("string"), F.lit(":"), r["reason"]))
-    return flat(out.withColumn("rejected", text))
+    return flat(out)
+
+
+def i6_rejected_items(spark, sf):
+    return flat(I.rejected_items(outcomes(spark, sf)))
 
 
 def i7_write_and_load_tables(spark, sf):
@@ -95,10 +100,9 @@ def i7_write_and_load_tables(spark, sf):
 def i8_read_replay_file(spark, sf):
     """Batch files written, then posted again with every id stored: nothing but duplicates."""
     t, base = Tables(spark, sf), _scratch(spark)
-    bodies(spark, sf).select("body").write.option("lineSep", "\n").text(base)
-    items = I.parse_items(J.split_batches(
-        spark.read.text(base).select(F.xxhash64("value").alias("batch_id"), F.col("value").alias("body"))))
-    again = I.ingest(items, t.customers, t.campaigns, t.events, AS_OF)
+    posted = bodies(spark, sf).drop("part")
+    posted.repartitionByRange("batch_id").write.partitionBy("batch_id").text(base)
+    again = I.ingest(I.parse_items(J.read_replay_file(spark, base)), t.customers, t.campaigns, t.events, AS_OF)
     return flat(again.groupBy("outcome").agg(F.count("*").alias("items")))
 
 
@@ -111,9 +115,9 @@ def i9_table_counts(spark, sf):
 
 
 def failures(spark, sf):
-    """Failed processing attempts: one to seven for every 37th event."""
-    e = X.events(spark, sf).where(F.col("id") % 37 == 0)
-    k = F.explode(F.sequence(F.lit(1), (F.col("id") % 7 + 1).cast("int"))).alias("k")
+    """Failed processing attempts of every event: one to twelve, so before and after replays."""
+    e = X.events(spark, sf)
+    k = F.explode(F.sequence(F.lit(1), (F.col("id") % 12 + 1).cast("int"))).alias("k")
     return e.select("id", "received_at", k).select(
         "id", (F.col("received_at") + F.make_dt_interval(mins=F.col("k"))).alias("attempted_at"),
         F.concat(F.lit("timeout "), F.col("k").cast("string")).alias("error"))
@@ -146,7 +150,7 @@ def p6_classify_failures(spark, sf):
 
 def p6_dead_letters(spark, sf):
     e = X.events(spark, sf)
-    return flat(D.dead_letters(e, D.classify_failures(failures(spark, sf))), "id", "event_id", "error", "attempts",
+    return flat(D.dead_letters(e, D.failure_rounds(failures(spark, sf))), "id", "event_id", "error", "attempts",
                 "failed_at", "payload")
 
 
@@ -172,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_read_event_batches, i2_parse_items, i3_validate_events, i4_resolve_dimensions, i5_dedup_events,
-        i6_ingest_summary, i7_write_and_load_tables, i8_read_replay_file, i9_table_counts, p6_classify_failures,
+        i6_ingest_summary, i6_rejected_items, i7_write_and_load_tables, i8_read_replay_file, i9_table_counts, p6_classify_failures,
         p6_dead_letters, p7_replay_dlq, p7_replay_events, p8_stuck_pending, p9_select_unprocessed,
     )
 }
@@ -204,7 +208,7 @@ oc AS (
 
 FAILS = """
 fl AS (
-  SELECT id, k, received_at + to_minutes(k) AS at_ FROM ev, range(1, 8) r(k) WHERE id % 37 = 0 AND k <= id % 7 + 1)"""
+  SELECT id, k, received_at + to_minutes(k) AS at_ FROM ev, range(1, 13) r(k) WHERE k <= id % 12 + 1)"""
 
 DLQ = """
 dq AS (
@@ -217,9 +221,9 @@ _I = (*EV, INBOUND)
 
 ORACLES = {
     "i1_read_event_batches": """
-      SELECT b AS batch_id, CASE WHEN b % 17 IN (3, 5, 7) THEN 0 ELSE n END AS items,
-        CASE WHEN b % 17 IN (3, 5, 7) THEN 'malformed request body' ELSE '' END AS error
-      FROM (SELECT event_id // 50 AS b, count(*) AS n FROM events GROUP BY 1)""",
+      SELECT CASE WHEN b % 17 IN (3, 5, 7) THEN 0 ELSE n END AS items,
+        CASE WHEN b % 17 IN (3, 5, 7) THEN 'malformed request body' ELSE '' END AS error, count(*) AS batches
+      FROM (SELECT event_id // 50 AS b, count(*) AS n FROM events GROUP BY 1) GROUP BY ALL""",
     "i2_parse_items": sql(
         """SELECT b AS batch_id, idx, CASE WHEN bad THEN '' ELSE event_id END AS event_id,
           CASE WHEN bad THEN '' ELSE 'cust_' || lpad(customer_id::VARCHAR, 5, '0') END AS customer_id,
@@ -242,8 +246,10 @@ ORACLES = {
     "i6_ingest_summary": sql(
         """SELECT batch_id, count(*) FILTER (outcome = 'accepted') AS accepted,
           count(*) FILTER (outcome = 'duplicate') AS duplicates,
-          coalesce(string_agg(idx || ':' || reason, ' | ' ORDER BY idx) FILTER (outcome = 'rejected'), '') AS rejected
+          count(*) FILTER (outcome = 'rejected') AS rejected
         FROM oc GROUP BY 1""", *_I),
+    "i6_rejected_items": sql(
+        "SELECT batch_id, idx AS index, reason FROM oc WHERE outcome = 'rejected'", *_I),
     "i7_write_and_load_tables": sql(
         """SELECT occurred_at::DATE::VARCHAR AS day, count(*) AS events, count(DISTINCT customer_id) AS customers,
           CASE WHEN count(*) FILTER (status = 'processed' AND type = 'sent' AND campaign_id IS NOT NULL) = 0 THEN -1
@@ -258,12 +264,12 @@ ORACLES = {
         UNION ALL SELECT 'profiles', count(DISTINCT customer_id) FROM pe
         UNION ALL SELECT 'events_dlq', count(*) FROM dq""", *EV, DLQ),
     "p6_classify_failures": sql(
-        """SELECT id, least(max(k), 5) AS attempts, 'timeout ' || least(max(k), 5) AS last_error,
-          epoch_us(max(at_) FILTER (k <= 5)) AS failed_at, CASE WHEN max(k) >= 5 THEN 'failed' ELSE 'pending' END AS status
+        """SELECT id, (max(k) - 1) % 5 + 1 AS attempts, 'timeout ' || max(k) AS last_error,
+          epoch_us(max(at_)) AS failed_at, CASE WHEN max(k) % 5 = 0 THEN 'failed' ELSE 'pending' END AS status
         FROM fl GROUP BY 1""", *EV, FAILS),
     "p6_dead_letters": sql(
-        """SELECT id, event_id, payload, 'timeout 5' AS error, 5 AS attempts, epoch_us(at_) AS failed_at
-        FROM fl JOIN ev USING (id) WHERE k = 5""", *EV, FAILS),
+        """SELECT id, event_id, payload, 'timeout ' || k AS error, 5 AS attempts, epoch_us(at_) AS failed_at
+        FROM fl JOIN ev USING (id) WHERE k % 5 = 0""", *EV, FAILS),
     "p7_replay_dlq": sql(
         """SELECT id, event_id, CASE WHEN id % 2 = 0 THEN epoch_us(TIMESTAMP '2024-01-31') ELSE -1 END AS replayed_at
         FROM dq""", *EV, DLQ),
@@ -272,6 +278,6 @@ ORACLES = {
           CASE WHEN back THEN 0 ELSE attempts END AS attempts FROM rep""", *EV, DLQ),
     "p8_stuck_pending": sql(
         """SELECT id, event_id, epoch_us(received_at) AS received_at FROM rep
-        WHERE back AND received_at < TIMESTAMP '2024-01-30 23:59:30' ORDER BY id LIMIT 500""", *EV, DLQ),
+        WHERE back AND received_at < TIMESTAMP '2024-01-30 23:59:30'""", *EV, DLQ),
     "p9_select_unprocessed": sql("SELECT id, 'pending' AS status, type FROM rep WHERE back", *EV, DLQ),
 }

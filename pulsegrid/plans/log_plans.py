@@ -40,6 +40,16 @@ def l3_query_event_logs(spark, sf):
     return flat(page, "id", "created_at", "event_id", "customer", "campaign", "stage", "page_pos", "has_more")
 
 
+def l3_query_newest_logs(spark, sf):
+    """The newest page of all log rows, and the page behind it by its cursor."""
+    t = Tables(spark, sf)
+    first = L.query_event_logs(_logs(spark, sf), t.customers, t.campaigns, limit=50)
+    last = first.orderBy(F.col("page_pos").desc()).first()
+    second = L.query_event_logs(_logs(spark, sf), t.customers, t.campaigns, cursor=(last.created_at, last.id), limit=50)
+    both = first.withColumn("page", F.lit(1)).unionByName(second.withColumn("page", F.lit(2)))
+    return flat(both, "page", "page_pos", "id", "created_at", "stage", "event_id")
+
+
 def l3_query_unknown_customer(spark, sf):
     t = Tables(spark, sf)
     return flat(L.query_event_logs(_logs(spark, sf), t.customers, t.campaigns, customer="cust_none"), "id", "stage")
@@ -86,32 +96,32 @@ def l11_trace_event(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        l1_lifecycle_entries, l2_apply_log_mode, l3_query_event_logs, l3_query_unknown_customer, l4_min_level, l5_prune,
+        l1_lifecycle_entries, l2_apply_log_mode, l3_query_event_logs, l3_query_newest_logs, l3_query_unknown_customer, l4_min_level, l5_prune,
         l6_activity_records, l7_query_activity, l9_list_dlq, l10_health_report, l11_trace_event,
     )
 }
 
 LOGS = """
 lg AS (
-  SELECT (batch_id * 1000 + idx) * 64 + CASE outcome WHEN 'accepted' THEN 0 ELSE 8 END AS id, occurred_at AS created_at,
+  SELECT ((batch_id * 1000 + idx)::HUGEINT * 17179869184 + (CASE outcome WHEN 'accepted' THEN 0 ELSE 1 END)::HUGEINT * 2147483648 + 0) AS id, occurred_at AS created_at,
     event_id, cust AS customer_id, camp AS campaign_id,
     CASE outcome WHEN 'accepted' THEN 'ingested' ELSE 'duplicate' END AS stage, 'info' AS level,
     CASE outcome WHEN 'accepted' THEN 'event accepted' ELSE 'duplicate event_id ignored' END AS message, request_id,
     '' AS worker, -1 AS attempt, '{"channel":"' || channel || '","type":"' || type || '"}' AS details
   FROM oc WHERE outcome <> 'rejected'
   UNION ALL
-  SELECT id * 64 + 17, received_at + to_seconds(2), event_id, customer_id, campaign_id, 'processed', 'info',
+  SELECT ((id)::HUGEINT * 17179869184 + 2::HUGEINT * 2147483648 + 1), received_at + to_seconds(2), event_id, customer_id, campaign_id, 'processed', 'info',
     'event applied to profile and campaign metrics', request_id, 'worker-1', 1,
     '{"type":"' || type || '","channel":"' || channel || '"}'
   FROM pe
   UNION ALL
-  SELECT id * 64 + CASE WHEN k < 5 THEN 24 ELSE 32 END + k, at_, event_id, customer_id, campaign_id,
-    CASE WHEN k < 5 THEN 'retry' ELSE 'dead_lettered' END, CASE WHEN k < 5 THEN 'warn' ELSE 'error' END,
-    CASE WHEN k < 5 THEN 'processing failed; will retry' ELSE 'retries exhausted; moved to dead-letter queue' END,
-    request_id, 'worker-2', k, '{"error":"timeout ' || k || '"}'
-  FROM fl JOIN ev USING (id) WHERE k <= 5
+  SELECT ((id)::HUGEINT * 17179869184 + (CASE WHEN k % 5 = 0 THEN 4 ELSE 3 END)::HUGEINT * 2147483648 + k), at_, event_id, customer_id, campaign_id,
+    CASE WHEN k % 5 > 0 THEN 'retry' ELSE 'dead_lettered' END, CASE WHEN k % 5 > 0 THEN 'warn' ELSE 'error' END,
+    CASE WHEN k % 5 > 0 THEN 'processing failed; will retry' ELSE 'retries exhausted; moved to dead-letter queue' END,
+    request_id, 'worker-2', (k - 1) % 5 + 1, '{"error":"timeout ' || k || '"}'
+  FROM fl JOIN ev USING (id)
   UNION ALL
-  SELECT dq.id * 64 + 40, TIMESTAMP '2024-01-31', dq.event_id, customer_id, campaign_id, 'replayed', 'info',
+  SELECT ((dq.id)::HUGEINT * 17179869184 + 5::HUGEINT * 2147483648 + 0), TIMESTAMP '2024-01-31', dq.event_id, customer_id, campaign_id, 'replayed', 'info',
     'dead-lettered event replayed by operator', coalesce(request_id, ''), '', -1,
     '{"dlq_id":' || dq.id || ',"replay_request_id":"req-ops"}'
   FROM dq LEFT JOIN ev USING (event_id) WHERE dq.id % 2 = 0)"""
@@ -150,26 +160,30 @@ _L = (*EV, INBOUND, FAILS, DLQ, LOGS)
 
 ORACLES = {
     "l1_lifecycle_entries": sql(
-        """SELECT id, epoch_us(created_at) AS created_at, event_id, coalesce(customer_id, -1) AS customer_id,
+        """SELECT id::VARCHAR AS id, epoch_us(created_at) AS created_at, event_id, coalesce(customer_id, -1) AS customer_id,
           coalesce(campaign_id, -1) AS campaign_id, stage, level, message, request_id, worker, attempt, details
         FROM lg""", *_L),
     "l2_apply_log_mode": sql(
-        "SELECT id, stage, level FROM lg WHERE stage IN ('retry', 'dead_lettered', 'replayed')", *_L),
+        "SELECT id::VARCHAR AS id, stage, level FROM lg WHERE stage IN ('retry', 'dead_lettered', 'replayed')", *_L),
     "l3_query_event_logs": sql(
-        """SELECT lg.id, epoch_us(lg.created_at) AS created_at, event_id, cu.ext AS customer, ca.ext AS campaign, stage,
-          row_number() OVER (ORDER BY lg.id DESC) AS page_pos, (count(*) OVER () > 60)::BIGINT AS has_more
+        """SELECT lg.id::VARCHAR AS id, epoch_us(lg.created_at) AS created_at, event_id, cu.ext AS customer, ca.ext AS campaign, stage,
+          row_number() OVER (ORDER BY lg.created_at DESC, lg.id DESC) AS page_pos, (count(*) OVER () > 60)::BIGINT AS has_more
         FROM lg LEFT JOIN cu ON cu.id = customer_id LEFT JOIN ca ON ca.id = campaign_id
         WHERE stage = 'processed' AND campaign_id = 13 AND lg.created_at >= TIMESTAMP '2024-01-10'
         ORDER BY page_pos LIMIT 60""", *_L),
-    "l3_query_unknown_customer": "SELECT event_id AS id, props AS stage FROM events WHERE false",
-    "l4_min_level": sql("SELECT id, stage, level, message FROM lg WHERE level IN ('warn', 'error')", *_L),
+    "l3_query_newest_logs": sql(
+        """SELECT (pos - 1) // 50 + 1 AS page, (pos - 1) % 50 + 1 AS page_pos, id::VARCHAR AS id,
+          epoch_us(created_at) AS created_at, stage, event_id
+        FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS pos FROM lg) WHERE pos <= 100""", *_L),
+    "l3_query_unknown_customer": "SELECT event_id::VARCHAR AS id, props AS stage FROM events WHERE false",
+    "l4_min_level": sql("SELECT id::VARCHAR AS id, stage, level, message FROM lg WHERE level IN ('warn', 'error')", *_L),
     "l5_prune": sql(
-        """SELECT id, epoch_us(created_at) AS created_at FROM lg
+        """SELECT id::VARCHAR AS id, epoch_us(created_at) AS created_at FROM lg
         WHERE NOT created_at < TIMESTAMP '2024-01-31' - to_days(14)""", *_L),
     "l6_activity_records": sql("SELECT * REPLACE (epoch_us(created_at) AS created_at) FROM act", ACTIVITY),
     "l7_query_activity": sql(
         """SELECT id, epoch_us(created_at) AS created_at, action, status, entity,
-          row_number() OVER (ORDER BY id DESC) AS page_pos, (count(*) OVER () > 40)::BIGINT AS has_more
+          row_number() OVER (ORDER BY created_at DESC, id DESC) AS page_pos, (count(*) OVER () > 40)::BIGINT AS has_more
         FROM act WHERE starts_with(action, 'customer.') AND status >= 400 AND created_at >= TIMESTAMP '2024-01-05'
         ORDER BY page_pos LIMIT 40""", ACTIVITY),
     "l9_list_dlq": sql(
@@ -189,7 +203,7 @@ ORACLES = {
           (SELECT round(avg((outcome = 'rejected')::INT), 6) FROM oc) AS rejected_rate
         FROM rep""", *EV, INBOUND, DLQ),
     "l11_trace_event": sql(
-        """SELECT lg.id, epoch_us(lg.created_at) AS created_at, event_id, stage, attempt, coalesce(cu.ext, '') AS customer,
+        """SELECT lg.id::VARCHAR AS id, epoch_us(lg.created_at) AS created_at, event_id, stage, attempt, coalesce(cu.ext, '') AS customer,
           coalesce(ca.ext, '') AS campaign
         FROM lg LEFT JOIN cu ON cu.id = customer_id LEFT JOIN ca ON ca.id = campaign_id
         WHERE request_id = 'req-3'""", *_L),

@@ -49,7 +49,7 @@ def p2_merge_profiles(spark, sf):
     got = F.col("received_at")
     loads = [e.where(got < cut[0]), e.where((got >= cut[0]) & (got < cut[1])), e.where(got >= cut[1])]
     a, b, c = (P.profile_partials(load, AS_OF) for load in loads)
-    return flat(P.merge_profiles(P.merge_cells(a.unionByName(c), AS_OF), b, e, AS_OF))
+    return flat(P.merge_profiles(P.merge_cells(a.unionByName(c)), b, e, AS_OF))
 
 
 def p3_derive_sends(spark, sf):

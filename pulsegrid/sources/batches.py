@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # The reply to a request that cannot be read as a batch.
 MALFORMED = "malformed request body"
-MAX_BATCH = 500
-TOO_LARGE = "batch exceeds 500 events"
 
 
 def read_batch_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,18 +30,21 @@ def _events(body: Column) -> Column:
 def _with_error(batches: DataFrame) -> DataFrame:
     """A batch is taken or refused as a whole before its items are looked at."""
     return batches.withColumn("_events", _events(F.col("body"))).withColumn(
-        "batch_error",
-        F.when(F.col("_events").isNull(), MALFORMED).when(F.size("_events") > MAX_BATCH, TOO_LARGE),
-    )
+        "batch_error", F.when(F.col("_events").isNull(), MALFORMED))
 
 
 def malformed_batches(batches: DataFrame) -> DataFrame:
-    """Batches that are no JSON, have no ``events`` array or hold more than 500 events."""
+    """Batches that are no JSON or have no ``events`` array; a batch may hold any number of events."""
     return _with_error(batches).where(F.col("batch_error").isNotNull()).drop("_events")
 
 
 def split_batches(batches: DataFrame) -> DataFrame:
-    """One row per item (batch_id, idx, item); items stay raw, so one bad item fails alone."""
+    """One row per item (batch_id, idx, item); items stay raw, so one bad item fails alone.
+
+    Further columns are carried along. Where two bodies can share a batch_id (a Kafka key, a hash of the
+    body), give each a ``post_id`` of its own, such as a hash of topic, partition and offset:
+    ``dedup_events`` tells their items apart by it.
+    """
     kept = _with_error(batches).where(F.col("batch_error").isNull())
     others = [c for c in batches.columns if c != "body"]
     return kept.select(*others, F.posexplode("_events").alias("idx", "item"))
@@ -61,9 +62,9 @@ def read_replay_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batch_bodies(items: DataFrame, fields: list[str], size: int = 50) -> DataFrame:
-    """Items (batch_id, idx, fields...) as JSON bodies of at most 500 items each."""
-    if not 0 < size <= MAX_BATCH:
-        raise ValueError(TOO_LARGE)
+    """Items (batch_id, idx, fields...) as JSON bodies of at most ``size`` items each."""
+    if size <= 0:
+        raise ValueError("a body holds at least one item")
     part = F.expr(f"idx div {size}")
     doc = F.struct(*[F.col(c) for c in fields])
     return (

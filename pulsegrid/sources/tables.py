@@ -11,7 +11,7 @@ TABLES = (
     "customers", "campaigns", "events", "events_dlq", "profiles", "profile_cells", "sends", "campaign_daily",
     "event_logs", "activity_logs",
 )
-# Facts are laid out by day: time filters then prune folders instead of reading files.
+# Facts are laid out by day. A time filter prunes folders only with a filter on ``event_day`` beside it.
 DAY_OF = {"events": "occurred_at", "sends": "sent_at", "event_logs": "created_at", "activity_logs": "created_at"}
 
 

@@ -74,10 +74,19 @@ class EngagementPipeline:
         )
 
     def table(self, name: str) -> DataFrame | None:
+        """A table, or None before its first row is written; any other failure to read is raised."""
         try:
             return self.spark.read.parquet(f"{self.base}/{name}")
-        except AnalysisException:
-            return None
+        except AnalysisException as err:
+            # A load without rows leaves a folder without files, hence without a schema.
+            if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def _written(self, name: str, load: int, as_planned: DataFrame) -> DataFrame:
+        """The rows of a load, read back; an empty load has the planned columns."""
+        rows = self.table(name)
+        return as_planned.where(F.lit(False)) if rows is None else rows.where(F.col("load") == load).drop("load")
 
     def _stored_ids(self, load: int, posted: DataFrame) -> DataFrame:
         """Ids of earlier loads that this batch posts again. The history is scanned, not shuffled."""
@@ -108,13 +117,14 @@ class EngagementPipeline:
         outcomes = I.ingest(items, self.customers, self.campaigns, self._stored_ids(load, items), now)
         # Written once and read back: later steps see the same ids, and a lost executor only
         # re-reads files.
-        self._write(outcomes.withColumn("id", _row_ids(load)), "outcomes", load)
-        mine = self.table("outcomes").where(F.col("load") == load).drop("load")
+        outcomes = outcomes.withColumn("id", _row_ids(load))
+        self._write(outcomes, "outcomes", load)
+        mine = self._written("outcomes", load, outcomes)
         events = I.accepted_events(mine, now, "id").withColumns(
             {"status": F.lit("processed"), "processed_at": now}
         )
         self._write(events.withColumn("event_day", F.to_date("occurred_at")), "events", load, "event_day")
-        done = self.table("events").where(F.col("load") == load).drop("load", "event_day")
+        done = self._written("events", load, events).drop("event_day")
         self._write(P.profile_partials(done, now), "profile_cells", load)
         self._write(campaign_daily(done), "campaign_daily", load)
         self._write(derive_sends(done), "sends", load)
@@ -144,7 +154,7 @@ class EngagementPipeline:
                 rows = rows.where(F.col("load") > newest).drop("load").unionByName(
                     base.where(F.col("upto") == newest).drop("upto"))
         rows = rows.drop("load")
-        return merge_daily(rows) if table == "campaign_daily" else P.merge_cells(rows, as_of)
+        return merge_daily(rows) if table == "campaign_daily" else P.merge_cells(rows)
 
     def daily(self) -> DataFrame:
         return self._merged("campaign_daily", None)

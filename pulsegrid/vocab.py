@@ -99,7 +99,6 @@ OBJECTIVE_AREA = {
 # Processing and paging.
 MAX_ATTEMPTS = 5
 STUCK_AFTER_SECONDS = 30
-STUCK_LIMIT = 500
 DEFAULT_PAGE = 50
 MAX_PAGE = 200
 

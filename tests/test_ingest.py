@@ -67,8 +67,8 @@ def test_malformed_batches(spark):
     b = batches(spark, ['{"events": []}', '{"events": null}', "{}", "{bad", "[]", "null", '{"events": 5}',
                         {"events": [BASE] * 501}, {"events": [BASE] * 500}])
     bad = {r.batch_id: r.batch_error for r in J.malformed_batches(b).collect()}
-    assert bad == {**{i: J.MALFORMED for i in range(1, 7)}, 7: J.TOO_LARGE}
-    assert J.split_batches(b).count() == 500
+    assert bad == {i: J.MALFORMED for i in range(1, 7)}
+    assert J.split_batches(b).count() == 1001
 
 
 def test_strict_item_types(spark):
@@ -86,8 +86,8 @@ def test_mixed_batch_summary(spark):
              42, BASE, {**BASE, "event_id": "e4", "campaign_id": "camp_003"}, {**BASE, "event_id": "old"}]
     out = outcomes(spark, [items], stored=["old"])
     s = I.ingest_summary(out).first()
-    assert (s.accepted, s.duplicates) == (2, 2)
-    assert [(r["index"], r["reason"]) for r in s.rejected] == [
+    assert (s.accepted, s.duplicates, s.rejected) == (2, 2, 3)
+    assert [(r["index"], r["reason"]) for r in I.rejected_items(out).orderBy("index").collect()] == [
         (1, "unknown customer_id"), (2, "unknown campaign_id"), (3, "malformed event object")]
 
 
@@ -119,13 +119,39 @@ def test_dedup_against_brute_force(spark, posted, stored):
     assert {r.outcome for r in again.collect()} == {"duplicate"}
 
 
-@pytest.mark.parametrize("failed, limit, dead", [(1, 5, False), (4, 5, False), (5, 5, True), (7, 5, True), (1, 1, True)])
+def test_batch_of_any_size(spark, tmp_path):
+    (tmp_path / "big.json").write_text(json.dumps({"events": [{**BASE, "event_id": f"e{i}"} for i in range(1203)]}))
+    items, bad = J.read_event_batches(spark, str(tmp_path))
+    assert items.count() == 1203 and bad.count() == 0
+
+
+def test_one_batch_id_for_two_bodies(spark):
+    """Rows are never doubled, and a body that is posted twice is accepted once."""
+    rows = [(5, p, i, e, None) for p, body in ((1, ["a", "b"]), (2, ["a", "c"]), (3, ["a", "b"])) for i, e in enumerate(body)]
+    df = spark.createDataFrame(rows, "batch_id long, post_id long, idx int, event_id string, reject_reason string")
+    got = {(r.post_id, r.idx): r.outcome for r in I.dedup_events(df, spark.createDataFrame([], "event_id string")).collect()}
+    assert got == {(1, 0): "accepted", (1, 1): "accepted", (2, 0): "duplicate", (2, 1): "accepted", (3, 0): "duplicate",
+                   (3, 1): "duplicate"}
+    other = I.dedup_events(df.drop("post_id").where("event_id <> 'a'"), spark.createDataFrame([], "event_id string"))
+    assert other.count() == 3
+
+
+def test_failures_after_a_replay(spark):
+    rows = [(1, f"2024-01-01 00:{k:02d}:00", f"err {k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "id long, at string, error string").withColumn("attempted_at", F.col("at").cast("timestamp"))
+    rounds = D.failure_rounds(df).orderBy("round").collect()
+    assert [(r.attempts, r.last_error, r.status) for r in rounds] == [(5, "err 4", "failed"), (5, "err 9", "failed")]
+    events = spark.createDataFrame([(1, "evt_1", "{}")], "id long, event_id string, payload string")
+    assert D.dead_letters(events, D.failure_rounds(df)).count() == 2
+
+
+@pytest.mark.parametrize("failed, limit, dead", [(1, 5, False), (4, 5, False), (5, 5, True), (7, 5, False), (10, 5, True), (1, 1, True)])
 def test_dead_letter_rule(spark, failed, limit, dead):
     rows = [(1, f"2024-01-01 00:0{k}:00", f"err {k}") for k in range(failed)]
     df = spark.createDataFrame(rows, "id long, at string, error string").withColumn("attempted_at", F.col("at").cast("timestamp"))
     r = D.classify_failures(df, limit).first()
-    assert (r.status == "failed") == dead and r.attempts == min(failed, limit)
-    assert r.last_error == f"err {min(failed, limit) - 1}"
+    assert (r.status == "failed") == dead and r.attempts == (failed - 1) % limit + 1
+    assert r.last_error == f"err {failed - 1}"
 
 
 def test_tables_round_trip(spark, tmp_path):

@@ -66,14 +66,14 @@ def test_life_of_one_event(spark, world):
 def test_query_pages(spark, world):
     *_, cust, camp = world
     logs = all_logs(spark, world)
-    want = [r.id for r in logs.where("stage = 'processed'").orderBy(F.desc("id")).collect()]
+    want = [r.id for r in logs.where("stage = 'processed'").orderBy(F.desc("created_at"), F.desc("id")).collect()]
     got, cursor = [], None
     while True:
         page = L.query_event_logs(logs, cust, camp, cursor, 4, stage="processed").orderBy("page_pos").collect()
         got += [r.id for r in page]
         if not page[-1].has_more:
             break
-        cursor = page[-1].id
+        cursor = (str(page[-1].created_at), page[-1].id)
     assert got == want and len(got) == 11
     assert L.query_event_logs(logs, cust, camp, campaign="camp_1").where("campaign_id <> 1").count() == 0
     assert L.query_event_logs(logs, cust, camp, customer="nobody").count() == 0

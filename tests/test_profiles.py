@@ -84,7 +84,7 @@ def test_merge_equals_rebuild(spark, rows):
     load = F.element_at(F.array(*[F.lit(r[4]) for r in rows]), F.col("id").cast("int"))
     parts = [P.profile_partials(e.where(load == k), at(29.5)) for k in (2, 0, 1)]
     cells = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    merged = P.profiles_from_cells(P.merge_cells(cells, "2024-01-31"), "2024-01-31", P.activity_trend(e, "2024-01-31"))
+    merged = P.profiles_from_cells(P.merge_cells(cells), "2024-01-31", P.activity_trend(e, "2024-01-31"))
     def key(df):
         return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
     assert key(merged) == key(P.build_profiles(e, "2024-01-31"))
@@ -139,7 +139,25 @@ def test_pages_join_up_to_the_whole_order(spark):
             break
         cursor = (str(page[-1].occurred_at), page[-1].id)
     assert got == want
-    assert [page_limit(n) for n in (None, 0, 7, 500)] == [50, 50, 7, 200]
+    assert [page_limit(n) for n in (None, 0, 7, 200)] == [50, 50, 7, 200]
+    with pytest.raises(ValueError):
+        page_limit(201)
+
+
+@pytest.mark.parametrize("days", [["1970-01-01"], ["1970-01-01", "2024-01-05"], ["0001-02-03", "1999-12-31", "2023-12-31", "2024-01-30"]])
+def test_scores_of_any_past_are_sums(spark, days):
+    """No growth from a sum that has underflowed: equal to a direct sum at the newest event."""
+    import math
+    from datetime import datetime
+
+    e = events(spark, [(1, "email", "clicked", d) for d in days])
+    newest = datetime.fromisoformat(days[-1])
+    want = sum(2.0 * math.exp(-math.log(2) / 1209600 * (newest - datetime.fromisoformat(d)).total_seconds()) for d in days)
+    direct = P.decayed_score(e, "2024-01-31").first().raw
+    assert P.build_profiles(e, "2024-01-31").first().engagement_score == pytest.approx(want) and direct == pytest.approx(want)
+    cells = [P.profile_partials(e.where(F.col("id") % 2 == k), "2024-01-31") for k in (0, 1)]
+    merged = P.profiles_from_cells(P.merge_cells(cells[0].unionByName(cells[1])), "2024-01-31")
+    assert merged.first().engagement_score == pytest.approx(want)
 
 
 def test_timelines_limit_groups_before_the_shuffle(spark):

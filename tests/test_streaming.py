@@ -91,3 +91,13 @@ def test_running_a_load_again_changes_nothing(spark, tmp_path):
     assert key(pipe.profiles(AS_OF)) == once
     assert seen == [(0, 20), (1, 5), (0, 20), (1, 5)]
     assert pipe.table("events").count() == 25
+
+
+def test_first_loads_without_rows(spark, tmp_path):
+    """Only a malformed body, only rejected items, then an ordinary load."""
+    pipe = EngagementPipeline(spark, str(tmp_path / "t"), *dims(spark), clock=clock)
+    for load, body in enumerate(["{oops", json.dumps({"events": [42]}), json.dumps({"events": posted(5)})]):
+        pipe.process(spark.createDataFrame([(load, body)], "batch_id long, body string"), load)
+    counts = {r.outcome: r["count"] for r in pipe.table("outcomes").groupBy("outcome").count().collect()}
+    assert counts == {"rejected": 1, "accepted": 5}
+    assert pipe.table("refused_batches").count() == 1 and pipe.profiles(AS_OF).count() > 0
