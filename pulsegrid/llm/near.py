@@ -89,7 +89,9 @@ class Signer:
         values = np.empty(self.bins, np.uint64)
         values[filled] = hashes[first]
         if len(filled) < self.bins:
-            empty = np.setdiff1d(np.arange(self.bins), filled, assume_unique=True)
+            without = np.ones(self.bins, bool)
+            without[filled] = False
+            empty = np.flatnonzero(without)
             donor = filled[self.rank[np.ix_(empty, filled)].argmin(axis=1)]
             values[empty] = values[donor]
         return values
