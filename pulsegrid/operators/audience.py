@@ -1,8 +1,9 @@
 """Audience recommendation for any number of requests in one job.
 
-A request keeps a bounded candidate pool, the best 10 x size by stored score. Requests meet
-customers map-side, the pool is cut inside each task before anything is shuffled, and the
-steps after it (weights, caps, reasons) see at most 200,000 rows per request.
+By default every match is weighted, customers over their cap leave before the cut, and a request
+gets its true best. The named option ``exact=False`` re-ranks a bounded pool instead, the best
+10 x size by stored score, of which 2 x size rows are checked for the cap. Requests meet customers
+map-side, and either cut is made inside each task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -286,42 +287,43 @@ def _weighted(rows: DataFrame, as_of) -> DataFrame:
         F.col("last_event_at"), S.as_ts(as_of)))
 
 
-def ranked_pool(requests: DataFrame, customers: DataFrame, profiles: DataFrame, sends: DataFrame,
-                campaigns: DataFrame, as_of, exact: bool = False) -> DataFrame:
-    """Candidates ranked by the objective weight; invalid requests have no rows.
+def eligible_top(found: DataFrame, contexts: DataFrame, counts: DataFrame, shape: RequestShape, as_of) -> DataFrame:
+    """The best ``size`` matches of each request by weight, without customers at or over their cap."""
+    open_ = _weighted(found, as_of).join(contexts, "request_id").join(counts, ["customer_id", "window_hours"], "left").where(
+        ~F.col("respect_cap") | (F.coalesce("sends", F.lit(0).cast("long")) < F.col("cap"))).drop("sends")
+    return _cut(open_, "weighted", F.col("size"), shape.max_size, "rank")
 
-    By default the weights re-rank the pool. ``exact`` ranks every match and keeps the
-    2 x size that the next steps can use.
-    """
-    valid = validate_audience_requests(requests).where(F.col("error").isNull())
-    shape = RequestShape.of(valid)
-    found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape)
-    reserve = F.col("size") * 2
-    if exact:
-        counts = found.groupBy("request_id").agg(F.count("*").alias("considered"))
-        best = _cut(_weighted(found, as_of), "weighted", reserve, 2 * shape.max_size, "rank")
-        return best.join(counts, "request_id").withColumn("truncated", F.lit(False))
+
+def ranked_pool(found: DataFrame, shape: RequestShape, as_of) -> DataFrame:
+    """The bounded pool ranked by the objective weight."""
     order = Window.partitionBy("request_id").orderBy(F.col("weighted").desc(), F.col("customer_id").asc())
     pool = _weighted(candidate_pool(found, shape), as_of)
     return pool.withColumn("rank", F.row_number().over(order))
 
 
 def recommend_audience(requests: DataFrame, customers: DataFrame, profiles: DataFrame, sends: DataFrame,
-                       campaigns: DataFrame, as_of, exact: bool = False,
+                       campaigns: DataFrame, as_of, exact: bool = True,
                        decayed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(candidates, meta) for all valid requests.
+    """(candidates, meta) for all valid requests; invalid requests have no rows.
 
     Scores are compared as stored, each at its own anchor, unless ``decayed`` brings them to
-    ``as_of`` first.
+    ``as_of`` first. ``exact=False`` is the bounded pool.
     """
     if decayed:
         profiles = reanchor(profiles, as_of)
-    pool = ranked_pool(requests, customers, profiles, sends, campaigns, as_of, exact)
+    valid = validate_audience_requests(requests).where(F.col("error").isNull())
+    shape = RequestShape.of(valid)
+    found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape)
     contexts = cap_context(requests.select("request_id", "channel", "objective"), campaigns).select(
         "request_id", "cap", "window_hours"
     )
     counts = send_counts(sends, contexts, as_of)
-    chosen = apply_frequency_cap(pool.join(contexts, "request_id"), counts)
+    if exact:
+        pool = found.groupBy("request_id").agg(F.count("*").alias("considered")).withColumn("truncated", F.lit(False))
+        chosen = eligible_top(found, contexts, counts, shape, as_of).join(pool, "request_id")
+    else:
+        pool = ranked_pool(found, shape, as_of)
+        chosen = apply_frequency_cap(pool.join(contexts, "request_id"), counts)
     candidates = audience_reasons(chosen, as_of).select(
         "request_id", "customer_id", "customer", S.display_score(F.col("weighted")).alias("score"), "rank", "reasons",
         "considered", "truncated",

@@ -89,13 +89,21 @@ def a11_audience_meta(spark, sf):
 
 def _recommended(spark, sf):
     t = Tables(spark, sf)
-    return A.recommend_audience(_requests(spark, sf), t.customers, t.profiles, t.sends, t.campaigns, AS_OF)
+    return A.recommend_audience(_requests(spark, sf), t.customers, t.profiles, t.sends, t.campaigns, AS_OF, exact=False)
 
 
 def a12_recommend_audience(spark, sf):
+    """With the bounded pool."""
     return flat(_recommended(spark, sf)[0], "request_id", "customer", "score", "rank", "reasons")
 
 
+def a12_recommend_audience_exact(spark, sf):
+    """The default: every match weighted, customers over their cap left out before the cut."""
+    t = Tables(spark, sf)
+    out = A.recommend_audience(_requests(spark, sf), t.customers, t.profiles, t.sends, t.campaigns, AS_OF)[0]
+    return flat(out, "request_id", "customer", "score", "rank", "reasons", "considered")
+
+
 def a13_over_cap_customers(spark, sf):
     t = Tables(spark, sf)
     return flat(A.over_cap_customers(t.customers, t.profiles, t.sends, t.campaigns, AS_OF))
@@ -106,7 +114,7 @@ QUERIES = {
     for f in (
         a1_validate_audience_requests, a2_audience_prefilter, a3_candidate_pool, a4_objective_score, a5_top_k,
         a5_top_k_per_customer, a6_dedup_candidates, a7_cap_context, a8_send_counts, a9_apply_frequency_cap,
-        a10_audience_reasons, a11_audience_meta, a12_recommend_audience, a13_over_cap_customers,
+        a10_audience_reasons, a11_audience_meta, a12_recommend_audience, a12_recommend_audience_exact, a13_over_cap_customers,
     )
 }
 
@@ -171,6 +179,8 @@ chosen AS (
   FROM out0 WHERE rank <= size)"""
 
 _R = (*EVP, REQS)
+_EXACT = (*EVP, REQS.replace("least(size * 10, 200000)", "9223372036854775807").replace(
+    "WHERE r0 <= size * CASE WHEN respect_cap THEN 2 ELSE 1 END", ""))
 
 ORACLES = {
     "a1_validate_audience_requests": f"""
@@ -228,6 +238,10 @@ ORACLES = {
         """SELECT request_id, customer, round(disp, 6) + 0.0 AS score, rank, array_to_string(
           (CASE WHEN len(why) < 2 THEN list_append(why, 'matches all audience filters') ELSE why END)[1:4], ' | ')
           AS reasons FROM chosen""", *_R),
+    "a12_recommend_audience_exact": sql(
+        """SELECT request_id, customer, round(disp, 6) + 0.0 AS score, rank, array_to_string(
+          (CASE WHEN len(why) < 2 THEN list_append(why, 'matches all audience filters') ELSE why END)[1:4], ' | ')
+          AS reasons, considered FROM chosen""", *_EXACT),
     "a13_over_cap_customers": sql(
         """SELECT cu.id AS customer_id, cu.ext AS customer, ctx.channel, ctx.objective, cap, hours AS window_hours,
           count(*) AS sends, round(any_value(p.raw), 6) + 0.0 AS engagement_score

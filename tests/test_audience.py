@@ -175,7 +175,21 @@ def test_reasons(spark):
 
 
 def test_plan_has_no_cross_join_and_cuts_groups_early(spark):
-    cand, _ = A.recommend_audience(request(spark), *world(spark), AS_OF)
+    cand, _ = A.recommend_audience(request(spark), *world(spark), AS_OF, exact=False)
     text = plan(cand)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert text.count("WindowGroupLimit") >= 4
+
+
+def test_exact_fills_every_request_it_can(spark):
+    """Two thirds of the best are over their cap: more than a reserve of 2 x size would have skipped."""
+    cust, prof, sends, camp = world(spark)
+    many = prof.where("customer_id >= 12").select("customer_id", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        "customer_id", F.lit(1).cast("long").alias("campaign_id"), F.lit("email").alias("channel"),
+        F.lit("2024-01-30 12:00:00").cast("timestamp").alias("sent_at"))
+    sends = sends.unionByName(many, allowMissingColumns=True)
+    reqs = request(spark, size=5)
+    got = A.recommend_audience(reqs, cust, prof, sends, camp, AS_OF)[0]
+    assert got.count() == 5 and got.where("customer_id >= 12").count() == 0
+    text = plan(got)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "WindowGroupLimit" in text
