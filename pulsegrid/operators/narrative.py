@@ -220,10 +220,13 @@ def numbers_in_text(text: Column) -> Column:
 def fact_numbers(facts: Column) -> Column:
     """Every number of a JSON document at any depth, and the digits inside its string values.
 
-    One pass over the tokens: strings followed by a colon are keys and do not count.
+    One pass over the tokens: strings followed by a colon are keys and do not count. A string with
+    escapes is read first, as the digits of an escape are no digits of the value.
     """
     tokens = F.regexp_extract_all(facts, F.lit(JSON_TOKEN), 0)
     text = F.filter(tokens, lambda t: t.startswith('"') & t.endswith('"'))
+    text = F.transform(text, lambda t: F.when(
+        t.contains("\\"), F.coalesce(F.try_variant_get(F.try_parse_json(t), "$", "string"), t)).otherwise(t))
     plain = F.filter(tokens, lambda t: ~t.startswith('"'))
     found = F.concat(_doubles(F.flatten(F.transform(text, number_literals))), _doubles(plain))
     nothing = F.array().cast("array<double>")

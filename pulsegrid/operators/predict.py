@@ -135,8 +135,15 @@ def target_daily(events: DataFrame, as_of) -> DataFrame:
     )
 
 
+def check_lookback(days: int) -> None:
+    """The rollup of responses reaches back a fixed time; a longer window is an error, not cut in silence."""
+    if not 0 < days <= V.MAX_LOOKBACK_DAYS:
+        raise ValueError(f"lookback_days must be between 1 and {V.MAX_LOOKBACK_DAYS}")
+
+
 def customer_evidence(rollup: DataFrame, lookback_days: int) -> DataFrame:
     """Responses per customer and channel within the window, for all customers at once."""
+    check_lookback(lookback_days)
     return (
         rollup.where(F.col("age") <= lookback_days)
         .groupBy("customer_id", "channel").agg(*[F.sum(t).alias(t) for t in ("delivered", *SUCCESS_TYPES)])
@@ -547,6 +554,7 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
     (objective, responses). The answer goes back to the customers over a salted join, because
     one pattern, above all "no history", can hold most of them.
     """
+    check_lookback(lookback_days)
     spark = customers.sparkSession
     asked = spark.createDataFrame([(o, lookback_days) for o in objectives], "objective string, lookback_days int")
     priors = customer_priors(daily, campaigns, asked, as_of)

@@ -166,3 +166,11 @@ def test_output_quality(spark):
     got = {r.provider: r for r in N.output_quality(df).collect()}
     assert got["m"].invalid_rate == 0.5 and abs(got[V.RULE_PROVIDER].served_share - 2 / 3) < 1e-9
     assert got[V.RULE_PROVIDER].is_fallback
+
+
+def test_digits_of_escapes_are_no_facts(spark):
+    facts = r'{"name": "a \u0026 b \\ 5 \"7\"", "k": "\n31", "n": 7}'
+    got = spark.range(1).select(N.fact_numbers(F.lit(facts)).alias("x")).first().x
+    assert sorted(got) == [5.0, 7.0, 31.0]
+    bad = spark.range(1).select(N.unsupported_numbers(F.lit("26 and 2600 of 31"), N.fact_numbers(F.lit(facts))).alias("x")).first().x
+    assert bad == [26.0, 2600.0]
