@@ -78,19 +78,18 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes one example; yields the sequences that are finished."""
-        while self.cut and (n := piece.head(self.limits.tokens, self.limits.loss)) < len(piece.ids) or (
-                n == self.limits.tokens and len(piece.ids) == n):
+        while len(piece.ids) >= self.limits.tokens or piece.loss > self.limits.loss:
+            n = piece.head(self.limits.tokens, self.limits.loss)
             if n == len(piece.ids):
                 yield [piece]
                 return
-            if n == 0:
-                break
+            if not self.cut or n == 0:
+                raise ValueError(f"example {piece.doc} exceeds a sequence and may not be cut")
             first, piece = piece.cut(n)
-            if len(first.ids) == self.limits.tokens:
+            if n == self.limits.tokens:
                 yield [first]
             else:
                 self.waiting.append(first)
-        self._check(piece)
         self.waiting.append(piece)
         if len(self.waiting) >= self.pool:
             yield from self._drain(self.pool // 2)
@@ -98,10 +97,6 @@ class Packer:
     def finish(self) -> Iterator[list[Piece]]:
         yield from self._drain(0)
 
-    def _check(self, piece: Piece) -> None:
-        if len(piece.ids) > self.limits.tokens or piece.loss > self.limits.loss:
-            raise ValueError(f"example {piece.doc} exceeds a sequence and may not be cut")
-
     def _drain(self, leave: int) -> Iterator[list[Piece]]:
         """Sequences until ``leave`` pieces wait; at the end (0) also the unfilled ones."""
         lim = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.float64)

@@ -153,7 +153,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[WarcPart]:
         return [WarcPart(p) for p in committed(self.path)]
 
-    def read(self, partition: WarcPart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcPart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         rows, size = [], 0
         place, path = open_place(partition.path)
         with place.open_input_file(path) as file:
