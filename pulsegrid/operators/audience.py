@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.profiles import reanchor
+from pulsegrid.sources.tables import from_day
 
 # Requests of one pass are broadcast; more of them are answered in several passes.
 REQUESTS_PER_PASS = 2000
@@ -113,8 +114,10 @@ def send_counts(sends: DataFrame, windows: DataFrame, as_of) -> DataFrame:
     now = S.as_ts(as_of)
     hours = windows.select("window_hours").agg(F.sort_array(F.collect_set("window_hours")).alias("h"))
     age = S.seconds_between(now, F.col("sent_at")) / 3600
+    # The longest window bounds the scan, and its folders.
+    since = now - F.make_dt_interval(hours=windows.agg(F.max("window_hours").cast("int")).scalar())
     return (
-        sends.where(F.col("sent_at") <= now)
+        from_day(sends, since).where((F.col("sent_at") <= now) & (F.col("sent_at") > since))
         .withColumn("_h", hours.scalar())
         .where(age < F.array_max("_h"))
         .select("customer_id", F.explode(F.filter("_h", lambda h: h > age)).alias("window_hours"))

@@ -11,6 +11,7 @@ from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.deadletter import failed_attempts
 from pulsegrid.operators.paging import keyset_page
+from pulsegrid.sources.tables import from_day
 
 # Level and message of each stage.
 STAGE_TEXT = {
@@ -125,7 +126,7 @@ def filter_event_logs(logs: DataFrame, customers: DataFrame, campaigns: DataFram
     if level:
         logs = logs.where(min_level(level))
     if since is not None:
-        logs = logs.where(F.col("created_at") >= S.as_ts(since))
+        logs = from_day(logs, S.as_ts(since)).where(F.col("created_at") >= S.as_ts(since))
     for dim, ext, key in ((customers, customer, "customer_id"), (campaigns, campaign, "campaign_id")):
         if ext:
             wanted = dim.where(F.col("external_id") == ext).select(F.col("id").alias(key))
@@ -159,7 +160,8 @@ def prune(rows: DataFrame, days: int, as_of, column: str = "created_at") -> Data
     """Rows within the retention; zero or less keeps all."""
     if days <= 0:
         return rows
-    return rows.where(F.col(column) >= S.as_ts(as_of) - F.expr(f"INTERVAL '{days}' DAY"))
+    since = S.as_ts(as_of) - F.expr(f"INTERVAL '{days}' DAY")
+    return from_day(rows, since).where(F.col(column) >= since)
 
 
 def action_for(method: Column, route: Column) -> Column:
@@ -204,7 +206,7 @@ def filter_activity(records: DataFrame, action: str | None = None, entity: str |
     elif outcome:
         raise ValueError("outcome must be ok or error")
     if since is not None:
-        records = records.where(F.col("created_at") >= S.as_ts(since))
+        records = from_day(records, S.as_ts(since)).where(F.col("created_at") >= S.as_ts(since))
     return records
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
+from pulsegrid.sources.tables import from_day
 
 SEED = 20240131
 SALTS = 16
@@ -126,10 +127,11 @@ def target_daily(events: DataFrame, as_of) -> DataFrame:
     now = S.as_ts(as_of)
     seconds = S.seconds_between(now, F.col("occurred_at"))
     typ = F.col("type")
+    since = now - F.expr(f"INTERVAL '{V.MAX_LOOKBACK_DAYS}' DAY")
     return (
-        events.where((F.col("occurred_at") <= now) & F.col("campaign_id").isNotNull())
+        from_day(events, since).where((F.col("occurred_at") <= now) & F.col("campaign_id").isNotNull())
         .where(typ.isin("delivered", *SUCCESS_TYPES))
-        .where(F.col("occurred_at") >= now - F.expr(f"INTERVAL '{V.MAX_LOOKBACK_DAYS}' DAY"))
+        .where(F.col("occurred_at") >= since)
         .groupBy("customer_id", "channel", F.ceil(seconds / 86400).cast("int").alias("age"))
         .agg(*[F.count_if(typ == t).alias(t) for t in ("delivered", *SUCCESS_TYPES)])
     )

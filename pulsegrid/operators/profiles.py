@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.rollups import until
+from pulsegrid.sources.tables import from_day
 
 CELL_KEYS = ["customer_id", "channel", "type"]
 
@@ -92,6 +93,7 @@ def merge_cells(partials: DataFrame) -> DataFrame:
 def activity_trend(events: DataFrame, as_of) -> DataFrame:
     """Positive events of the last 7 days against the 7 days before, whatever their status."""
     now = S.as_ts(as_of)
+    events = from_day(events, now - F.expr(f"INTERVAL '{2 * V.TREND_DAYS}' DAY"))
     recent = until(events, as_of).where(_in_trend(now, 2 * V.TREND_DAYS, 0))
     return (
         recent.groupBy("customer_id")

@@ -11,7 +11,7 @@ TABLES = (
     "customers", "campaigns", "events", "events_dlq", "profiles", "profile_cells", "sends", "campaign_daily",
     "event_logs", "activity_logs",
 )
-# Facts are laid out by day. A time filter prunes folders only with a filter on ``event_day`` beside it.
+# Facts are laid out by day; ``from_day`` turns a time bound into one on the folders.
 DAY_OF = {"events": "occurred_at", "sends": "sent_at", "event_logs": "created_at", "activity_logs": "created_at"}
 
 
@@ -31,6 +31,14 @@ def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite
             df.write.mode(mode).parquet(f"{base}/{name}")
 
 
+def from_day(rows: DataFrame, since) -> DataFrame:
+    """Without the day folders that lie wholly before ``since``; a table without days is left as it is.
+
+    The caller still filters by time; this only spares the listing and reading of older folders.
+    """
+    return rows.where(F.col("event_day") >= F.to_date(since)) if "event_day" in rows.columns else rows
+
+
 def load_tables(spark: SparkSession, base: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 

@@ -78,3 +78,32 @@ def test_scan_reads_only_what_it_needs(spark):
     scan = [line for line in plan(entry.queries()["p1a_profile_counters"](spark, SF)).splitlines() if "FileScan" in line]
     assert len(scan) == 1 and "value" not in scan[0] and "event_type" not in scan[0]
     assert "PushedFilters: [IsNotNull(ts)" in scan[0]
+
+
+def test_time_bounds_prune_day_folders(spark, tmp_path):
+    """Each operator with a time bound reads the folders of its days only."""
+    from pulsegrid.operators import audience as A
+    from pulsegrid.operators import logs as L
+    from pulsegrid.operators import predict as B
+    from pulsegrid.plans.base import AS_OF, Tables
+    from pulsegrid.plans.log_plans import _activity, _logs
+    from pulsegrid.sources.tables import load_tables, write_tables
+
+    t = Tables(spark, SF)
+    write_tables({"events": t.events, "sends": t.sends, "event_logs": _logs(spark, SF), "activity_logs": _activity(spark, SF)},
+                 str(tmp_path))
+    back = load_tables(spark, str(tmp_path), ("events", "sends", "event_logs", "activity_logs"))
+    windows = spark.createDataFrame([(24,), (168,)], "window_hours long")
+    bounded = {
+        "trend": (P.activity_trend(back["events"], AS_OF), P.activity_trend(t.events, AS_OF)),
+        "sends": (A.send_counts(back["sends"], windows, AS_OF), A.send_counts(t.sends, windows, AS_OF)),
+        "target": (B.target_daily(back["events"], AS_OF), B.target_daily(t.events, AS_OF)),
+        "logs": (L.filter_event_logs(back["event_logs"], t.customers, t.campaigns, since="2024-01-20").select("id"), None),
+        "prune": (L.prune(back["event_logs"], 14, AS_OF).select("id"), L.prune(_logs(spark, SF), 14, AS_OF).select("id")),
+        "activity": (L.filter_activity(back["activity_logs"], since="2024-01-20").select("id"), None),
+    }
+    for name, (stored, derived) in bounded.items():
+        scans = [line for line in plan(stored).splitlines() if "FileScan" in line and "event_day" in line]
+        assert scans and all("event_day" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans), name
+        if derived is not None:
+            assert sorted(map(str, stored.collect())) == sorted(map(str, derived.collect())), name
