@@ -172,18 +172,28 @@ class Constant:
         return np.full(len(texts), self.value)
 
 
-def calibrated(model, crossed: list[tuple[object, list[Example]]], counts: tuple[int, int]):
-    """``model`` with a calibration for the labels' shares ``counts``; ``crossed`` pairs texts with the models that
-    give their features."""
-    features = np.array([other.features(e.text) for other, texts in crossed for e in texts])
-    labels = np.array([e.label for _, texts in crossed for e in texts])
-    model.calibration = Calibration.fit(features, labels)
-    if 0 < labels.sum() < len(labels) and min(counts):
+def calibrated(model, rest: list[Example], counts: tuple[int, int]):
+    """``model`` with a calibration on ``rest``, for the labels' shares ``counts``."""
+    labels = np.array([e.label for e in rest])
+    model.calibration = Calibration.fit(np.array([model.features(e.text) for e in rest]), labels)
+    if min(counts):
         model.calibration.shift(labels, counts)
     return model
 
 
-def trained(sample: Sample, train: Callable[[Sample], object]):
-    """``train(sample)``, or the share of label 1 where one of the labels is missing."""
-    labels = [e.label for e in sample.examples]
-    return train(sample) if min(labels.count(0), labels.count(1)) >= 8 else Constant(constant(labels))
+def trained(sample: Sample, train: Callable[[list[Example], list[Example], tuple[int, int]], object]):
+    """``train(texts for dictionaries, texts to calibrate with, label counts)`` on the sample without copies.
+
+    Where either part would lack a label both are all texts; where these have fewer than eight of a label
+    the model is the share of label 1.
+    """
+    def least(part: list[Example]) -> int:
+        ones = sum(e.label for e in part)
+        return min(ones, len(part) - ones)
+
+    examples = without_copies(sample.examples)
+    if least(examples) < 8:
+        return Constant(constant([e.label for e in sample.examples]))
+    parts = split(examples)
+    fit, rest = parts if min(map(least, parts)) >= 2 else (examples, examples)
+    return train(fit, rest, sample.counts)

@@ -9,6 +9,7 @@ logistic regression, fitted on labelled texts that trained neither dictionary, t
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +25,8 @@ from pulsegrid.llm.text import raw_texts
 WINDOW = 1024
 DICTIONARY_BYTES = 49_152
 THRESHOLD = 0.3
+# Texts that a line must be in to count as shared.
+SHARED = 3
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
@@ -72,14 +75,17 @@ class QualityModel:
         return self.calibration.score(np.array([self.features(t) for t in texts]))
 
 
-def train(sample: L.Sample) -> QualityModel:
+def train(fit: list[L.Example], rest: list[L.Example], counts: tuple[int, int]) -> QualityModel:
     """Label 1 is good."""
-    fit, rest = L.split(L.without_copies(sample.examples))
-    texts = [[e.text for e in fit if e.label == label] for label in (1, 0)]
+    # Lines that several texts share say nothing of a kind; in a dictionary they would favour it by chance.
+    seen = Counter(line for e in fit for line in set(e.text.split(b"\n")))
+    own = [(e.label, b"\n".join(line for line in e.text.split(b"\n") if seen[line] < SHARED)) for e in fit]
+    texts = [[text for label, text in own if label == wanted and text]
+             or [e.text for e in fit if e.label == wanted] for wanted in (1, 0)]
     # As much text of either kind, so that neither dictionary is better for having seen more.
     least = min(sum(map(len, t)) for t in texts)
     model = QualityModel(*[dictionary(_up_to(t, least)) for t in texts])
-    return L.calibrated(model, [(model, rest or fit)], sample.counts)
+    return L.calibrated(model, rest, counts)
 
 
 def _up_to(texts: list[bytes], total: int) -> list[bytes]:

@@ -110,11 +110,9 @@ def _fill(words: list[bytes], size: int) -> list[bytes]:
     return out
 
 
-def train(sample: L.Sample) -> ToxicityModel:
+def train(fit: list[L.Example], rest: list[L.Example], counts: tuple[int, int]) -> ToxicityModel:
     """Label 1 is toxic."""
-    fit, rest = L.split(L.without_copies(sample.examples))
-    model = books(fit)
-    return L.calibrated(model, [(model, rest or fit)], sample.counts)
+    return L.calibrated(books(fit), rest, counts)
 
 
 def books(fit: list[L.Example]) -> ToxicityModel:
