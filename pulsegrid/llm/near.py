@@ -36,7 +36,7 @@ SEED = 20240131
 # Finer buckets that a left-over row goes into.
 FORKS = 2
 # Words whose hash a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Remembered(dict):

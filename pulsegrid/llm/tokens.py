@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -27,9 +28,11 @@ SPECIAL = b"<|"
 PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įı-ɏ]*")
 # Parts that are one piece as they are: ASCII letters, a digit, or ASCII marks without the apostrophe.
 PURE = regex.compile(rb"[A-Za-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-# Parts that a task remembers, at about 40 bytes each.
-REMEMBERED = 1_500_000
-TABLE_BITS = 22
+# Parts that a Python worker remembers, at about 50 bytes each.
+REMEMBERED = 800_000
+TABLE_BITS = 21
+# Bytes of text that are encoded at a time: the arrays beside them take some 40 times as much.
+PORTION = 1 << 20
 # Parts beyond this length are hashed one by one.
 LONG = 64
 
@@ -123,7 +126,19 @@ class Encoder:
         self.byte_value[CLASS == SPACE] = 0
         self.place = rng.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; texts are taken in portions of bounded size."""
+        portion, size = [], 0
+        for text in texts:
+            if portion and size + len(text) > PORTION:
+                yield from self._encode(portion)
+                portion, size = [], 0
+            portion.append(text)
+            size += len(text)
+        if portion:
+            yield from self._encode(portion)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         special = {i for i, t in enumerate(texts) if SPECIAL in t}
         data = b"\n".join([b"" if i in special else t for i, t in enumerate(texts)]).lower() + b"\n"
         raw = np.frombuffer(data, np.uint8)
