@@ -7,13 +7,14 @@ documents equal in a band share a bucket.
 
 Within a bucket only star edges are made, from the member with most company in all its buckets (the
 likely original of a family of copies) to the others, so their number is linear in the bucket's
-size. Edges are confirmed on the full shingle sets, those within a component are never compared.
-Members that a star leaves outside its centre's component go on into finer buckets, which add another
-band to the key: similar documents share that too in one of many places, others do not. This goes on
-until no bucket has two such members in different components, so no bucket is cut off, however
-large, and no step makes pairs of its members. Documents with the same set are one node from the start.
-
-Buckets, stars and components are joins and pre-aggregated groupings: no task holds a whole bucket.
+size. Edges are confirmed on the full shingle sets. Members that a star leaves outside its centre's
+component are compared exactly with the members of all such buckets, covered ones too: a join on rare
+shingles (``_partners``) finds every pair that can be linked, bounds on the common shingles and on the
+difference of the sets leave out most others, and pairs within a component are never compared. So
+every two linked documents that share a bucket end in one component. Documents with the same set are
+one node from the start.
+
+Buckets, stars, partners and components are joins and pre-aggregated groupings: no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pulsegrid.session import settle
 
 BANDS, ROWS = 48, 8
 SEED = 20240131
-# Finer buckets that a left-over row goes into.
-FORKS = 2
+# log2 of the cells that count shingles for their order by frequency.
+CELL_BITS = 22
+# Pairs that are confirmed before the components are looked at again, as a share of all, and the least number.
+FIRST_SHARE, FIRST_PAIRS = 16, 100_000
 # Words whose hash a task remembers.
 REMEMBERED = 200_000
 
@@ -159,8 +162,8 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node, company) of buckets with two or more nodes; company: rows in all buckets of a node."""
-    rows = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    """(bucket, node, company) of buckets with two or more nodes; company: rows in all buckets of a node."""
+    rows = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     shared = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     size = bits.size_for(shared.count(), 16)
     mark = settle(bits.bitmap(shared.select(bits.cells(F.col("bucket"), size, 1)[0].alias("cell")), "cell"), "bucket-marks")
@@ -168,7 +171,7 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
     rows = bits.probe(rows, mark, bits.cells(F.col("bucket"), size, 1), "__shared").where("__shared").drop("__shared")
     rows = settle(rows.join(shared, "bucket"), "bucket-rows")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-    return settle(rows.join(company, "node").select("bucket", "band", "node", "company"), "bucket-members")
+    return settle(rows.join(company, "node").select("bucket", "node", "company"), "bucket-members")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -200,20 +203,23 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 85, id_co
     candidates = settle(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     sets = _candidate_sets(source, candidates, width)
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    bands = settle(nodes.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands"), "bands")
-    label, level = None, 0
-    while True:
-        stars = settle(_stars(members), "stars")
-        edges = stars.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        found = settle(confirmed(edges if label is None else _across(edges, label), sets, percent), "links")
-        # Without a new link the components are as they were.
-        if label is None or not found.isEmpty():
+    stars = settle(_stars(members), "stars")
+    edges = stars.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = links.unionByName(settle(confirmed(edges, sets, percent), "links"))
+    label = components(links)
+    uncovered = settle(_uncovered(stars, label), "uncovered")
+    if uncovered.isEmpty():
+        return _result(signed, label)
+    pairs = settle(_partners(uncovered, sets, percent), "partners")
+    share = FIRST_SHARE if pairs.count() > FIRST_PAIRS else 1
+    place = F.pmod(F.xxhash64("a", "b"), F.lit(share))
+    # Where there are many, a part of the pairs joins most of the components and spares the rest.
+    for part in [place == 0, place > 0][:min(share, 2)]:
+        found = settle(confirmed(_across(pairs.where(part), label), sets, percent), "links")
+        if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links)
-        members = settle(_finer(_left_over(stars, label), bands, level), "left-over")
-        level += 1
-        if members.isEmpty():
-            return _result(signed, label)
+    return _result(signed, label)
 
 
 def _labelled(rows: DataFrame, label: DataFrame, *ends: str) -> DataFrame:
@@ -229,24 +235,144 @@ def _across(edges: DataFrame, label: DataFrame) -> DataFrame:
     return _labelled(edges, label, "a", "b").where("ca <> cb").select("a", "b")
 
 
-def _left_over(stars: DataFrame, label: DataFrame) -> DataFrame:
-    """Members outside their centre's component, of buckets that have two or more of them in different ones."""
-    return _several(_labelled(stars, label, "centre", "node").where("ccentre <> cnode"))
+def _uncovered(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, component, apart) of the members of buckets that hold one outside the centre's component;
+    apart: it is such a member of one."""
+    rows = settle(_labelled(stars, label, "centre", "node"), "star-components")
+    loose = settle(rows.where("ccentre <> cnode").select("bucket", "node").distinct(), "loose")
+    buckets = loose.select("bucket").distinct()
+    some = rows.join(buckets, "bucket", "left_semi")
+    members = some.select("node", F.col("cnode").alias("component")).unionByName(
+        some.select(F.col("centre").alias("node"), F.col("ccentre").alias("component"))).distinct()
+    apart = loose.select("node").distinct().withColumn("apart", F.lit(True))
+    return members.join(apart, "node", "left").select("node", "component", F.coalesce("apart", F.lit(False)).alias("apart"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        for one in batch.column("shingles").to_pylist():
+            # A set's shingles may meet in a cell; each counts.
+            np.add.at(counts, _cell(np.frombuffer(one, np.uint64)), 1)
+    cells = np.flatnonzero(counts)
+    for at in range(0, len(cells), 65_536):
+        some = cells[at:at + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _frequency(sets: DataFrame) -> np.ndarray:
+    """log2 of the shingles in each cell, 0 for one: ``2 ** CELL_BITS`` bytes whatever the corpus."""
+    counted = sets.select("shingles").mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = counted.select("cell", F.floor(F.log2("n") + 1e-9).cast("byte").alias("power")).where("n > 1").toArrow()
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    out[table.column("cell").to_numpy()] = table.column("power").to_numpy()
+    return out
+
 
+def _ceil_div(a, b):
+    return -(-a // b)
 
-def _several(rows: DataFrame) -> DataFrame:
-    two = rows.groupBy("bucket").agg(F.min("cnode").alias("low"), F.max("cnode").alias("high")).where("low <> high")
-    return rows.join(two.select("bucket"), "bucket", "left_semi").select("bucket", "band", "node", "company", "cnode")
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each hash value modulo the sketch's size, turned for each shingle in it: two sketches of one
+    size differ in no more bits than their sets in shingles. Sizes are powers of two of 2-4 bits a shingle."""
+    bits_ = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits_ - 1)).astype(np.int64), minlength=bits_) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The least number of shingles in which the sets of two sketches differ."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    # The halves of a sketch folded onto each other are the sketch of half the size.
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _prefixes(frequency: np.ndarray, percent: int):
+    """Rows (shingle, node, component, apart, n, place, short) of the shingles that a linked pair can share first.
+
+    Shingles are ordered by frequency, then by hash. Linked sets x, y with |x| <= |y| have
+    least = ceil(percent * (|x| + |y|) / (100 + percent)) common shingles, and so the smallest common one is
+    among the first |x| - least + 1 of x and the first |y| - least + 1 of y. With |y| >= |x| the first of these
+    is at most |x| - ceil(2 * percent * |x| / (100 + percent)) + 1 (``short`` rows), with
+    |x| >= percent * |y| / 100 the other at most |y| - ceil(percent * |y| / 100) + 1. Shingles alone in
+    their cell are in one set only.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = []
+            for i, one in enumerate(batch.column("shingles").to_pylist()):
+                hashes = np.frombuffer(one, np.uint64)
+                n = len(hashes)
+                power = frequency[_cell(hashes)]
+                order = np.argsort(power, kind="stable")[:n - _ceil_div(percent * n, 100) + 1]
+                place = np.arange(1, len(order) + 1)
+                shared = power[order] > 0
+                order, place = order[shared], place[shared]
+                parts.append([hashes[order].view(np.int64), np.full(len(order), i), np.full(len(order), n), place,
+                              place <= n - _ceil_div(2 * percent * n, 100 + percent) + 1])
+            if not parts:
+                continue
+            shingle, row, n, place, short = (np.concatenate(x) for x in zip(*parts))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle, pa.int64()), *[batch.column(c).take(row) for c in ("node", "component", "apart")],
+                 pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(short)],
+                names=["shingle", "node", "component", "apart", "n", "place", "short"])
 
-def _finer(rows: DataFrame, bands: DataFrame, level: int) -> DataFrame:
-    """The rows in buckets whose key has one band more: ``FORKS`` other bands for each, not used before."""
-    count = F.size("bands")
-    steps = [F.pmod(F.lit((level * FORKS + i) * 7), count - 1) + 1 for i in range(FORKS)]
-    other = F.array(*[F.pmod(F.col("band") + s, count) for s in steps])
-    forked = rows.join(bands, "node").select("node", "company", "cnode", "bucket", "bands", F.explode(other).alias("band"))
-    return _several(forked.select("node", "company", "cnode", "band", F.xxhash64("bucket", F.get("bands", F.col("band"))).alias("bucket"))
-                    ).drop("cnode")
+    return run
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()),
+                                          pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "n", "sketch"])
+
+
+def _close(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "left", "right")]
+            keep = [differing(x, y) <= na + nb - 2 * _ceil_div(percent * (na + nb), 100 + percent)
+                    for na, nb, x, y in zip(*columns)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def _partners(uncovered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components, one of them apart: all pairs that can be linked.
+
+    Exact: both bounds hold for every linked pair. Long lists of a shingle are split by AQE.
+    """
+    own = settle(sets.join(uncovered, "node").select("node", "component", "apart", "shingles"), "uncovered-sets")
+    rows = settle(own.mapInArrow(
+        _prefixes(_frequency(own), percent),
+        "shingle long, node long, component long, apart boolean, n int, place int, short boolean"), "prefixes")
+    # A list needs a member that is apart, and another component.
+    lists = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                        F.max("apart").alias("some")).where("low <> high AND some").select("shingle")
+    rows = settle(rows.join(lists, "shingle", "left_semi"), "shared-prefixes")
+    x = rows.where("short").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "apart", "n", "place")])
+    y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "apart", "n", "place")])
+    least = F.expr(f"({percent}L * (x_n + y_n) + {99 + percent}L) DIV {100 + percent}")
+    met = x.join(y, "shingle").where("x_component <> y_component AND (x_apart OR y_apart)").where(
+        "x_n < y_n OR (x_n = y_n AND x_node < y_node)").where(f"x_n * 100L >= y_n * {percent}L").where(
+        (F.col("x_place") <= F.col("x_n") - least + 1) & (F.col("y_place") <= F.col("y_n") - least + 1))
+    pairs = settle(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.col("x_n").alias("na"),
+                              F.col("y_n").alias("nb")).distinct(), "met")
+    made = settle(own.mapInArrow(_sketches, "node long, n int, sketch binary"), "sketches")
+    return (pairs.join(made.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("left")), ["a", "na"])
+            .join(made.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("right")), ["b", "nb"])
+            .select("a", "b", "na", "nb", "left", "right").mapInArrow(_close(percent), "a long, b long").distinct())
 
 
 def _candidate_sets(source: DataFrame, candidates: DataFrame, width: int) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,61 @@ def test_near_common_passage(spark):
     assert got == want and sum(c != d for d, c in want.items()) == 30
 
 
+def altered(rng, source, share):
+    """``source`` with words changed one by one until about ``share`` of its shingles are others."""
+    out, left = list(source), set(range(len(source)))
+    while len(left) > (1 - share) * len(source):
+        i = rng.randrange(len(out))
+        out[i] = f"new{rng.randrange(10 ** 9)}"
+        left -= set(range(i - 4, i + 1))
+    return out
+
+
+def test_near_crowd_below_the_threshold(spark):
+    """Form pages that share nine tenths are not linked; pairs just above the threshold among them all are."""
+    rng = random.Random(11)
+    form = words(rng, 900)
+    texts = [(i, form + " " + words(rng, 95)) for i in range(400)]
+    for i in range(0, 400, 4):
+        page = texts[i][1].split()
+        own = 900 + rng.randrange(0, 25)
+        texts.append((1000 + i, " ".join(page[:own] + words(rng, 995 - own - 17).split() + page[978:])))
+    for i in range(2, 400, 8):
+        texts.append((2000 + i, " ".join(texts[i][1].split()[:900] + altered(rng, texts[i][1].split()[900:], rng.choice([0.7, 0.75])))))
+    _, want = brute.components(texts)
+    got = {r.doc_id: r.component_id for r in near.similar_components(docs_of(spark, texts)).collect()}
+    assert sum(c != d for d, c in want.items()) >= 40 and got == want
+
+
+def test_near_copies_of_covered_copies(spark):
+    """c - m1 - m2 with c and m2 just below the threshold, and another family member beside them."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(60):
+        c = words(rng, 1000).split()
+        m1 = list(c)
+        m1[500] = f"other{k}"
+        m2 = altered(rng, m1, 0.078)
+        texts += [(10 * k, " ".join(c)), (10 * k + 1, " ".join(m1)), (10 * k + 2, " ".join(m2))]
+        # Company for the original.
+        texts += [(10 * k + 3 + i, " ".join(altered(rng, c, 0.01))) for i in range(3)]
+    _, want = brute.components(texts)
+    got = {r.doc_id: r.component_id for r in near.similar_components(docs_of(spark, texts)).collect()}
+    assert sum(want[10 * k + 2] == 10 * k for k in range(60)) >= 20 and got == want
+
+
+def test_near_bounds_hold_for_linked_sets():
+    """No linked pair is lost by the prefixes or the sketches."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40, 333, 1500):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[rng.random(n) > 0.12], rng.integers(0, 1 << 63, 1 + n // 20, dtype=np.uint64)])
+            apart = len(np.setxor1d(a, b))
+            assert near.differing(near.sketch(a), near.sketch(b)) <= apart
+            assert n < 40 or near.differing(near.sketch(a), near.sketch(b)) > apart / 2
+
+
 def test_near_empty_and_drop(spark):
     empty = spark.createDataFrame([], DOC)
     assert near.similar_components(empty).count() == 0
