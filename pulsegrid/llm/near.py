@@ -197,8 +197,9 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 85, id_co
     named = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"),
                      "equal-sets")
-    copies = settle(named.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep"), "set-copies")
-    nodes = named.join(copies.select("doc_id"), "doc_id", "left_anti")
+    copies = settle(named.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "set_key", "rep"), "set-copies")
+    # Only the copied text leaves; another text of the same doc_id stays.
+    nodes = named.join(copies.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_anti")
     members = _bucket_rows(nodes)
     candidates = settle(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     sets = _candidate_sets(source, candidates, width)

@@ -161,6 +161,15 @@ def test_near_copies_of_covered_copies(spark):
     assert sum(want[10 * k + 2] == 10 * k for k in range(60)) >= 20 and got == want
 
 
+def test_near_second_text_of_a_copy(spark):
+    """doc_id 5 has a copy of 1's text and a text near 9's: all three are one component."""
+    rng = random.Random(13)
+    a, b = words(rng, 200), words(rng, 300)
+    got = {r.doc_id: r.component_id for r in near.similar_components(
+        docs_of(spark, [(1, a), (5, a), (5, b), (9, b + " tail"), (12, words(rng, 80))])).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 12: 12}
+
+
 def test_near_bounds_hold_for_linked_sets():
     """No linked pair is lost by the prefixes or the sketches."""
     rng = np.random.default_rng(4)
