@@ -2,8 +2,8 @@
 
 Rules are regular expressions over the lower-cased text with runs of white space as one space. Their
 families, ways of naming and versions are listed below; their products are the several hundred
-rules. A text without any family's keyword is passed over; otherwise only the rules of families
-whose keyword it has are tried, in order of priority. A detection inside the interval of one with
+rules. A text without any family's keyword is passed over; otherwise only the rules are tried of which it
+has a keyword (each way of writing the name or identifier has one), in order of priority. A detection inside the interval of one with
 higher priority, or inside a longer one of the same priority, is dropped, so that "GNU Lesser General
 Public License" is not a GPL notice as well. Base phrases are found apart, as word runs, and their
 labels are always reported.
@@ -32,14 +32,14 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-# label: (keyword that a text must have, pattern of the name, SPDX identifier pattern)
+# label: (keywords between |, of which every form of the name has one; pattern of the name; SPDX identifier pattern)
 FAMILIES = {
     "agpl": ("affero", r"(?:gnu )?affero general public licen[cs]e", r"agpl-[\d.]+(?:-only|-or-later|\+)?"),
     "lgpl": ("general public", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl-[\d.]+(?:-only|-or-later|\+)?"),
     "gpl": ("general public", r"(?:gnu )?general public licen[cs]e", r"gpl-[\d.]+(?:-only|-or-later|\+)?"),
     "gfdl": ("documentation licen", r"(?:gnu )?free documentation licen[cs]e", r"gfdl-[\d.]+(?:-only|-or-later)?"),
     "apache": ("apache", r"apache(?: software)? licen[cs]e", r"apache-[\d.]+"),
-    "mit": ("mit", r"(?:mit|expat|x11) licen[cs]e", r"mit(?:-0)?"),
+    "mit": ("mit|expat|x11", r"(?:mit|expat|x11) licen[cs]e", r"mit(?:-0)?"),
     "bsd": ("bsd", r"(?:new |modified |simplified |revised )?bsd(?:[ -][0-4][ -]clause)?(?: licen[cs]e)?", r"(?:0bsd|bsd-[0-4]-clause(?:-[a-z]+)?)"),
     "mpl": ("mozilla", r"mozilla public licen[cs]e", r"mpl-[\d.]+"),
     "epl": ("eclipse", r"eclipse public licen[cs]e", r"epl-[\d.]+"),
@@ -59,13 +59,13 @@ FAMILIES = {
     "w3c": ("w3c", r"w3c (?:software )?licen[cs]e", r"w3c"),
     "wtfpl": ("want to public", r"do what the fuck you want to public licen[cs]e", r"wtfpl"),
     "unlicense": ("unlicen", r"(?:the )?unlicen[cs]e", r"unlicense"),
-    "cc0": ("cc0", r"(?:creative commons zero|cc0)(?: universal)?", r"cc0-[\d.]+"),
+    "cc0": ("cc0|creative commons zero", r"(?:creative commons zero|cc0)(?: universal)?", r"cc0-[\d.]+"),
     "cc-by-nc-nd": ("cc", r"cc[ -]by[ -]nc[ -]nd", r"cc-by-nc-nd-[\d.]+"),
     "cc-by-nc-sa": ("cc", r"cc[ -]by[ -]nc[ -]sa", r"cc-by-nc-sa-[\d.]+"),
     "cc-by-nc": ("cc", r"cc[ -]by[ -]nc", r"cc-by-nc-[\d.]+"),
     "cc-by-nd": ("cc", r"cc[ -]by[ -]nd", r"cc-by-nd-[\d.]+"),
     "cc-by-sa": ("cc", r"cc[ -]by[ -]sa", r"cc-by-sa-[\d.]+"),
-    "cc-by": ("cc", r"(?:cc[ -]by|creative commons attribution(?: licen[cs]e)?)", r"cc-by-[\d.]+"),
+    "cc-by": ("cc|creative commons attribution", r"(?:cc[ -]by|creative commons attribution(?: licen[cs]e)?)", r"cc-by-[\d.]+"),
     "odbl": ("open d", r"open (?:data commons )?(?:open )?database licen[cs]e", r"odbl-[\d.]+"),
     "odc-by": ("open data commons", r"open data commons attribution licen[cs]e", r"odc-by-[\d.]+"),
     "pddl": ("public domain", r"public domain dedication and licen[cs]e", r"pddl-[\d.]+"),
@@ -111,21 +111,32 @@ ANCHORS = (b"licen", b"copyright", b"spdx", b"public domain", b"rights reserved"
 @dataclass(frozen=True)
 class Signature:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     priority: int
     weight: float
     pattern: regex.Pattern
 
 
+def _keywords(way: str, keyword: str, spdx: str) -> tuple[bytes, ...]:
+    """What a text must have one of: the name's keywords, in a field also the identifier's first letters."""
+    if way == "spdx":
+        return (b"spdx",)
+    stems = []
+    if way == "field":
+        forms = regex.match(r"\(\?:([^)]*)", spdx)
+        stems = [regex.match(r"[a-z0-9-]+", f)[0] for f in (forms[1].split("|") if forms else [spdx])]
+    return tuple(k.encode() for k in dict.fromkeys([*keyword.split("|"), *stems]))
+
+
 @functools.lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
     """All rules, highest priority first."""
     out = [
-        Signature(label, keyword.encode() if way != "spdx" else b"spdx", priority, weight,
+        Signature(label, _keywords(way, keyword, spdx), priority, weight,
                   regex.compile(text.format(name=name, spdx=spdx, version=VERSION).encode()))
         for (label, (keyword, name, spdx)), (way, (priority, weight, text)) in itertools.product(FAMILIES.items(), WAYS.items())
     ]
-    out += [Signature(LABEL_OF.get(label, label), keyword.encode(), priority, weight, regex.compile(text.encode()))
+    out += [Signature(LABEL_OF.get(label, label), (keyword.encode(),), priority, weight, regex.compile(text.encode()))
             for label, (keyword, priority, weight, text) in PLAIN_RULES.items()]
     return tuple(sorted(out, key=lambda s: (-s.priority, s.label, s.pattern.pattern)))
 
@@ -137,7 +148,7 @@ def detections(text: bytes) -> list[tuple[str, float, int, int]]:
         return []
     has = functools.cache(squeezed.__contains__)
     found = [(s.priority, m.start(), m.end(), s.label, s.weight)
-             for s in signatures() if has(s.keyword) for m in s.pattern.finditer(squeezed)]
+             for s in signatures() if any(map(has, s.keywords)) for m in s.pattern.finditer(squeezed)]
     kept = resolved(found)
     return [(label, weight, start, end) for _, start, end, label, weight in kept]
 

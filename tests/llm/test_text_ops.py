@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re._parser as parser
 import zlib
 
 import numpy as np
@@ -256,6 +257,51 @@ def test_detections(text, labels):
     assert sorted({d[0] for d in licenses.detections(text.encode())}) == labels
 
 
+def forms(tree):
+    """Texts that a parsed pattern matches: every branch, repeats the least number of times and once more."""
+    out = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            own = [chr(value)]
+        elif kind == "IN":
+            first, what = str(value[0][0]), value[0][1]
+            own = [chr(what) if first == "LITERAL" else chr(what[0]) if first == "RANGE" else "2"]
+        elif kind == "SUBPATTERN":
+            own = forms(value[-1])
+        elif kind == "BRANCH":
+            own = [f for branch in value[1] for f in forms(branch)]
+        else:
+            assert kind == "MAX_REPEAT", kind
+            low, high, inner = value
+            own = [f * n for n in {low, min(low + 1, high)} for f in forms(inner)]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+@pytest.mark.parametrize("label", licenses.FAMILIES)
+def test_every_form_passes_its_gate(label):
+    _, name, spdx = licenses.FAMILIES[label]
+    texts = [f"license: {f}" for f in forms(parser.parse(spdx)) + forms(parser.parse(name))]
+    texts += [f"released under the {f}" for f in forms(parser.parse(name))]
+    texts += [f'"license": "{f}"' for f in forms(parser.parse(spdx))] + [f"SPDX-License-Identifier: {f}" for f in forms(parser.parse(spdx))]
+    for text in texts:
+        low = text.lower().encode()
+        matched = [s for s in licenses.signatures() if s.pattern.search(low)]
+        assert label in {s.label for s in matched}, text
+        assert all(any(k in low for k in s.keywords) for s in matched), text
+        assert licenses.detections(low), text
+
+
+@pytest.mark.parametrize("text,label", [
+    ("license: agpl-3.0", "agpl"), ('"license": "gpl-3.0"', "gpl"), ("license: ms-pl", "ms-pl"), ("license: psf-2.0", "python"),
+    ("under the expat license", "mit"), ("the x11 license", "mit"), ("creative commons zero", "cc0"),
+    ("creative commons attribution license", "cc-by"),
+])
+def test_names_without_the_family_keyword(text, label):
+    assert label in {d[0] for d in licenses.detections(text.encode())}
+
+
 def test_suppression_matches_all_pairs():
     rng = random.Random(8)
     found = list({(rng.randrange(1, 4), s := rng.randrange(60), s + rng.randrange(1, 20), rng.choice("abc"), 0.5) for _ in range(150)})
