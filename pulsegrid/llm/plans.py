@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontam, exact, licenses, near, negatives, packing, quality, resample, sharding, toxicity, urls, warc
+from pulsegrid.llm import decontam, divergence, exact, licenses, near, negatives, packing, quality, resample, sharding, toxicity, urls, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc.page_id(F.col("refers_to")).alias("refers_to"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -75,7 +79,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_packing, op3_url_filter, op4_sharding, op5_license_scan, op6_toxicity, op7_decontamination,
-        op8_exact_dedup, op9_near_dedup, op10_warc, op12_hard_negatives, op13_resampling)
+        op8_exact_dedup, op9_near_dedup, op10_warc, op11_quality_rules, op12_hard_negatives, op13_resampling)
 }
 
 _RULE_ROWS = ", ".join(
