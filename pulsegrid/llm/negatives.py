@@ -35,7 +35,8 @@ SCALE = 256
 BLOCK_CELLS = 1 << 21
 STEP = 8
 SEEDS = 32
-NO_LIMIT = 1 << 62
+# Beyond any score.
+NO_LIMIT = 1 << 1000
 POSITIVES = 5
 NEGATIVES = 5
 LOW_PERCENT = 80
@@ -294,8 +295,10 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = POSITIVES,
     near = _searched(_lanes(blocks, asking.withColumn("windows", F.lit(None).cast(window)), count), positives, scale)
     chosen = settle(_top(near, ["anchor_id"], positives).select(
         "anchor_id", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    bounds = F.struct("positive_score", (-F.floor(-low_percent * F.col("positive_score") / F.lit(100).cast("decimal(20,0)"))).cast("long").alias("low"),
-                      F.floor(high_percent * F.col("positive_score") / F.lit(100).cast("decimal(20,0)")).cast("long").alias("high"))
+    # Decimals, as the products may exceed 64 bits.
+    score = F.col("positive_score").cast("decimal(20,0)")
+    bounds = F.struct("positive_score", F.ceil(low_percent * score / 100).cast("long").alias("low"),
+                      F.floor(high_percent * score / 100).cast("long").alias("high"))
     windows = chosen.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.sort_array(F.collect_set(bounds)).alias("windows"))
     windows = windows.withColumn("windows", F.filter("windows", lambda w: w["low"] <= w["high"])).where(F.size("windows") > 0)
     far = _searched(_lanes(blocks, asking.join(windows, "vec_id"), count), negatives, scale)
