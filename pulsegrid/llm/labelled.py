@@ -115,8 +115,12 @@ class Calibration:
         self.weights[0] += math.log(counts[1] / counts[0]) - math.log(seen.sum() / (len(seen) - seen.sum()))
 
     def score(self, features: np.ndarray) -> np.ndarray:
+        """One probability a row; summed feature by feature, so that a row's neighbours in the batch change nothing."""
         x = np.clip((features - self.mean) / self.scale, -10, 10)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
+        total = np.full(len(x), self.weights[0])
+        for column, weight in zip(x.T, self.weights[1:]):
+            total += column * weight
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def compressor(content: bytes, kind: int, parameters: zstandard.ZstdCompressionParameters) -> zstandard.ZstdCompressor:

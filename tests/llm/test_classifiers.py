@@ -60,6 +60,22 @@ def test_edges(spark, tables, run):
     assert run(odd, nulls).count() == 6
 
 
+def test_score_does_not_depend_on_the_batch():
+    """Equal rows score equally whatever lies beside them, in batches of 1 to 1,000."""
+    rng = np.random.default_rng(4)
+    features = rng.normal(size=(400, 8))
+    model = L.Calibration.fit(features, (features[:, 0] + rng.normal(size=400) > 0).astype(float))
+    row = features[17:18]
+    seen = {model.score(row)[0]}
+    for n in (2, 3, 7, 8, 33, 999, 1000):
+        other = rng.normal(size=(n, 8))
+        for at in (0, n // 2, n - 1):
+            other[at] = row[0]
+            seen.add(model.score(other)[at])
+        seen.update(model.score(np.repeat(row, n, axis=0)))
+    assert len(seen) == 1
+
+
 def test_drop_poor_drops_what_is_predicted(spark, tables):
     docs, labels = tables
     want = {r.doc_id for r in quality.score_quality(docs, labels).where("predicted = 1").collect()}
