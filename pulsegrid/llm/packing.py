@@ -36,7 +36,7 @@ class Limits:
     """What one sequence holds at most."""
 
     tokens: int = 2048
-    segments: int = 256
+    segments: int = 2048
     loss: int = 2048
 
 
@@ -69,12 +69,13 @@ class Piece:
 
 @dataclass
 class Packer:
-    """Packs a stream of examples; ``pool`` bounds how many pieces wait."""
+    """Packs a stream of examples. ``pool`` pieces wait, and more where these are too short to fill two sequences."""
 
     limits: Limits = field(default_factory=Limits)
     cut: bool = True
     pool: int = 256
     waiting: list[Piece] = field(default_factory=list)
+    held: int = 0
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes one example; yields the sequences that are finished."""
@@ -89,20 +90,24 @@ class Packer:
             if n == self.limits.tokens:
                 yield [first]
             else:
-                self.waiting.append(first)
-        self.waiting.append(piece)
-        if len(self.waiting) >= self.pool:
+                self._wait(first)
+        self._wait(piece)
+        if len(self.waiting) >= self.pool and self.held >= 2 * self.limits.tokens:
             yield from self._drain(self.pool // 2)
 
+    def _wait(self, piece: Piece) -> None:
+        self.waiting.append(piece)
+        self.held += len(piece.ids)
+
     def finish(self) -> Iterator[list[Piece]]:
         yield from self._drain(0)
 
     def _drain(self, leave: int) -> Iterator[list[Piece]]:
-        """Sequences until ``leave`` pieces wait; at the end (0) also the unfilled ones."""
+        """Sequences until ``leave`` pieces or less than a sequence's tokens wait; at the end (0) also the unfilled ones."""
         lim = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.float64)
         waiting, self.waiting = self.waiting, []
         need = np.array([[len(p.ids), 1, p.loss] for p in waiting], np.float64).reshape(-1, 3)
-        while len(waiting) > leave:
+        while len(waiting) > leave and (not leave or need[:, 0].sum() >= self.limits.tokens):
             if not leave and self.cut and need[:, 0].sum() < self.limits.tokens and need[:, 2].sum() <= self.limits.loss:
                 yield from self._tail(waiting)
                 return
@@ -127,7 +132,7 @@ class Packer:
                     chosen.append(head)
             waiting, need = [p for p, l in zip(waiting, live) if l], need[live]
             yield chosen
-        self.waiting = waiting
+        self.waiting, self.held = waiting, int(need[:, 0].sum())
 
     def _tail(self, pieces: list[Piece]) -> Iterator[list[Piece]]:
         """The last, unfilled sequence as several whose lengths are powers of two."""
