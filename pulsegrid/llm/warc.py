@@ -2,8 +2,7 @@
 
 Files are gzipped record by record. Each member's extra field ``sl`` holds the member's length, so a
 reader that does not want a record jumps over it; members without the field are inflated to find
-their end. A file is one partition of the scan, or several of a few records' size where an index line
-names them. Filters on record type and on headers are pushed into the scan: headers are parsed first,
+their end. A file is one partition of the scan; the writer begins a new one after ``FILE_BYTES``. Filters on record type and on headers are pushed into the scan: headers are parsed first,
 and a record that fails a filter is neither inflated further nor decoded.
 
 Files are opened through Arrow's file systems, so a path can be local to a shared mount or in an
@@ -81,8 +80,8 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 def _clean(value: str) -> str:
-    """A header value on one line: controls and the percent sign are percent-encoded."""
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
+    """A header value on one line: controls, the percent sign and blanks at either end are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f%]|^ +| +\Z", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), value)
 
 
 def _plain(value: str) -> str:
@@ -106,14 +105,14 @@ def record(row: dict) -> bytes:
     return "".join(["WARC/1.1\r\n", *[f"{k}: {v}\r\n" for k, v in head], "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
-def parse_headers(data: bytes) -> tuple[dict[str, str], int]:
+def parse_headers(data: bytes | bytearray) -> tuple[dict[str, str], int]:
     """Headers by lower-case name, and where the block begins."""
     end = data.index(b"\r\n\r\n") + 4
     lines = data[:end - 4].decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     pairs = (line.partition(":") for line in lines[1:])
-    return {name.strip().lower(): value.strip() for name, _, value in pairs}, end
+    return {name.strip(" \t").lower(): value.strip(" \t") for name, _, value in pairs}, end
 
 
 def http_payload(block: bytes) -> bytes:
@@ -176,16 +175,20 @@ class WarcReader(DataSourceReader):
             if first[:2] != b"\x1f\x8b":
                 raise ValueError(f"no gzip member at {offset}")
             length = _member_length(first)
-            inflate = zlib.decompressobj(31)
-            data = inflate.decompress(first, 4096)
-            while b"\r\n\r\n" not in data and inflate.unconsumed_tail:
-                data += inflate.decompress(inflate.unconsumed_tail, 4096)
-            if b"\r\n\r\n" not in data:
-                raise ValueError(f"headers at {offset} do not end within {len(first)} bytes")
+            inflate, at = zlib.decompressobj(31), offset + len(first)
+            data, sought = bytearray(inflate.decompress(first, 4096)), 0
+            while data.find(b"\r\n\r\n", sought) < 0:
+                # Headers of any length: on through what was read, then through the file.
+                sought, chunk = max(0, len(data) - 3), inflate.unconsumed_tail
+                if not chunk and not inflate.eof:
+                    chunk = file.read_at(min(self.HEAD, total - at), at)
+                    at += len(chunk)
+                if not chunk:
+                    raise ValueError(f"headers at {offset} do not end within their member")
+                data += inflate.decompress(chunk, 1 << 20)
             head, begin = parse_headers(data)
             wanted = all(head.get(name) in values for name, values in self.wanted.items())
             if length is None or wanted and self.payload:
-                at = offset + len(first)
                 while not inflate.eof:
                     chunk = inflate.unconsumed_tail
                     if not chunk:
@@ -196,7 +199,7 @@ class WarcReader(DataSourceReader):
                     data += inflate.decompress(chunk)
                 length = at - offset - len(inflate.unused_data)
             if wanted:
-                block = data[begin:begin + int(head.get("content-length", 0))] if self.payload else None
+                block = bytes(data[begin:begin + int(head.get("content-length", 0))]) if self.payload else None
                 yield offset, head, block
             offset += length
 

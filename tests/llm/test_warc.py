@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,23 @@ def test_a_repeated_task_leaves_nothing_twice(spark):
     stray = [f for f in warc.committed(path)][0]
     place.copy_file(warc.open_place(stray)[1], f"{root}/part-stray.warc.gz")
     assert warc.read_warc(spark, path).count() == 3
+
+
+def test_headers_of_any_length_and_blanks_at_their_ends(spark):
+    rng = random.Random(5)
+    long = "http://a/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=150_000))
+    rows = [(1, long, "one"), (2, "  http://b/ \t ", "two"), (3, "\u00a0x\u3000", "three"), (4, "% 41 %", "four"), (5, " ", "five")]
+    path = archive(spark, rows)
+    for payload in (True, False):
+        got = {warc_id: uri for warc_id, uri in warc.read_warc(spark, path, payload=payload).select("record_id", "target_uri").collect()}
+        assert got == {f"<urn:page:{p}>": u for p, u, _ in rows}
+    assert warc.read_warc(spark, path).where(F.col("target_uri") == "  http://b/ \t ").count() == 1
+
+
+def test_a_member_that_ends_early_is_an_error(tmp_path):
+    data = warc.member(b"WARC/1.1\r\nWARC-Type: response\r\n" + bytes(random.Random(1).randbytes(200_000)))
+    (tmp_path / "cut.warc.gz").write_bytes(data[:len(data) // 2])
+    with open(tmp_path / "cut.warc.gz", "rb"):
+        reader = warc.WarcReader({"path": str(tmp_path)}, None)
+        with pytest.raises(ValueError, match="do not end"):
+            list(reader.read(warc.WarcPart(str(tmp_path / "cut.warc.gz"))))
