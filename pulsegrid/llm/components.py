@@ -9,8 +9,12 @@ from pulsegrid.session import settle
 
 
 def _low(edges: DataFrame) -> DataFrame:
-    """Smallest neighbour of each node ``u``; partial minima keep a node of any degree cheap."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Smallest neighbour of each node ``u``; partial minima keep a node of any degree cheap.
+
+    Written before it is joined: a join that shares its shuffle with an aggregate is not split where a hub has
+    many edges.
+    """
+    return settle(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

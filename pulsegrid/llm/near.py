@@ -175,8 +175,9 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Each bucket's members beside the one with most company, the smallest id first; a partial maximum."""
-    top = rows.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
+    """Each bucket's members beside the one with most company, the smallest id first; a partial maximum, written
+    first so that the join of a large bucket can be split."""
+    top = settle(rows.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
     return rows.join(top, "bucket").where("centre <> node")
 
 

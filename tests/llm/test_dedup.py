@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import bits, exact, near
-from pulsegrid.llm.components import components
+from pulsegrid.llm.components import _large_star, components
 from tests.helpers import plan
 from tests.llm import brute
 
@@ -213,6 +213,25 @@ def test_components(spark, links, want):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
+def test_hub_joins_are_split(spark):
+    """Half of all edges on one node: its rows are dealt to several tasks in the components and in the stars."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.range(0, 100_000, 1, 8).select(
+            F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") * 31 % 9973 + 10).alias("u"), (F.col("id") + 20_000).alias("v"))
+        for made in (_large_star(edges), near._stars(edges.select(F.col("u").alias("bucket"), F.col("v").alias("node"), (F.col("v") % 7).alias("company")))):
+            made.collect()
+            assert "skew=true" in made._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_groups_of_sf(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     groups = collections.Counter(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect())
