@@ -4,12 +4,17 @@ Words are lower-cased runs of digits, letters and non-ASCII characters. A window
 consecutive words of an item (all its words where it has fewer). Every window is a pattern of one
 automaton that reads each folded text once; hits are mapped back to offsets of the original text.
 
-The items travel to the tasks in blocks of at most ``block_bytes``, checked against the table; a
-benchmark of more than one block scans each row with one automaton after the other, in the same task.
+The items travel to the tasks in blocks whose windows have at most ``block_nodes`` bytes, and an automaton
+has no more nodes than its patterns have bytes (about 40 bytes of memory each); a long item is dealt
+over several blocks, window by window. The driver holds one block at a time. A benchmark of more than
+one block scans the rows once for each, and what a scan found is written before the next. A worker
+builds a block's automaton once and keeps it for its next tasks.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,28 +26,48 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pulsegrid.llm.text import FOLD, folded_words, narrow, raw_texts
+from pulsegrid.session import settle
 
 SPACE = 32
+# Bytes of all windows of a block, so the most nodes of its automaton: about 80 MB.
+BLOCK_NODES = 2 << 20
 FOUND = "n_words long, hits array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def automaton(items: list[tuple[str, str | None]], width: int) -> ahocorasick.Automaton | None:
-    """Windows of (item id, text) pairs; the value of a window is its length and its items."""
-    windows: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = folded_words((text or "").encode())
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            window = words[i:i + width]
-            windows.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item)
-    if not windows:
+def item_windows(text: str | None, width: int) -> Iterator[tuple[int, bytes]]:
+    """(words, pattern) of the item's windows, in order."""
+    words = folded_words((text or "").encode())
+    for i in range(max(1, len(words) - width + 1) if words else 0):
+        window = words[i:i + width]
+        yield len(window), b" " + b" ".join(window) + b" "
+
+
+def automaton(windows: list[tuple[str, int, bytes]]) -> ahocorasick.Automaton | None:
+    """Automaton of (item id, words, pattern); the value of a window is its length and its items."""
+    patterns: dict[bytes, tuple[int, set[str]]] = {}
+    for item, n, key in windows:
+        patterns.setdefault(key, (n, set()))[1].add(item)
+    if not patterns:
         return None
     found = ahocorasick.Automaton()
-    for key, (n, owners) in windows.items():
+    for key, (n, owners) in patterns.items():
         found.add_word(key.decode("latin-1"), (n, tuple(sorted(owners))))
     found.make_automaton()
     return found
 
 
+_built: dict[int, ahocorasick.Automaton | None] = {}
+
+
+def built(packed: bytes) -> ahocorasick.Automaton | None:
+    """The automaton of a pickled block; a worker's next task with the same block finds it ready."""
+    key = zlib.crc32(packed)
+    if key not in _built:
+        _built.clear()
+        _built[key] = automaton(pickle.loads(packed))
+    return _built[key]
+
+
 def scan(words: list[bytes], found: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], list[str]]:
     """Hit word runs [first, last) without overlap, and the items whose windows occur."""
     folded = b" " + b" ".join(words) + b" "
@@ -77,10 +102,10 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scanner(items: list[tuple[str, str | None]], width: int, schema: pa.Schema):
-    """Adds the hits of one block of items to those that earlier blocks left in the row."""
+def _scanner(block: bytes, schema: pa.Schema):
+    """Adds the hits of one block of windows to those that earlier blocks left in the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(items, width)
+        found = built(block)
         for batch in batches:
             texts, names = raw_texts(batch.column("text")), batch.schema.names
             before = batch.select(["hits", "items"]).to_pylist() if "hits" in names else [None] * len(texts)
@@ -101,21 +126,22 @@ def _scanner(items: list[tuple[str, str | None]], width: int, schema: pa.Schema)
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size, read one after the other."""
-    blocks: list[list] = [[]]
+def _blocks(items: DataFrame, width: int, block_nodes: int) -> Iterator[tuple[bytes, bool]]:
+    """(pickled windows, whether they are the last) of each block; at least one block, one held at a time."""
+    block: list[tuple[str, int, bytes]] = []
     size = 0
-    for row in items.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator():
-        if blocks[-1] and size + len(row.text or "") > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id or "", row.text))
-        size += len(row.text or "")
-    return blocks
+    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        for n, key in item_windows(row.text, width):
+            if block and size + len(key) > block_nodes:
+                yield pickle.dumps(block), False
+                block, size = [], 0
+            block.append((row.item_id or "", n, key))
+            size += len(key)
+    yield pickle.dumps(block), True
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids as strings), spans (character
     offsets [start, end) of the hit runs in the original text), contaminated.
 
@@ -125,12 +151,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: s
     give empty or clean results; further columns are ignored.
     """
     out = narrow(docs, doc_id=id_col, text=text_col)
-    blocks = _blocks(narrow(benchmark, item_id=item_col, text=item_text_col), block_bytes)
     kinds = {f.name: f.dataType.simpleString() for f in out.schema}
-    for i, block in enumerate(blocks):
-        kept = ["doc_id"] if i == len(blocks) - 1 else ["doc_id", "text"]
-        ddl = ", ".join([*[f"{c} {kinds[c]}" for c in kept], FOUND])
-        out = out.mapInArrow(_scanner(block, width, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+    for block, last in _blocks(narrow(benchmark, item_id=item_col, text=item_text_col), width, block_nodes):
+        ddl = ", ".join([*[f"{c} {kinds[c]}" for c in (["doc_id"] if last else ["doc_id", "text"])], FOUND])
+        out = out.mapInArrow(_scanner(block, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+        out = out if last else settle(out, "scanned")
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans", (F.size("hits") > 0).alias("contaminated"))
 
@@ -141,17 +166,17 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: s
 
     The scan carries each row through; nothing is shuffled where the benchmark is one block.
     """
-    blocks = _blocks(narrow(benchmark, item_id=named.get("item_col", "item_id"),
-                            text=named.get("item_text_col", "text")), named.get("block_bytes", 8 << 20))
+    items = narrow(benchmark, item_id=named.get("item_col", "item_id"), text=named.get("item_text_col", "text"))
     out = docs
-    for block in blocks:
-        out = out.mapInArrow(_sieve(block, width, text_col), docs.schema)
+    for block, last in _blocks(items, width, named.get("block_nodes", BLOCK_NODES)):
+        out = out.mapInArrow(_sieve(block, text_col), docs.schema)
+        out = out if last else settle(out, "sieved")
     return out
 
 
-def _sieve(items: list[tuple[str, str | None]], width: int, text_col: str):
+def _sieve(block: bytes, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(items, width)
+        found = built(block)
         for batch in batches:
             if found:
                 texts = raw_texts(batch.column(batch.schema.get_field_index(text_col)))

@@ -16,6 +16,7 @@ import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -172,13 +173,18 @@ def resolved(found: list[tuple]) -> list[tuple]:
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a base phrase's words stand one after the other."""
     joined = b" " + b" ".join(words) + b" "
-    out = []
+    found = []
     for phrase, label in BASE_PHRASES.items():
-        sought, at = b" " + phrase.encode() + b" ", joined.find(b" " + phrase.encode() + b" ")
+        sought = b" " + phrase.encode() + b" "
+        at = joined.find(sought)
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            found.append((at, label))
             at = joined.find(sought, at + 1)
-    return sorted(out)
+    if not found:
+        return []
+    # A place is the blank before a word: its rank among the blanks is the word's number.
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return sorted(zip(np.searchsorted(blanks, [at for at, _ in found]).tolist(), [label for _, label in found]))
 
 
 COLUMNS = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "

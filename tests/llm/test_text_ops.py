@@ -1,6 +1,8 @@
 import hashlib
+import pickle
 import random
 import re._parser as parser
+import time
 import zlib
 
 import numpy as np
@@ -31,10 +33,10 @@ TEXTS = [(1, "x the QUICK, brown fox jumps over the lazy dog near y"), (2, "a sh
          (5, "a " * 40), (6, "über Short Item"), (6, "nothing"), (None, "short item"), (7, "w " * 60000 + "short item")]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 20])
+@pytest.mark.parametrize("block", [decontam.BLOCK_NODES, 300])
 def test_leaks_match_brute_force(spark, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontam.find_leaks(docs_of(spark, TEXTS), items, block_bytes=block).collect()
+    got = decontam.find_leaks(docs_of(spark, TEXTS), items, block_nodes=block).collect()
     want = []
     for d, t in TEXTS:
         places, found = brute.hits(t, ITEMS)
@@ -47,10 +49,28 @@ def test_leaks_match_brute_force(spark, block):
     assert text[1][span.start:span.end] == "the QUICK, brown fox jumps over the lazy dog near"
     span = by[6, 3].spans[0]
     assert text[6][span.start:span.end] == "Short Item"
-    kept = decontam.drop_leaks(docs_of(spark, TEXTS), items, block_bytes=block)
+    kept = decontam.drop_leaks(docs_of(spark, TEXTS), items, block_nodes=block)
     assert sorted(str(r.text) for r in kept.collect()) == sorted(str(t) for d, t in TEXTS if not brute.hits(t, ITEMS)[0])
 
 
+def test_blocks_stay_below_the_bound_and_lose_no_window(spark):
+    long = " ".join(f"w{i % 97}x{i}" for i in range(3000))
+    items = spark.createDataFrame([("a", long), ("b", "one two"), ("c", None)], "item_id string, text string")
+    blocks = [pickle.loads(b) for b, _ in decontam._blocks(items, 10, 20_000)]
+    assert len(blocks) > 5
+    for block in blocks:
+        found = decontam.automaton(block)
+        assert found.get_stats()["nodes_count"] <= 20_000 + 1
+    want = {("a", n, k) for n, k in decontam.item_windows(long, 10)} | {("b", 2, b" one two ")}
+    assert {w for b in blocks for w in b} == want and sum(map(len, blocks)) == len(want)
+
+
+def test_a_worker_keeps_its_automaton():
+    block = pickle.dumps([("a", 1, b" x ")])
+    assert decontam.built(block) is decontam.built(bytes(block))
+    assert decontam.built(pickle.dumps([])) is None
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(docs_of(spark, []), none).count() == 0
@@ -113,6 +133,17 @@ def test_packing_edges(spark):
     assert sum(r.length for r in twice) == 6 and len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
 
 
+@pytest.mark.parametrize("tokens", [1, 3, 5, 6])
+def test_short_examples_fill_their_sequences(tokens):
+    """20,000 examples of equal length: every sequence is full but the last ones, whose lengths are powers of two."""
+    packer, sizes = packing.Packer(), []
+    for i in range(20_000):
+        sizes += [sum(len(p.ids) for p in s) for s in packer.add(packing.Piece(i, tokens, 0, np.ones(tokens, np.uint32)))]
+    sizes += [sum(len(p.ids) for p in s) for s in packer.finish()]
+    assert sum(sizes) == 20_000 * tokens and not [n for n in sizes if n & (n - 1)]
+    assert len(sizes) <= 20_000 * tokens // 2048 + 12
+
+
 def test_all_limits_hold(spark):
     rng = random.Random(2)
     rows = [(i, [i] * rng.randrange(1, 60), None) for i in range(80)]
@@ -313,6 +344,28 @@ def test_suppression_matches_all_pairs():
     assert sorted(licenses.resolved(found)) == sorted(x for x in found if not beaten(x))
 
 
+def test_base_places_match_a_plain_scan(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    hits = 0
+    for row in rows:
+        w = brute.folded(row.text)
+        places = sorted((i, label) for phrase, label in licenses.BASE_PHRASES.items() for i in range(len(w))
+                        if w[i:i + len(phrase.split())] == phrase.split())
+        r = got[row.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
+            len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({p[1] for p in places})))
+        hits += bool(places)
+    assert hits > 10
+
+
+def test_base_places_of_a_very_long_text():
+    began = time.perf_counter()
+    places = licenses.base_places([b"cc", b"by"] * 800_000)
+    assert len(places) == 800_000 and places[-1] == (1_599_998, "cc-by")
+    assert time.perf_counter() - began < 20
+
+
 def test_license_rows(spark):
     texts = [(1, "CC BY, cc-by MIT license\nthe Apache  License"), (2, None), (3, ""), (4, "cc by " * 20000), (4, "none"), (None, "GNU General Public License")]
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
