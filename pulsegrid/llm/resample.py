@@ -31,7 +31,7 @@ LEAST_WORDS = 20
 PERCENT = 10
 SEED = "2024"
 DIGIT_BITS = 12
-CHUNK = 1 << 18
+LEAST_CHUNK, CHUNK = 1 << 10, 1 << 18
 REMEMBERED = 400_000
 
 
@@ -155,13 +155,15 @@ def _counting_pass(rows: DataFrame, digit: Column, chunk: int) -> DataFrame:
     return moved.withColumn("part", F.floor(F.col("place") / chunk).cast("long")).drop("digit", "own", "start")
 
 
-def radix_places(rows: DataFrame, keys: list[tuple[str, bool]], chunk: int = CHUNK, bits: int = DIGIT_BITS) -> DataFrame:
+def radix_places(rows: DataFrame, keys: list[tuple[str, bool]], chunk: int | None = None, bits: int = DIGIT_BITS) -> DataFrame:
     """``rows`` with ``place``, their number from 0 in the order of ``keys``: (integral column without nulls, descending),
     the most significant first. The sort is stable: rows with equal keys keep the order in which they are read.
+    A part is ``chunk`` places, by default a sixty-fourth of all, at least ``LEAST_CHUNK`` and at most ``CHUNK``.
     """
     rows = settle(rows.withColumn("part", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id()),
                   "radix-input")
     digits = digits_of(rows, keys, bits)
+    chunk = chunk or min(CHUNK, max(LEAST_CHUNK, rows.count() // 64))
     # Without any digit all keys are equal: one pass by a constant numbers the rows.
     for digit in digits or [F.lit(0)]:
         rows = settle(_counting_pass(rows, digit, chunk), "radix-pass")
