@@ -3,32 +3,34 @@
 Evidence for any number of requests comes from two rollups made in one pass each: platform
 counts per (objective, channel, age in days), at most a few thousand rows, and target counts
 per (customer, channel, age in days). Windows, audiences and customers are then sums over
-them. Draws are the only Python step; they run once per distinct posterior, not per request.
+them. Intervals and probabilities of being best are integrals of the posteriors (``functions.beta``).
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
+from pulsegrid.functions.beta import best_probabilities, beta_table
+from pulsegrid.session import settle
 from pulsegrid.sources.tables import from_day
 
-SEED = 20240131
 SALTS = 16
+PATTERNS_PER_TASK = 200
 KEY = ["objective", "lookback_days"]
 SUCCESS_TYPES = ("opened", "clicked", "converted")
 EVIDENCE = (
     "objective_successes", "objective_delivered", "other_successes", "other_delivered",
     "target_successes", "target_delivered", "sent", "bounced", "opt_outs", "delivered_all",
 )
-NO_LIMIT_DAYS = 1 << 30
+# Ranges of scores: so many to each unit of log(1 + score); none is beyond the last one's.
+SCORE_RANGES = 64
+_LAST_RANGE = 1 + int(SCORE_RANGES * math.log1p(1e18))
 
 
 def normalize_prediction_requests(requests: DataFrame) -> DataFrame:
@@ -172,76 +174,128 @@ def _customer_targets(resolved: DataFrame, rollup: DataFrame) -> DataFrame:
     )
 
 
+def _score_range(score: Column) -> Column:
+    """Number of a score's range; it never falls as the score rises."""
+    return F.when(score > 0, 1 + F.floor(SCORE_RANGES * F.log1p(F.least(score, F.lit(1e18))))).otherwise(F.lit(0)).cast("int")
+
+
+def score_ranges(floors: DataFrame) -> DataFrame:
+    """The distinct score floors (``floor``) as a table of ranges: (range, below, floors).
+
+    A score's place, the number of floors it reaches, is ``below``, the floors in lower ranges, and those of its
+    own range's few ``floors`` that are not above it. The ranges are bounded in number; the last one's floors
+    are reached by place ``below`` + all for any score beyond it.
+    """
+    distinct = floors.select("floor").distinct().withColumn("range", _score_range(F.col("floor")))
+    held = distinct.groupBy("range").agg(F.sort_array(F.collect_list("floor")).alias("floors"))
+    spine = floors.sparkSession.range(_LAST_RANGE + 1).select(F.col("id").cast("int").alias("range"))
+    rows = spine.join(held, "range", "left").withColumn("floors", F.coalesce("floors", F.array().cast("array<double>")))
+    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("below", F.coalesce(F.sum(F.size("floors")).over(lower), F.lit(0).cast("long")).cast("int"))
+
+
+def placed(rows: DataFrame, ranges: DataFrame, score: str, place: str) -> DataFrame:
+    """``rows`` with the number of floors that ``score`` reaches: an equi-join on the score's range."""
+    own = rows.withColumn("range", _score_range(F.col(score)))
+    return own.join(ranges, "range").withColumn(
+        place, F.col("below") + F.size(F.filter("floors", lambda f: f <= F.col(score)))).drop("range", "below", "floors")
+
+
+def _nodes(value: Column, bits: int) -> Column:
+    """The blocks of values that hold ``value`` and are asked for by a prefix: one a bit that is not set."""
+    return F.array_compact(F.array(*[
+        F.when(F.shiftright(value, b).bitwiseAND(F.lit(1)) == 0, F.struct(F.lit(b).alias("b"), F.shiftright(value, b).alias("n")))
+        for b in range(bits)]))
+
+
+def _prefix(limit: Column, bits: int) -> Column:
+    """The disjoint blocks that make up all values up to ``limit``: one a set bit of limit + 1."""
+    end = limit + 1
+    return F.array_compact(F.array(*[
+        F.when(F.shiftright(end, b).bitwiseAND(F.lit(1)) == 1, F.struct(F.lit(b).alias("b"), (F.shiftright(end, b) - 1).alias("n")))
+        for b in range(bits)]))
+
+
+def crossings(cells: DataFrame, asked: DataFrame, measures: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(sums by block, channel and place; requests by block): where cells and requests meet.
+
+    A cell is in at most one block for each bit of its two values, a request asks for at most one for each bit of
+    its limits; blocks that nobody asks for fall away at once.
+    """
+    tops = asked.agg(F.coalesce(F.max("j"), F.lit(0)).alias("j"), F.coalesce(F.max("w"), F.lit(0)).alias("w")).first()
+    bits = {axis: (tops[axis] + 1).bit_length() for axis in ("j", "w")}
+    wanted = asked.select("request_id", "i", "w", F.explode(_prefix(F.col("j"), bits["j"])).alias("nj")).select(
+        "request_id", "i", "nj", F.explode(_prefix(F.col("w"), bits["w"])).alias("nw"))
+    block = F.struct("nj", "nw").alias("block")
+    wanted = wanted.select("request_id", "i", block)
+    inside = cells.where((F.col("j") <= tops.j) & (F.col("w") <= tops.w) & (F.col("i") > 0))
+    for axis in ("j", "w"):
+        inside = inside.withColumn(f"n{axis}", F.explode(_nodes(F.col(axis), bits[axis])))
+    inside = inside.select("i", "channel", block, *measures).join(wanted.select("block").distinct(), "block", "left_semi")
+    return inside.groupBy("block", "channel", "i").agg(*[F.sum(m).alias(m) for m in measures]), wanted
+
+
+def dominance_counts(cells: DataFrame, asked: DataFrame, measures: tuple[str, ...], channels: tuple[str, ...]) -> DataFrame:
+    """Sums of ``measures`` over the cells with i >= asked i, j <= asked j and w <= asked w, by (request_id, channel);
+    zero or null where there are none.
+
+    Values up to a limit are a few disjoint binary blocks, so a cell meets a request by equality of their
+    blocks on two axes. Along the third a running sum over places passes cells and requests in one
+    order, so a request reads its sum where it stands. The work grows with the cells and the requests
+    (times the bits of a limit), not with their product, and a running sum passes at most one cell a place.
+    """
+    sums, wanted = crossings(cells, asked, measures)
+    standing = wanted.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
+    zeros = [F.lit(0).cast("long").alias(m) for m in measures]
+    order = Window.partitionBy("block", "channel").orderBy(F.col("i").desc())
+    # Rows of the same place are peers: a request counts the cells of its own place.
+    passed = sums.withColumn("request_id", F.lit(None).cast(asked.schema["request_id"].dataType)).unionByName(
+        standing.select("block", "channel", "i", *zeros, "request_id"))
+    summed = passed.withColumns({m: F.sum(m).over(order) for m in measures}).where("request_id IS NOT NULL")
+    return summed.groupBy("request_id", "channel").agg(*[F.sum(m).alias(m) for m in measures])
+
+
 def audience_evidence(requests: DataFrame, rollup: DataFrame, profiles: DataFrame, customers: DataFrame,
                       as_of) -> DataFrame:
     """Responses per (request, channel) of each audience, with the audience's size.
 
-    Score floors, activity limits and windows are thresholds, so a customer is placed once
-    among the sorted thresholds of all requests and counts are kept per place. The counts are
-    then accumulated along each axis, so a request looks up one place: the data is read once
-    however many audiences are asked for, and no request meets all places.
+    Score floors, activity limits and windows are thresholds. A customer is placed once among the floors of all
+    requests; days are their own places. Counts are kept per place, and ``dominance_counts`` answers
+    every request from them: the data is read once however many audiences are asked for, and no request
+    meets all places.
     """
     now = S.as_ts(as_of)
     aud = requests.where(F.col("scope") == "audience").select(
-        "request_id", "success_event", F.col("lookback_days").alias("window"),
-        S.raw_min_score(F.col("min_score")).alias("floor"),
-        F.when(F.col("last_active_days") > 0, F.col("last_active_days")).otherwise(NO_LIMIT_DAYS).alias("limit_days"),
-    )
-    bounds = aud.agg(F.struct(*[
-        F.sort_array(F.collect_set(c)).alias(c) for c in ("floor", "limit_days", "window")
-    ])).scalar()
-
-    def place(over: str, test) -> Column:
-        return F.size(F.filter(F.col(f"_t.{over}"), test))
-
-    idle = F.coalesce(S.seconds_between(now, F.col("last_event_at")) / 86400, F.lit(float(NO_LIMIT_DAYS)))
+        "request_id", "success_event", F.col("lookback_days").cast("int").alias("w"),
+        S.raw_min_score(F.col("min_score")).alias("floor"), F.col("last_active_days").cast("int").alias("days"),
+    )
+    # No limit is one day beyond the longest limit asked for, and so is a customer idle for longer or never seen.
+    beyond = F.coalesce(aud.agg(F.max("days") + 1).scalar(), F.lit(1))
+    beyond = F.greatest(beyond, F.lit(1))
+    ranges = score_ranges(aud)
+    # Written once: the placed requests are met in several places.
+    aud = settle(placed(aud.withColumn("beyond", beyond), ranges, "floor", "i").withColumn(
+        "j", F.when(F.col("days") > 0, F.col("days")).otherwise(F.col("beyond")).cast("int")), "audiences")
+    beyond = F.coalesce(aud.agg(F.max("beyond")).scalar(), F.lit(1))
+    idle = F.ceil(S.seconds_between(now, F.col("last_event_at")) / 86400)
     members = (
         customers.where(F.col("is_active")).select(F.col("id").alias("customer_id"))
         .join(profiles.select("customer_id", "engagement_score", "last_event_at"), "customer_id")
-        .withColumn("_t", bounds)
-        .select(
-            "customer_id", place("floor", lambda f: f <= F.col("engagement_score")).alias("i"),
-            place("limit_days", lambda d: d < idle).alias("j"),
-        )
+        .withColumn("j", F.least(F.greatest(F.coalesce(idle, beyond), F.lit(0)), beyond).cast("int"))
     )
+    members = placed(members, ranges, "engagement_score", "i").where("i > 0").select("customer_id", "i", "j")
     # One row per member stands for the audience's size: channel '' and no window.
-    zeros = [F.lit(0).cast("long").alias(t) for t in SUCCESS_TYPES]
-    sizes = members.select("i", "j", F.lit(0).alias("w"), F.lit("").alias("channel"),
-                           F.lit(1).cast("long").alias("delivered"), *zeros)
-    seen = (
-        members.join(rollup, "customer_id").withColumn("_t", bounds)
-        .select("i", "j", place("window", lambda n: n < F.col("age")).alias("w"), "channel", "delivered",
-                *SUCCESS_TYPES)
-    )
     measures = ("delivered", *SUCCESS_TYPES)
-
-    def accumulate(df: DataFrame, axis: str, reach: Column) -> DataFrame:
-        """Counts along one axis for every threshold a place satisfies, not per request."""
-        keys = [k for k in ("i", "j", "w", "channel") if k != axis]
-        return df.select(*keys, F.explode(reach).alias(axis), *measures).groupBy(*keys, axis).agg(
-            *[F.sum(t).alias(t) for t in measures])
-
-    def upward(axis: str, over: str) -> Column:
-        below = F.size(F.col(f"_t.{over}"))
-        return F.when(F.col(axis) < below, F.sequence(F.col(axis) + 1, below)).otherwise(F.array().cast("array<int>"))
-
-    places = sizes.unionByName(seen).groupBy("i", "j", "w", "channel").agg(*[F.sum(t).alias(t) for t in measures])
-    places = accumulate(places.withColumn("_t", bounds), "w", upward("w", "window"))
-    places = accumulate(places.withColumn("_t", bounds), "j", upward("j", "limit_days"))
-    places = accumulate(places.where(F.col("i") > 0), "i", F.sequence(F.lit(1), F.col("i")))
-    placed = aud.withColumn("_t", bounds).select(
-        "request_id", "success_event",
-        F.array_position("_t.floor", F.col("floor")).cast("int").alias("i"),
-        F.array_position("_t.limit_days", F.col("limit_days")).cast("int").alias("j"),
-        F.array_position("_t.window", F.col("window")).cast("int").alias("w"),
-        F.explode(F.array(*[F.lit(c) for c in ("", *V.CHANNELS)])).alias("channel"),
-    )
+    zeros = [F.lit(0).cast("long").alias(t) for t in SUCCESS_TYPES]
+    sizes = members.select("i", "j", F.lit(0).alias("w"), F.lit("").alias("channel"), F.lit(1).cast("long").alias("delivered"), *zeros)
+    seen = members.join(rollup, "customer_id").select("i", "j", F.greatest("age", F.lit(0)).alias("w"), "channel", *measures)
+    cells = sizes.unionByName(seen).groupBy("i", "j", "w", "channel").agg(*[F.sum(t).alias(t) for t in measures])
+    counts = dominance_counts(cells, aud.select("request_id", "i", "j", "w"), measures, ("", *V.CHANNELS))
 
     def total(channel: str, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("channel") == channel, value)), F.lit(0).cast("long"))
 
-    # Every request meets one place per channel.
-    wide = placed.join(places, ["i", "j", "w", "channel"], "left").groupBy("request_id").agg(
+    wide = aud.select("request_id", "success_event").join(counts, "request_id", "left").groupBy("request_id").agg(
         total("", F.col("delivered")).alias("audience_size"),
         *[F.struct(F.lit(c).alias("channel"), total(c, _success(F.col("success_event"))).alias("target_successes"),
                    total(c, F.col("delivered")).alias("target_delivered")).alias(f"_{c}") for c in V.CHANNELS],
@@ -332,44 +386,22 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     }).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def draw_summary(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """5th and 95th percentile of each Beta and the share of draws in which it is the best.
-
-    The seed is constant, so equal posteriors give equal answers wherever they run.
-    """
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    draws = rng.beta(a[:, None], b[:, None], size=(len(a), V.SAMPLES))
-    wins = np.bincount(draws.argmax(axis=0), minlength=len(a)) / V.SAMPLES
-    at = [int(np.floor(q * (V.SAMPLES - 1) + 0.5)) for q in V.INTERVAL]
-    cut = np.partition(draws, at, axis=1)
-    return cut[:, at[0]], cut[:, at[1]], wins
-
-
-_DOUBLES = T.ArrayType(T.DoubleType())
-_SUMMARY = T.StructType([T.StructField(n, _DOUBLES) for n in ("lower", "upper", "prob_best")])
-
-
-@F.pandas_udf(_SUMMARY)
-def _draw_arrays(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """draw_summary over a column of posteriors; only the two arrays cross into Python."""
-    out = [draw_summary(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)]
-    return pd.DataFrame({n: [o[i].tolist() for o in out] for i, n in enumerate(_SUMMARY.names)})
-
-
-# The draws are repeatable; the mark only keeps the optimizer from evaluating them twice.
-draw_arrays = _draw_arrays.asNondeterministic()
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row per request with its channels (five at most) as an array in input order, and ``_sim``, their summary."""
+    rows = rows.withColumn("_t", beta_table(F.col("a"), F.col("b"), *V.INTERVAL))
+    cols = [F.col("pos"), *[F.col(c) for c in rows.columns if c not in ("request_id", "pos", "_t")]]
+    both = F.struct(F.struct(*cols).alias("v"), F.col("_t").alias("t"))
+    packed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(both)).alias("_p"))
+    return packed.select("request_id", F.col("_p.v").alias("_v"), summary(F.col("_p.t")).alias("_sim"))
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """One row per request with its channels (five at most) as an array in input order."""
-    cols = [F.col("pos"), *[F.col(c) for c in rows.columns if c not in ("request_id", "pos")]]
-    return rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_v")).withColumn(
-        "_sim", draw_arrays(F.col("_v.a"), F.col("_v.b"))
-    )
+def summary(tables: Column) -> Column:
+    """Interval and probability of being best of each of several Beta tables, as arrays."""
+    return F.struct(tables["lower"].alias("lower"), tables["upper"].alias("upper"), best_probabilities(tables).alias("prob_best"))
 
 
 def simulate(posts: DataFrame) -> DataFrame:
-    """Interval and probability of being best, per request and channel."""
+    """Interval and probability of being best, per request and channel, by numeric integration."""
     done = _packed(posts.select("request_id", "pos", "channel", "a", "b"))
     one = F.arrays_zip(F.col("_v.channel"), F.col("_sim.lower"), F.col("_sim.upper"), F.col("_sim.prob_best"))
     return done.select("request_id", F.explode(one).alias("_z")).select("request_id", "_z.*")
@@ -552,7 +584,7 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
                           objectives: tuple[str, ...] = V.OBJECTIVES) -> DataFrame:
     """Best channel of every customer for every objective.
 
-    Customers with the same responses have the same posterior, so draws run once per distinct
+    Customers with the same responses have the same posterior, so the integrals run once per distinct
     (objective, responses). The answer goes back to the customers over a salted join, because
     one pattern, above all "no history", can hold most of them.
     """
@@ -579,15 +611,22 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
         )
         .withColumn("n", F.zip_with("s", "n", lambda s, n: F.greatest(s, n)))
     )
-    patterns = keyed.select("objective", "s", "n").distinct()
+    patterns = settle(keyed.select("objective", "s", "n").distinct(), "patterns")
     # One row per objective, so at most five.
     vectors = patterns.join(F.broadcast(priors), "objective").select(
         "objective", "s", "n",
         F.zip_with("pa", "s", lambda p, s: p + s).alias("a"),
         F.zip_with("pb", F.zip_with("n", "s", lambda n, s: n - s), lambda p, f: p + f).alias("b"),
     )
-    # Few bytes but much work per row: as many tasks as cores, which Spark would else merge.
-    vectors = vectors.repartition(spark.sparkContext.defaultParallelism)
+    channels = vectors.select("objective", "s", "n", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "_z")).select(
+        "objective", "s", "n", "pos", "_z.*")
+    # Patterns share their channels' posteriors: each different one is integrated once.
+    tables = channels.select("a", "b").distinct().withColumn("_t", beta_table(F.col("a"), F.col("b"), *V.INTERVAL))
+    # Few bytes but much work per row: partitions by the number of patterns, which Spark does not merge.
+    parts = patterns.count() // PATTERNS_PER_TASK + 1
+    vectors = channels.join(tables, ["a", "b"]).repartition(parts, "objective", "s", "n").groupBy("objective", "s", "n").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "a", "b", "_t"))).alias("_v"))
+    vectors = vectors.select("objective", "s", "n", F.col("_v.a").alias("a"), F.col("_v.b").alias("b"), F.col("_v._t").alias("_t"))
     sim, names = F.col("_sim"), F.array(*[F.lit(c) for c in V.CHANNELS])
 
     def finish(channel: Column, i: Column) -> Column:
@@ -598,7 +637,7 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
             S.round4(F.get(sim["upper"], i)).alias("upper"),
         )
 
-    done = vectors.withColumn("_sim", draw_arrays("a", "b"))
+    done = vectors.withColumn("_sim", summary(F.col("_t"))).drop("_t")
     ranked = done.withColumn("_r", F.array_sort(F.transform(names, finish)))
     answer = advice_columns(F.col("_r"), F.lit("customer"), S.success_event(F.col("objective")))
     best = F.get(F.col("_r"), F.lit(0))

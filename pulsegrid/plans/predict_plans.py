@@ -57,10 +57,11 @@ def b11_risk_rates(spark, sf):
 
 
 def b12_rank_channels(spark, sf):
-    """The rate part of the ranking: every probability counts as equal."""
-    posts = B.posteriors(_evidence(spark, sf)).withColumns(
-        {"predicted_rate": B.S.round4(F.col("mean")), "prob_best": F.lit(0.0)})
-    return flat(B.rank_channels(posts), "request_id", "channel", "predicted_rate", "rank")
+    """Platform and audience requests repeat rates only by chance, so the second key decides where rates are cut to 2 places."""
+    posts = B.posteriors(_evidence(spark, sf))
+    rated = posts.join(B.simulate(posts), ["request_id", "channel"]).withColumns({
+        "predicted_rate": F.floor(F.col("mean") * 100 + 0.5) / 100, "prob_best": B.S.round4(F.col("prob_best"))})
+    return flat(B.rank_channels(rated), "request_id", "channel", "predicted_rate", "prob_best", "rank")
 
 
 def b13_prediction_reasons(spark, sf):
@@ -231,6 +232,82 @@ allp AS (
   LEFT JOIN ct s ON s.customer_id = cu.id AND s.channel = pl3.channel AND s.type = pl3.success
   LEFT JOIN ct d ON d.customer_id = cu.id AND d.channel = pl3.channel AND d.type = 'delivered')"""
 
+# Summary of Beta distributions over a grid of 129 points, relationally: `sets` lists (set_id, pos, a, b).
+GRID = """
+gr AS (
+  SELECT a, b, ln(a / b) - (4.5 / sqrt(a) + 8 / a) - ln(1 + 4.5 / sqrt(b) + 8 / b) AS lo,
+    (4.5 / sqrt(a) + 8 / a + ln(1 + 4.5 / sqrt(b) + 8 / b) + 4.5 / sqrt(b) + 8 / b + ln(1 + 4.5 / sqrt(a) + 8 / a)) / 128 AS step,
+    a * ln(a / (a + b)) + b * ln(b / (a + b)) AS peak
+  FROM (SELECT DISTINCT a, b FROM sets)),
+dn AS (
+  SELECT a, b, lo, step, k, lo + step * k AS y,
+    exp(-a * (greatest(-(lo + step * k), 0) + ln(1 + exp(-abs(lo + step * k))))
+        - b * (greatest(lo + step * k, 0) + ln(1 + exp(-abs(lo + step * k)))) - peak) AS d
+  FROM gr, unnest(range(129)) u(k)),
+ig AS (
+  SELECT *, coalesce(sum((d + before) / 2) OVER (PARTITION BY a, b ORDER BY k), 0) AS run,
+    sum((d + before) / 2) OVER (PARTITION BY a, b) AS total
+  FROM (SELECT *, lag(d) OVER (PARTITION BY a, b ORDER BY k) AS before FROM dn)),
+tb AS (
+  SELECT a, b, lo, step, k, y, run / total AS f, lead(run) OVER (PARTITION BY a, b ORDER BY k) / total AS fnext FROM ig),
+qt AS (
+  SELECT a, b, 1 / (1 + exp(-(any_value(lo) + any_value(step) * max(k + (0.05 - f) / (fnext - f)) FILTER (f < 0.05)))) AS lower,
+    1 / (1 + exp(-(any_value(lo) + any_value(step) * max(k + (0.95 - f) / (fnext - f)) FILTER (f < 0.95 AND fnext >= 0.95)))) AS upper
+  FROM (SELECT * FROM tb WHERE f < 0.05 AND fnext >= 0.05 OR f < 0.95 AND fnext >= 0.95) GROUP BY a, b),
+pt AS (
+  SELECT s.set_id, t.y, row_number() OVER (PARTITION BY s.set_id ORDER BY t.y) AS m FROM sets s JOIN tb t ON t.a = s.a AND t.b = s.b),
+fv AS (
+  SELECT set_id, m, pos, CASE WHEN place <= 0 THEN 0 WHEN place >= 128 THEN 1 ELSE f + (place - floor(place)) * (fnext - f) END AS v
+  FROM (SELECT pt.set_id, m, pos, a, b, (y - lo) / step AS place FROM pt JOIN sets USING (set_id) JOIN gr USING (a, b)) o
+  LEFT JOIN tb ON tb.a = o.a AND tb.b = o.b AND tb.k = CASE WHEN place > 0 AND place < 128 THEN floor(place)::BIGINT END),
+ov AS (
+  SELECT x.set_id, x.m, x.pos, any_value(x.v) AS v, coalesce(product(o.v), 1) AS beaten
+  FROM fv x LEFT JOIN fv o ON o.set_id = x.set_id AND o.m = x.m AND o.pos <> x.pos GROUP BY ALL),
+wn AS (
+  SELECT set_id, pos, sum((v - v0) * (beaten + b0)) AS raw
+  FROM (SELECT *, lag(v) OVER w AS v0, lag(beaten) OVER w AS b0 FROM ov WINDOW w AS (PARTITION BY set_id, pos ORDER BY m))
+  GROUP BY ALL),
+sm AS (
+  SELECT s.set_id, s.pos, s.a, s.b, lower, upper, raw / sum(raw) OVER (PARTITION BY s.set_id) AS prob
+  FROM sets s JOIN qt USING (a, b) JOIN wn ON wn.set_id = s.set_id AND wn.pos = s.pos)"""
+
+REQUEST_SETS = "sets AS (SELECT request_id AS set_id, pos, a, b FROM post)"
+
+# Per request: its ranked channels with rounded figures, the best one and its challenger.
+RANKED = """
+rk AS (
+  SELECT post.*, floor(a / (a + b) * 10000 + 0.5) / 10000 AS rate, floor(prob * 10000 + 0.5) / 10000 AS pb,
+    floor(lower * 10000 + 0.5) / 10000 AS lo4, floor(upper * 10000 + 0.5) / 10000 AS up4
+  FROM post JOIN (SELECT set_id AS request_id, pos, prob, lower, upper FROM sm) USING (request_id, pos)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rate DESC, pb DESC, pos) AS rank FROM rk),
+bs AS (SELECT request_id, channel AS best, pb AS p, success, scope FROM rn WHERE rank = 1),
+rv AS (
+  SELECT request_id, channel AS rival, pb AS q FROM rn WHERE rank > 1
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY pb DESC, rank) = 1),
+ad AS (
+  SELECT request_id, best AS recommended_channel,
+    CASE WHEN rival IS NULL OR p >= 0.9 THEN 'high' WHEN p >= 0.65 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN rival IS NULL THEN 'Only ' || best || ' was evaluated.'
+      WHEN p >= 0.9 THEN printf('Send on %s: it has a %.1f%% chance of the highest %s rate.', best, p * 100, success)
+      WHEN p >= 0.65 THEN printf('%s is the likely winner (%.1f%% chance best); %s is the main challenger.', best, p * 100, rival)
+      WHEN scope = 'customer' THEN printf('Not enough history to separate channels for this customer; %s is the best guess '
+        || '(%.1f%% chance best). Their response will sharpen the next prediction.', best, p * 100)
+      ELSE printf('No clear winner between %s and %s (%.1f%% vs %.1f%% chance best). Run an A/B split on a slice of the '
+        || 'audience before committing the rest.', best, rival, p * 100, q * 100) END AS advice
+  FROM bs LEFT JOIN rv USING (request_id))"""
+
+# The different posteriors of all customers, and their answers in the shape of requests.
+EVERY_SETS = """
+vec AS (
+  SELECT customer_id, objective, list(a ORDER BY channel) AS va, list(b ORDER BY channel) AS vb FROM allp GROUP BY ALL),
+one AS (SELECT objective, va, vb, row_number() OVER () AS set_id FROM (SELECT DISTINCT objective, va, vb FROM vec)),
+sets AS (
+  SELECT set_id, list_position(['email', 'sms', 'whatsapp', 'push', 'web'], list_sort(['email', 'sms', 'whatsapp', 'push', 'web'])[i]) AS pos,
+    va[i] AS a, vb[i] AS b FROM one, unnest(range(1, 6)) u(i)),
+epost AS (
+  SELECT set_id AS request_id, pos, a, b, ['email', 'sms', 'whatsapp', 'push', 'web'][pos] AS channel, 'customer' AS scope, success
+  FROM sets JOIN one USING (set_id) JOIN sx USING (objective))"""
+
 ORACLES = {
     "b1_normalize_prediction_requests": """
       SELECT o AS request_id,
@@ -271,10 +348,32 @@ ORACLES = {
     "b11_risk_rates": sql(
         """SELECT request_id, channel, round(oo, 6) + 0.0 AS opt_out_rate, round(bo, 6) + 0.0 AS bounce_rate,
           round(xoo, 6) + 0.0 AS others_opt_out, round(xbo, 6) + 0.0 AS others_bounce FROM risk""", *_P),
+    "b9_simulate": sql(
+        """SELECT request_id, channel, round(lower, 6) + 0.0 AS lower, round(upper, 6) + 0.0 AS upper, round(prob, 6) + 0.0 AS prob_best
+        FROM sm JOIN post ON post.request_id = set_id AND post.pos = sm.pos""", *_P, REQUEST_SETS, GRID),
     "b12_rank_channels": sql(
-        """SELECT request_id, channel, floor(a / (a + b) * 10000 + 0.5) / 10000 AS predicted_rate,
-          row_number() OVER (PARTITION BY request_id ORDER BY floor(a / (a + b) * 10000 + 0.5) DESC, pos) AS rank
-        FROM post""", *_P),
+        """SELECT request_id, channel, floor(a / (a + b) * 100 + 0.5) / 100 AS predicted_rate, pb AS prob_best,
+          row_number() OVER (PARTITION BY request_id ORDER BY floor(a / (a + b) * 100 + 0.5) DESC, pb DESC, pos) AS rank
+        FROM rk""", *_P, REQUEST_SETS, GRID, RANKED),
+    "b14_prediction_advice": sql("SELECT * FROM ad", *_P, REQUEST_SETS, GRID, RANKED),
+    "b15_predict_channels": sql(
+        f"""SELECT request_id, risk.objective, risk.scope, risk.success AS success_event, recommended_channel, confidence, advice, rank,
+          channel, rate AS predicted_rate, lo4 AS lower, up4 AS upper, pb AS prob_best,
+          (on_ + tn < 200)::BIGINT AS low_data, round(oo, 6) + 0.0 AS opt_out_rate, round(bo, 6) + 0.0 AS bounce_rate,
+          on_ AS objective_delivered, os AS objective_successes, xn AS other_delivered, xs AS other_successes,
+          CASE WHEN risk.scope = 'platform' THEN -1 ELSE tn END AS target_delivered,
+          CASE WHEN risk.scope = 'platform' THEN -1 ELSE ts END AS target_successes, {_REASONS} AS reasons,
+          lookback AS lookback_days, CASE WHEN risk.scope = 'audience'
+            THEN (SELECT count(*) FROM aud WHERE aud.request_id = risk.request_id) ELSE -1 END AS audience_size,
+          'beta-binomial-hierarchical-v1' AS model, 4000 AS samples
+        FROM risk JOIN (SELECT request_id, channel, rate, lo4, up4, pb, rank FROM rn) USING (request_id, channel) JOIN ad USING (request_id)""",
+        *_P, REQUEST_SETS, GRID, RANKED),
+    "b15_predict_all_customers": sql(
+        """SELECT customer_id, ext AS customer, objective, recommended_channel, confidence, advice, rate AS predicted_rate,
+          pb AS prob_best, lo4 AS lower, up4 AS upper
+        FROM vec JOIN one USING (objective, va, vb) JOIN cu ON cu.id = customer_id
+        JOIN ad ON ad.request_id = set_id JOIN rn ON rn.request_id = set_id AND rn.rank = 1""",
+        *_P, EVERY, EVERY_SETS, GRID, RANKED.replace("post", "epost")),
     "b13_prediction_reasons": sql(
         f"""SELECT request_id, channel, {_REASONS} AS reasons
         FROM risk""", *_P),

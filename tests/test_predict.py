@@ -1,11 +1,16 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
+from pulsegrid.functions import scalars as S
+from pulsegrid.functions.beta import best_probabilities, beta_table
 from pulsegrid.operators import predict as B
 from pulsegrid.plans.base import AS_OF, Tables
 from pulsegrid.sources import fixture as X
+from tests.helpers import plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,17 +106,94 @@ def test_single_channel(spark):
     assert (r.confidence, r.advice) == ("high", "Only web was evaluated.")
 
 
-def test_draws_are_repeatable_and_match_the_beta(spark):
-    a, b = np.array([2.0, 30.0, 0.6]), np.array([50.0, 700.0, 29.4])
-    one, two = B.draw_summary(a, b), B.draw_summary(a, b)
-    assert all((x == y).all() for x, y in zip(one, two))
-    big = np.random.default_rng(1).beta(a[:, None], b[:, None], size=(3, 200000))
-    assert np.allclose(one[0], np.quantile(big, 0.05, axis=1), atol=0.004)
-    assert np.allclose(one[1], np.quantile(big, 0.95, axis=1), atol=0.006)
-    assert abs(one[2].sum() - 1) < 1e-12
+SETS = [
+    [(2.0, 50.0), (30.0, 700.0), (0.6, 29.4)], [(1e5, 1e6), (20.0, 300.0), (3.0, 40.0)],
+    [(0.05, 29.95), (0.6, 29.4), (0.3, 29.7), (1.2, 28.8), (5.0, 60.0)], [(4.0, 6.0)], [(3.0, 9.0)] * 2,
+    [(5e6, 4e7), (5.002e6, 4e7)], [(0.003, 29.997)] * 5, [(20.0, 0.5), (9.0, 0.2)],
+]
+
+
+def summaries(spark, sets):
+    df = spark.createDataFrame([(i, [a for a, _ in s], [b for _, b in s]) for i, s in enumerate(sets)], "i int, a array<double>, b array<double>")
+    tables = df.withColumn("t", F.zip_with("a", "b", lambda a, b: beta_table(a, b, *V.INTERVAL)))
+    return [tuple(np.array(x) for x in r[1:]) for r in sorted(
+        tables.select("i", "t.lower", "t.upper", best_probabilities(F.col("t")).alias("p")).collect())]
+
 
+def test_summary_matches_draws(spark):
+    """Within 0.02 of 4,000 draws, and within 0.005 of 400,000, from very sharp to very wide posteriors."""
+    rng = np.random.default_rng(20240131)
+    for s, (lower, upper, p) in zip(SETS, summaries(spark, SETS)):
+        a, b = np.array(s).T
+        for n, near in ((V.SAMPLES, 0.02), (400_000, 0.005)):
+            draws = rng.beta(a[:, None], b[:, None], size=(len(s), n))
+            wins = np.bincount(draws.argmax(axis=0), minlength=len(s)) / n
+            assert np.abs(p - wins).max() < near
+            assert np.abs(lower - np.quantile(draws, 0.05, axis=1)).max() < near
+            assert np.abs(upper - np.quantile(draws, 0.95, axis=1)).max() < near
+        assert abs(p.sum() - 1) < 1e-9 and (lower <= upper).all() and (p >= 0).all()
 
-def test_partitioning_does_not_change_the_draws(spark):
+
+def test_equal_posteriors_are_equally_good(spark):
+    (_, _, two), (_, _, five), (_, _, one) = summaries(spark, [SETS[4], SETS[6], SETS[3]])
+    assert two[0] == two[1] == 0.5 and np.ptp(five) < 1e-12 and one[0] == 1
+
+
+def test_summary_stays_in_the_jvm(spark):
+    posts = B.posteriors(evidence(spark, {"email": obj(6, 150), "sms": obj(5, 140)}))
+    assert "Python" not in plan(B.simulate(posts))
+
+
+def dominated(cells, asked):
+    out = {}
+    for q, i, j, w in asked:
+        for ci, cj, cw, channel, n in cells:
+            if ci > 0 and ci >= i and cj <= j and cw <= w:
+                out[q, channel] = out.get((q, channel), 0) + n
+    return out
+
+
+def test_dominance_counts_match_all_pairs(spark):
+    rng = random.Random(4)
+    for reach in (1, 2, 13, 400):
+        cells = [(rng.randrange(0, 30), rng.randrange(0, reach + 3), rng.randrange(0, 366), rng.choice(["", "sms"]), rng.randrange(1, 9)) for _ in range(300)]
+        asked = [(q, rng.randrange(1, 31), rng.randrange(0, reach + 1), rng.choice([1, 90, 365])) for q in range(40)]
+        got = B.dominance_counts(spark.createDataFrame(cells, "i int, j int, w int, channel string, n long"),
+                                 spark.createDataFrame(asked, "request_id long, i int, j int, w int"), ("n",), ("", "sms")).collect()
+        assert {(r.request_id, r.channel): r.n for r in got if r.n} == dominated(cells, asked)
+
+
+def test_places_match_plain_counts(spark):
+    floors = [-S.MAX_DOUBLE, 0.0, 0.5, 0.5, 1.0, 1.0000001, 7.5, 7.6, 990.0, 1e12]
+    scores = [-5.0, 0.0, 0.4999, 0.5, 0.75, 1.0, 1.00000005, 7.55, 7.6, 989.9, 1e12, 1e300]
+    ranges = B.score_ranges(spark.createDataFrame([(f,) for f in floors], "floor double"))
+    rows = B.placed(spark.createDataFrame([(s,) for s in scores], "score double"), ranges, "score", "i").collect()
+    assert {r.score: r.i for r in rows} == {s: sum(f <= s for f in set(floors)) for s in scores}
+    assert ranges.agg(F.max(F.size("floors"))).first()[0] <= 2
+
+
+def test_many_audiences_cost_rows_plus_requests(spark):
+    """2,000 audiences with 2,000 different floors: rows grow with members and requests, not with their product."""
+    members, n = 3000, 2000
+    aud = spark.range(n).select(F.col("id").alias("request_id"), S.raw_min_score(F.col("id") / (n + 1)).alias("floor"),
+                                (F.col("id") % 40 + 1).cast("int").alias("j"), (F.col("id") % 300 + 1).cast("int").alias("w"))
+    ranges = B.score_ranges(aud)
+    asked = B.placed(aud, ranges, "floor", "i")
+    rows = spark.range(members).select((F.col("id") % 997 / 9).alias("score"), (F.col("id") % 60).cast("int").alias("j"),
+                                       (F.col("id") % 366).cast("int").alias("w"), F.lit("sms").alias("channel"), F.lit(1).cast("long").alias("n"))
+    cells = B.placed(rows, ranges, "score", "i")
+    assert asked.count() == n and cells.count() == members
+    sums, wanted = B.crossings(cells.select("i", "j", "w", "channel", "n"), asked, ("n",))
+    bits = (40).bit_length() * (300).bit_length()
+    assert sums.count() <= members * bits / 2 and wanted.count() <= n * bits / 2
+    got = {r.request_id: r.n for r in B.dominance_counts(cells, asked, ("n",), ("sms",)).collect()}
+    asks, held = asked.select("request_id", "floor", "j", "w").collect(), rows.collect()
+    for r in asks[::97]:
+        assert got.get(r.request_id, 0) == sum(m.score >= r.floor and m.j <= r.j and m.w <= r.w for m in held)
+    assert "sequence(" not in plan(sums)
+
+
+def test_partitioning_does_not_change_the_summary(spark):
     posts = B.posteriors(evidence(spark, {"email": obj(6, 150), "sms": obj(5, 140)}))
     got = {tuple(sorted(tuple(r) for r in B.simulate(posts.repartition(n)).collect())) for n in (1, 3)}
     assert len(got) == 1
@@ -140,7 +222,7 @@ def test_requests_end_to_end(spark, asked):
 
 
 def test_all_customers_equal_single_requests(spark, asked):
-    """The shared draws of the batch form give what one request per customer gives."""
+    """The shared integrals of the batch form give what one request per customer gives."""
     t, _ = asked
     every = {(r.customer, r.objective): r for r in B.predict_all_customers(
         t.customers, t.events, t.daily, t.campaigns, AS_OF).collect()}
