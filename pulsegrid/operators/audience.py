@@ -4,6 +4,11 @@ By default every match is weighted, customers over their cap leave before the cu
 gets its true best. The named option ``exact=False`` re-ranks a bounded pool instead, the best
 10 x size by stored score, of which 2 x size rows are checked for the cap. Requests meet customers
 map-side, and either cut is made inside each task before anything is shuffled.
+
+Many requests share ranked lists: a customer's weight depends on the objective alone, so customers are
+scored once per objective and walked in bands of falling weight. Requests with the same conditions are
+one walk; a walk that has its ``size`` survivors meets no further band, as every weight below is lower.
+How many customers match a walk at all is counted by dominance, without meeting them.
 """
 
 from __future__ import annotations
@@ -16,13 +21,20 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
+from pulsegrid.operators.dominance import dominance_counts, placed, score_range, score_ranges
 from pulsegrid.operators.profiles import reanchor
+from pulsegrid.session import settle
 from pulsegrid.sources.tables import from_day
 
 # Requests of one pass are broadcast; more of them are answered in several passes.
 REQUESTS_PER_PASS = 2000
 # Fan-in of the pool cut: tasks -> buckets -> request.
 POOL_BUCKETS = 64
+# More requests than this share ranked lists; fewer meet all customers of their channels in one pass.
+DIRECT_REQUESTS = 64
+# Customers of an objective in the first band at least; every further one is so many times as large.
+FIRST_BAND = 10_000
+BAND_GROWTH = 8
 
 
 def validate_audience_requests(requests: DataFrame) -> DataFrame:
@@ -184,27 +196,33 @@ def audience_prefilter(customers: DataFrame, profiles: DataFrame, sends: DataFra
     takes, or all of them when it has no such filter. The score floor is inverted on the
     request side so the test on the customer side is a plain comparison.
     """
+    asked = _by_channel(requests, as_of).select(
+        "request_id", "objective", "channel", "size", "respect_cap", "floor", "since", "excluded", "preferred_channel")
+    base = _base(customers, profiles, excluded_senders(sends, campaigns, requests))
+    return _met(base, asked, (shape or RequestShape.of(requests)).count, ["preferred_channel"]).drop("sent_campaigns")
+
+
+def _by_channel(requests: DataFrame, as_of) -> DataFrame:
+    """Requests with their conditions as columns, one row for each preferred channel they take (six at most)."""
     now = S.as_ts(as_of)
     everything = F.array(*[F.lit(c) for c in (*V.CHANNELS, "")])
-    asked = requests.select(
-        "request_id", "objective", "channel", "size", "respect_cap",
-        S.raw_min_score(F.coalesce("min_score", F.lit(0.0))).alias("floor"),
-        F.when(F.col("last_active_days") > 0, now - F.make_dt_interval(days=F.col("last_active_days"))).alias("since"),
-        F.coalesce("exclude_campaign_ids", F.array().cast("array<string>")).alias("excluded"),
-        F.explode(F.when(F.size("channels") > 0, F.array_distinct("channels")).otherwise(everything)).alias(
-            "preferred_channel"
-        ),
-    )
-    base = _base(customers, profiles, excluded_senders(sends, campaigns, requests))
+    return requests.withColumns({
+        "floor": S.raw_min_score(F.coalesce("min_score", F.lit(0.0))),
+        "since": F.when(F.col("last_active_days") > 0, now - F.make_dt_interval(days=F.col("last_active_days"))),
+        "excluded": F.coalesce("exclude_campaign_ids", F.array().cast("array<string>")),
+        "preferred_channel": F.explode(F.when(F.size("channels") > 0, F.array_distinct("channels")).otherwise(everything)),
+    })
+
+
+def _met(base: DataFrame, asked: DataFrame, count: int, on: list[str]) -> DataFrame:
+    """Customers and the requests they pass the conditions of; ``asked`` is of ``count`` requests."""
     keep = (
         (F.col("raw_score") >= F.col("floor"))
         & (F.col("since").isNull() | (F.col("last_event_at") >= F.col("since")))
         & ~F.arrays_overlap("sent_campaigns", "excluded")
     )
-    # A request has at most six rows here.
-    parts = _passes(asked, (shape or RequestShape.of(requests)).count)
-    found = [base.join(F.broadcast(part), "preferred_channel").where(keep) for part in parts]
-    return reduce(DataFrame.unionByName, found).drop("floor", "since", "excluded", "sent_campaigns")
+    found = [base.join(F.broadcast(part), on).where(keep) for part in _passes(asked, count)]
+    return reduce(DataFrame.unionByName, found).drop("floor", "since", "excluded")
 
 
 def _cut(df: DataFrame, score: str, limit: Column, bound: int, rank: str) -> DataFrame:
@@ -297,6 +315,123 @@ def eligible_top(found: DataFrame, contexts: DataFrame, counts: DataFrame, shape
     return _cut(open_, "weighted", F.col("size"), shape.max_size, "rank")
 
 
+def _walks(valid: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Requests with their ``walk``: a text of their conditions, equal for requests that share one."""
+    conditions = valid.join(contexts, "request_id").withColumns({
+        "cap": F.when(F.col("respect_cap"), F.col("cap")), "window_hours": F.when(F.col("respect_cap"), F.col("window_hours")),
+        "min_score": F.coalesce("min_score", F.lit(0.0)), "last_active_days": F.coalesce("last_active_days", F.lit(0)),
+        "channels": F.sort_array(F.array_distinct(F.coalesce("channels", F.array().cast("array<string>")))),
+        "exclude_campaign_ids": F.sort_array(F.array_distinct(F.coalesce("exclude_campaign_ids", F.array().cast("array<string>")))),
+    })
+    same = ("objective", "min_score", "last_active_days", "channels", "exclude_campaign_ids", "respect_cap", "cap", "window_hours")
+    return conditions.withColumn("walk", F.to_json(F.struct(*same)))
+
+
+def considered_counts(base: DataFrame, walks: DataFrame, as_of) -> DataFrame:
+    """(request_id, considered): how many customers pass each walk's conditions, counted without meeting them.
+
+    Customers who were sent an excluded campaign are counted once for each distinct exclusion list and taken off.
+    """
+    now = S.as_ts(as_of)
+    beyond = F.greatest(F.coalesce(walks.agg(F.max("last_active_days") + 1).scalar(), F.lit(1)), F.lit(1))
+    asked = walks.select("request_id", S.raw_min_score(F.col("min_score")).alias("floor"), "last_active_days", "channels",
+                         "exclude_campaign_ids", F.lit(0).alias("w")).withColumn("beyond", beyond)
+    ranges = score_ranges(asked)
+    asked = settle(placed(asked, ranges, "floor", "i").withColumn(
+        "j", F.when(F.col("last_active_days") > 0, F.col("last_active_days")).otherwise(F.col("beyond")).cast("int")), "asked")
+    beyond = F.coalesce(asked.agg(F.max("beyond")).scalar(), F.lit(1))
+    idle = F.ceil(S.seconds_between(now, F.col("last_event_at")) / 86400)
+    members = base.withColumn("j", F.least(F.greatest(F.coalesce(idle, beyond), F.lit(0)), beyond).cast("int"))
+    members = placed(members, ranges, "raw_score", "i").where("i > 0").select(
+        "customer_id", "i", "j", F.lit(0).alias("w"), F.col("preferred_channel").alias("channel"), "sent_campaigns", F.lit(1).cast("long").alias("n"))
+    channels = ("", *V.CHANNELS)
+
+    def counted(rows: DataFrame, of: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        cells = rows.groupBy("i", "j", "w", "channel", *by).agg(F.sum("n").alias("n"))
+        return dominance_counts(cells, of.select("request_id", "i", "j", "w", *by), ("n",), channels, by)
+
+    lists = asked.where(F.size("exclude_campaign_ids") > 0)
+    campaigns = lists.select("exclude_campaign_ids", F.explode("exclude_campaign_ids").alias("campaign")).distinct()
+    senders = members.withColumn("campaign", F.explode("sent_campaigns")).join(campaigns, "campaign").select(
+        "customer_id", "i", "j", "w", "channel", "exclude_campaign_ids", "n").distinct()
+    off = counted(senders, lists, ("exclude_campaign_ids",)).withColumn("n", -F.col("n"))
+    total = counted(members, asked).unionByName(off).join(asked.select("request_id", "channels"), "request_id")
+    return total.where((F.size("channels") == 0) | F.array_contains("channels", F.col("channel"))).groupBy("request_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("considered"))
+
+
+def _bands(scored: DataFrame, first: int) -> list[dict[str, int]]:
+    """For each band the lowest range of weights that it takes, by objective; every band is ``BAND_GROWTH`` times as large.
+
+    What reaches the driver is one number a range and objective, whatever the number of customers.
+    """
+    held: dict[str, list[tuple[int, int]]] = {}
+    for r in scored.groupBy("objective", score_range(F.col("weighted")).alias("range")).count().collect():
+        held.setdefault(r.objective, []).append((r.range, r["count"]))
+    bands: list[dict[str, int]] = [{}]
+    for objective, ranges in held.items():
+        number, limit, seen = 0, first, 0
+        for at, n in sorted(ranges, reverse=True):
+            if seen >= limit:
+                number, limit, seen = number + 1, limit * BAND_GROWTH, 0
+            if number == len(bands):
+                bands.append({})
+            bands[number][objective] = at
+            seen += n
+    return bands
+
+
+def shared_top(base: DataFrame, walks: DataFrame, counts: DataFrame, shape: RequestShape, as_of,
+               counted: list[int] | None = None) -> DataFrame:
+    """The best ``size`` survivors of each walk by weight, with their rank, from lists ranked once per objective.
+
+    Each round takes the next band of every objective to the walks that still lack survivors. ``counted`` collects
+    the rows that customers and walks made in each round.
+    """
+    objectives = [r.objective for r in walks.select("objective").distinct().collect()]
+    scored = base.withColumn("objective", F.explode(F.array(*[F.lit(o) for o in objectives]).cast("array<string>")))
+    scored = settle(_weighted(scored, as_of).withColumn("range", score_range(F.col("weighted"))), "ranked-lists")
+    bands, still, found, above = _bands(scored, max(FIRST_BAND, 2 * shape.max_size)), walks, [], {}
+    for number, low in enumerate(bands):
+        inside = reduce(lambda a, b: a | b, [
+            (F.col("objective") == o) & (F.col("range") >= at) & (F.col("range") < above.get(o, 1 << 30)) for o, at in low.items()], F.lit(False))
+        above.update(low)
+        asked = _by_channel(still, as_of).select("request_id", "objective", "size", "respect_cap", "cap", "window_hours", "floor",
+                                                 "since", "excluded", "preferred_channel")
+        met = _met(scored.where(inside), asked, shape.count, ["objective", "preferred_channel"])
+        if counted is not None:
+            counted.append(met.count())
+        open_ = met.join(counts, ["customer_id", "window_hours"], "left").where(
+            ~F.col("respect_cap") | (F.coalesce("sends", F.lit(0).cast("long")) < F.col("cap"))).drop("sends", "sent_campaigns")
+        found.append(settle(_cut(open_, "weighted", F.col("size"), shape.max_size, "rank").drop("rank"), "band"))
+        if number + 1 == len(bands):
+            break
+        got = reduce(DataFrame.unionByName, found).groupBy("request_id").agg(F.count("*").alias("got"))
+        still = settle(still.join(got, "request_id", "left").where(
+            F.coalesce("got", F.lit(0).cast("long")) < F.col("size")).drop("got"), "open-walks")
+        if still.isEmpty():
+            break
+    return _cut(reduce(DataFrame.unionByName, found), "weighted", F.col("size"), shape.max_size, "rank")
+
+
+def shared_audience(valid: DataFrame, customers: DataFrame, profiles: DataFrame, sends: DataFrame, campaigns: DataFrame,
+                    contexts: DataFrame, counts: DataFrame, shape: RequestShape, as_of,
+                    counted: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chosen, pool) of all requests by way of their walks."""
+    asked = settle(_walks(valid, contexts), "walks")
+    walks = asked.groupBy(F.col("walk").alias("request_id")).agg(F.max("size").alias("size"), *[
+        F.first(c).alias(c) for c in ("objective", "min_score", "last_active_days", "channels", "exclude_campaign_ids", "respect_cap",
+                                      "cap", "window_hours")])
+    walks = settle(walks, "distinct-walks")
+    base = settle(_base(customers, profiles, excluded_senders(sends, campaigns, walks)), "audience-base")
+    matches = considered_counts(base, walks, as_of).where("considered > 0").withColumnRenamed("request_id", "walk")
+    pool = asked.select("request_id", "walk").join(matches, "walk").select("request_id", "considered", F.lit(False).alias("truncated"))
+    best = shared_top(base, walks, counts, shape, as_of, counted).withColumnRenamed("request_id", "walk")
+    best = best.drop("objective", "size", "respect_cap", "cap", "window_hours")
+    chosen = asked.select("request_id", "walk", "objective", "channel", "size").join(best, "walk").where("rank <= size").drop("walk")
+    return chosen.join(pool, "request_id"), pool
+
+
 def ranked_pool(found: DataFrame, shape: RequestShape, as_of) -> DataFrame:
     """The bounded pool ranked by the objective weight."""
     order = Window.partitionBy("request_id").orderBy(F.col("weighted").desc(), F.col("customer_id").asc())
@@ -305,10 +440,12 @@ def ranked_pool(found: DataFrame, shape: RequestShape, as_of) -> DataFrame:
 
 
 def recommend_audience(requests: DataFrame, customers: DataFrame, profiles: DataFrame, sends: DataFrame,
-                       campaigns: DataFrame, as_of, exact: bool = True,
-                       decayed: bool = False) -> tuple[DataFrame, DataFrame]:
+                       campaigns: DataFrame, as_of, exact: bool = True, decayed: bool = False,
+                       shared: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, meta) for all valid requests; invalid requests have no rows.
 
+    ``shared`` says whether exact answers come from shared ranked lists; by default the number of requests does.
+
     Scores are compared as stored, each at its own anchor, unless ``decayed`` brings them to
     ``as_of`` first. ``exact=False`` is the bounded pool.
     """
@@ -316,16 +453,18 @@ def recommend_audience(requests: DataFrame, customers: DataFrame, profiles: Data
         profiles = reanchor(profiles, as_of)
     valid = validate_audience_requests(requests).where(F.col("error").isNull())
     shape = RequestShape.of(valid)
-    found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape)
     contexts = cap_context(requests.select("request_id", "channel", "objective"), campaigns).select(
         "request_id", "cap", "window_hours"
     )
     counts = send_counts(sends, contexts, as_of)
-    if exact:
+    if exact and (shape.count > DIRECT_REQUESTS if shared is None else shared):
+        chosen, pool = shared_audience(valid, customers, profiles, sends, campaigns, contexts, counts, shape, as_of)
+    elif exact:
+        found = audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape)
         pool = found.groupBy("request_id").agg(F.count("*").alias("considered")).withColumn("truncated", F.lit(False))
         chosen = eligible_top(found, contexts, counts, shape, as_of).join(pool, "request_id")
     else:
-        pool = ranked_pool(found, shape, as_of)
+        pool = ranked_pool(audience_prefilter(customers, profiles, sends, campaigns, valid, as_of, shape), shape, as_of)
         chosen = apply_frequency_cap(pool.join(contexts, "request_id"), counts)
     candidates = audience_reasons(chosen, as_of).select(
         "request_id", "customer_id", "customer", S.display_score(F.col("weighted")).alias("score"), "rank", "reasons",

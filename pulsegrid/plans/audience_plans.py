@@ -104,6 +104,13 @@ def a12_recommend_audience_exact(spark, sf):
     return flat(out, "request_id", "customer", "score", "rank", "reasons", "considered")
 
 
+def a12_recommend_audience_shared(spark, sf):
+    """The same answers from ranked lists that all requests share."""
+    t = Tables(spark, sf)
+    out = A.recommend_audience(_requests(spark, sf), t.customers, t.profiles, t.sends, t.campaigns, AS_OF, shared=True)[0]
+    return flat(out, "request_id", "customer", "score", "rank", "reasons", "considered")
+
+
 def a13_over_cap_customers(spark, sf):
     t = Tables(spark, sf)
     return flat(A.over_cap_customers(t.customers, t.profiles, t.sends, t.campaigns, AS_OF))
@@ -114,7 +121,8 @@ QUERIES = {
     for f in (
         a1_validate_audience_requests, a2_audience_prefilter, a3_candidate_pool, a4_objective_score, a5_top_k,
         a5_top_k_per_customer, a6_dedup_candidates, a7_cap_context, a8_send_counts, a9_apply_frequency_cap,
-        a10_audience_reasons, a11_audience_meta, a12_recommend_audience, a12_recommend_audience_exact, a13_over_cap_customers,
+        a10_audience_reasons, a11_audience_meta, a12_recommend_audience, a12_recommend_audience_exact, a12_recommend_audience_shared,
+        a13_over_cap_customers,
     )
 }
 
@@ -249,3 +257,4 @@ ORACLES = {
         WHERE cu.is_active AND s.sent_at > TIMESTAMP '2024-01-31' - to_hours(hours)
         GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) >= cap""", *_R),
 }
+ORACLES["a12_recommend_audience_shared"] = ORACLES["a12_recommend_audience_exact"]

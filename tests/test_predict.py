@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
 from pulsegrid.functions.beta import best_probabilities, beta_table
+from pulsegrid.operators import dominance as N
 from pulsegrid.operators import predict as B
 from pulsegrid.plans.base import AS_OF, Tables
 from pulsegrid.sources import fixture as X
@@ -158,7 +159,7 @@ def test_dominance_counts_match_all_pairs(spark):
     for reach in (1, 2, 13, 400):
         cells = [(rng.randrange(0, 30), rng.randrange(0, reach + 3), rng.randrange(0, 366), rng.choice(["", "sms"]), rng.randrange(1, 9)) for _ in range(300)]
         asked = [(q, rng.randrange(1, 31), rng.randrange(0, reach + 1), rng.choice([1, 90, 365])) for q in range(40)]
-        got = B.dominance_counts(spark.createDataFrame(cells, "i int, j int, w int, channel string, n long"),
+        got = N.dominance_counts(spark.createDataFrame(cells, "i int, j int, w int, channel string, n long"),
                                  spark.createDataFrame(asked, "request_id long, i int, j int, w int"), ("n",), ("", "sms")).collect()
         assert {(r.request_id, r.channel): r.n for r in got if r.n} == dominated(cells, asked)
 
@@ -166,8 +167,8 @@ def test_dominance_counts_match_all_pairs(spark):
 def test_places_match_plain_counts(spark):
     floors = [-S.MAX_DOUBLE, 0.0, 0.5, 0.5, 1.0, 1.0000001, 7.5, 7.6, 990.0, 1e12]
     scores = [-5.0, 0.0, 0.4999, 0.5, 0.75, 1.0, 1.00000005, 7.55, 7.6, 989.9, 1e12, 1e300]
-    ranges = B.score_ranges(spark.createDataFrame([(f,) for f in floors], "floor double"))
-    rows = B.placed(spark.createDataFrame([(s,) for s in scores], "score double"), ranges, "score", "i").collect()
+    ranges = N.score_ranges(spark.createDataFrame([(f,) for f in floors], "floor double"))
+    rows = N.placed(spark.createDataFrame([(s,) for s in scores], "score double"), ranges, "score", "i").collect()
     assert {r.score: r.i for r in rows} == {s: sum(f <= s for f in set(floors)) for s in scores}
     assert ranges.agg(F.max(F.size("floors"))).first()[0] <= 2
 
@@ -177,16 +178,16 @@ def test_many_audiences_cost_rows_plus_requests(spark):
     members, n = 3000, 2000
     aud = spark.range(n).select(F.col("id").alias("request_id"), S.raw_min_score(F.col("id") / (n + 1)).alias("floor"),
                                 (F.col("id") % 40 + 1).cast("int").alias("j"), (F.col("id") % 300 + 1).cast("int").alias("w"))
-    ranges = B.score_ranges(aud)
-    asked = B.placed(aud, ranges, "floor", "i")
+    ranges = N.score_ranges(aud)
+    asked = N.placed(aud, ranges, "floor", "i")
     rows = spark.range(members).select((F.col("id") % 997 / 9).alias("score"), (F.col("id") % 60).cast("int").alias("j"),
                                        (F.col("id") % 366).cast("int").alias("w"), F.lit("sms").alias("channel"), F.lit(1).cast("long").alias("n"))
-    cells = B.placed(rows, ranges, "score", "i")
+    cells = N.placed(rows, ranges, "score", "i")
     assert asked.count() == n and cells.count() == members
-    sums, wanted = B.crossings(cells.select("i", "j", "w", "channel", "n"), asked, ("n",))
+    sums, wanted = N.crossings(cells.select("i", "j", "w", "channel", "n"), asked, ("n",))
     bits = (40).bit_length() * (300).bit_length()
     assert sums.count() <= members * bits / 2 and wanted.count() <= n * bits / 2
-    got = {r.request_id: r.n for r in B.dominance_counts(cells, asked, ("n",), ("sms",)).collect()}
+    got = {r.request_id: r.n for r in N.dominance_counts(cells, asked, ("n",), ("sms",)).collect()}
     asks, held = asked.select("request_id", "floor", "j", "w").collect(), rows.collect()
     for r in asks[::97]:
         assert got.get(r.request_id, 0) == sum(m.score >= r.floor and m.j <= r.j and m.w <= r.w for m in held)
