@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-Rules are regular expressions over the lower-cased text with runs of white space as one space. Their
-families, ways of naming and versions are listed below; their products are the several hundred
-rules. A text without any family's keyword is passed over; otherwise only the rules are tried of which it
+Rules are regular expressions over the lower-cased text with runs of white space as one space: for each family
+of licences the ways of naming it, its identifier beside others, its short name with a version, the
+addresses of its text, and sentences of the texts and of file headers. A text without any family's keyword is passed over; otherwise only the rules are tried of which it
 has a keyword (each way of writing the name or identifier has one), in order of priority. A detection inside the interval of one with
 higher priority, or inside a longer one of the same priority, is dropped, so that "GNU Lesser General
 Public License" is not a GPL notice as well. Base phrases are found apart, as word runs, and their
@@ -41,7 +41,7 @@ FAMILIES = {
     "gfdl": ("documentation licen", r"(?:gnu )?free documentation licen[cs]e", r"gfdl-[\d.]+(?:-only|-or-later)?"),
     "apache": ("apache", r"apache(?: software)? licen[cs]e", r"apache-[\d.]+"),
     "mit": ("mit|expat|x11", r"(?:mit|expat|x11) licen[cs]e", r"mit(?:-0)?"),
-    "bsd": ("bsd", r"(?:new |modified |simplified |revised )?bsd(?:[ -][0-4][ -]clause)?(?: licen[cs]e)?", r"(?:0bsd|bsd-[0-4]-clause(?:-[a-z]+)?)"),
+    "bsd": ("bsd", r"(?:(?:new|modified|simplified|revised|original) bsd(?: licen[cs]e)?|bsd[ -][0-4][ -]clause(?: licen[cs]e)?|[0-4][ -]clause bsd(?: licen[cs]e)?|bsd licen[cs]e)", r"(?:0bsd|bsd(?:-[0-4]-clause(?:-[a-z]+)?)?)"),
     "mpl": ("mozilla", r"mozilla public licen[cs]e", r"mpl-[\d.]+"),
     "epl": ("eclipse", r"eclipse public licen[cs]e", r"epl-[\d.]+"),
     "edl": ("eclipse", r"eclipse distribution licen[cs]e", r"edl-[\d.]+"),
@@ -61,11 +61,11 @@ FAMILIES = {
     "wtfpl": ("want to public", r"do what the fuck you want to public licen[cs]e", r"wtfpl"),
     "unlicense": ("unlicen", r"(?:the )?unlicen[cs]e", r"unlicense"),
     "cc0": ("cc0|creative commons zero", r"(?:creative commons zero|cc0)(?: universal)?", r"cc0-[\d.]+"),
-    "cc-by-nc-nd": ("cc", r"cc[ -]by[ -]nc[ -]nd", r"cc-by-nc-nd-[\d.]+"),
-    "cc-by-nc-sa": ("cc", r"cc[ -]by[ -]nc[ -]sa", r"cc-by-nc-sa-[\d.]+"),
-    "cc-by-nc": ("cc", r"cc[ -]by[ -]nc", r"cc-by-nc-[\d.]+"),
-    "cc-by-nd": ("cc", r"cc[ -]by[ -]nd", r"cc-by-nd-[\d.]+"),
-    "cc-by-sa": ("cc", r"cc[ -]by[ -]sa", r"cc-by-sa-[\d.]+"),
+    "cc-by-nc-nd": ("cc|attribution", r"(?:cc[ -]by[ -]nc[ -]nd|(?:creative commons )?attribution[ -]non-?commercial[ -]no-?deriv(?:ative)?s?)", r"cc-by-nc-nd-[\d.]+"),
+    "cc-by-nc-sa": ("cc|attribution", r"(?:cc[ -]by[ -]nc[ -]sa|(?:creative commons )?attribution[ -]non-?commercial[ -]share-?alike)", r"cc-by-nc-sa-[\d.]+"),
+    "cc-by-nc": ("cc|attribution", r"(?:cc[ -]by[ -]nc|(?:creative commons )?attribution[ -]non-?commercial)", r"cc-by-nc-[\d.]+"),
+    "cc-by-nd": ("cc|attribution", r"(?:cc[ -]by[ -]nd|(?:creative commons )?attribution[ -]no-?deriv(?:ative)?s?)", r"cc-by-nd-[\d.]+"),
+    "cc-by-sa": ("cc|attribution", r"(?:cc[ -]by[ -]sa|(?:creative commons )?attribution[ -]share-?alike)", r"cc-by-sa-[\d.]+"),
     "cc-by": ("cc|creative commons attribution", r"(?:cc[ -]by|creative commons attribution(?: licen[cs]e)?)", r"cc-by-[\d.]+"),
     "odbl": ("open d", r"open (?:data commons )?(?:open )?database licen[cs]e", r"odbl-[\d.]+"),
     "odc-by": ("open data commons", r"open data commons attribution licen[cs]e", r"odc-by-[\d.]+"),
@@ -84,15 +84,69 @@ FAMILIES = {
 VERSION = r",?(?: v(?:ersion)?\.? ?)?(?: ?\d+(?:\.\d+)*)"
 # name: (priority, weight in the score, pattern with the family's name or SPDX identifier)
 WAYS = {
-    "spdx": (6, 1.0, r"spdx-license-identifier:? ?\(?{spdx}\b"),
-    "grant-version": (5, 0.95, r"(?:licen[cs]ed|released|distributed|available|published|redistribute it(?: and/or modify it)?|covered)"
+    "spdx": (6, 1.0, r"(?<![a-z0-9-])spdx-license-identifier:? ?\(?(?:[a-z0-9.+-]+ (?:or|and|with) \(?){{0,8}}\K{spdx}(?![a-z0-9])"),
+    "grant-version": (5, 0.95, r"(?<![a-z0-9-])(?:licen[cs]ed|released|distributed|available|published|redistribute it(?: and/or modify it)?|covered)"
                                r" (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}{version}"),
-    "grant": (4, 0.9, r"(?:licen[cs]ed|released|distributed|available|published|redistribute it(?: and/or modify it)?|covered)"
+    "grant": (4, 0.9, r"(?<![a-z0-9-])(?:licen[cs]ed|released|distributed|available|published|redistribute it(?: and/or modify it)?|covered)"
                       r" (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}\b"),
-    "field": (3, 0.85, r"\"?licen[cs]e\"?\s?[:=] ?\"?(?:{name}|{spdx})\b"),
+    "field": (3, 0.85, r"(?<![a-z0-9-])\"?licen[cs]es?\"? ?[:=] ?[\"(]*(?:[a-z0-9.+-]+ (?:or|and) \(?){{0,8}}\K(?:{name}|{spdx})(?![a-z0-9])"),
     "title": (2, 0.7, r"\b{name}{version}"),
     "mention": (1, 0.5, r"\b{name}\b"),
 }
+# Two identifiers joined, of which one has a version: either may be the family's.
+VERSIONED = r"[a-z]+(?:-[a-z]+)*-[0-9](?:\.[0-9])*(?:-[a-z]+)*"
+EXPRESSION = (3, 0.85, r"(?<![a-z0-9.-]){spdx}(?= (?:or|and) \(?{versioned}(?![a-z0-9]))",
+              r"(?<![a-z0-9.-]){left}\+? (?:or|and) \(?\K{spdx}(?![a-z0-9])")
+# label: (short name, its keyword, versions): written with a version and no word "license".
+SHORT_NAMES = {
+    "agpl": ("agpl", "agpl", "[13]"), "lgpl": ("lgpl", "lgpl", "[23]"), "gpl": ("gpl", "gpl", "[123]"), "gfdl": ("gfdl", "gfdl", "1"),
+    "mpl": ("mpl", "mpl", "[12]"), "epl": ("epl", "epl", "[12]"), "cddl": ("cddl", "cddl", "1"), "eupl": ("eupl", "eupl", "1"),
+    "apache": ("apache", "apache", "[12]"), "ofl": ("ofl", "ofl", "1"), "osl": ("osl", "osl", "[123]"), "zope": ("zpl", "zpl", "[12]"),
+}
+# Priority, weight and pattern of a short name.
+SHORT = (2, 0.7, r"(?<![a-z0-9/.-])(?:gnu )?{short},?(?:[ -]?v(?:ersion|er)?\.?)?[ -]?{versions}(?:\.[0-9])*(?: or later|-or-later|-only|\+)?(?![a-z0-9]|\.[a-z])")
+# label: [(keyword, pattern)]: addresses of licence texts.
+ADDRESSES = {
+    "cc-by": [("creativecommons.org", r"creativecommons\.org/licenses/by/")], "cc-by-sa": [("creativecommons.org", r"creativecommons\.org/licenses/by-sa\b")],
+    "cc-by-nd": [("creativecommons.org", r"creativecommons\.org/licenses/by-nd\b")],
+    "cc-by-nc": [("creativecommons.org", r"creativecommons\.org/licenses/by-nc/")],
+    "cc-by-nc-sa": [("creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa\b")],
+    "cc-by-nc-nd": [("creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd\b")],
+    "cc0": [("creativecommons.org", r"creativecommons\.org/publicdomain/zero\b")],
+    "public-domain": [("creativecommons.org", r"creativecommons\.org/publicdomain/mark\b")],
+    "apache": [("apache.org", r"apache\.org/licenses/license-[12]"), ("opensource.org", r"opensource\.org/licenses?/apache")],
+    "mit": [("opensource.org", r"opensource\.org/licenses?/mit\b"), ("choosealicense.com", r"choosealicense\.com/licenses/mit\b")],
+    "bsd": [("opensource.org", r"opensource\.org/licenses?/(?:[a-z]+-)?(?:[0-9]-clause-)?bsd"), ("opensource.org", r"opensource\.org/licenses?/bsd")],
+    "gpl": [("gnu.org", r"gnu\.org/(?:copyleft|licenses(?:/old-licenses)?)/gpl\b"), ("opensource.org", r"opensource\.org/licenses?/gpl")],
+    "lgpl": [("gnu.org", r"gnu\.org/(?:copyleft/lesser|licenses(?:/old-licenses)?/lgpl\b)"), ("opensource.org", r"opensource\.org/licenses?/lgpl")],
+    "agpl": [("gnu.org", r"gnu\.org/licenses/agpl\b"), ("opensource.org", r"opensource\.org/licenses?/agpl")],
+    "gfdl": [("gnu.org", r"gnu\.org/(?:copyleft|licenses(?:/old-licenses)?)/fdl\b")],
+    "mpl": [("mozilla.org", r"mozilla\.org/mpl\b"), ("opensource.org", r"opensource\.org/licenses?/mpl")],
+    "epl": [("eclipse.org", r"eclipse\.org/legal/epl\b")], "edl": [("eclipse.org", r"eclipse\.org/(?:org/documents|legal)/edl\b")],
+    "boost": [("boost.org", r"boost\.org/license_1_0")], "unlicense": [("unlicense.org", r"(?<![a-z0-9-])unlicense\.org")],
+    "wtfpl": [("wtfpl.net", r"wtfpl\.net")], "ofl": [("sil.org/ofl", r"scripts\.sil\.org/ofl")], "isc": [("opensource.org", r"opensource\.org/licenses?/isc\b")],
+    "odbl": [("opendatacommons.org", r"opendatacommons\.org/licenses/odbl")], "odc-by": [("opendatacommons.org", r"opendatacommons\.org/licenses/by\b")],
+    "pddl": [("opendatacommons.org", r"opendatacommons\.org/licenses/pddl")], "zlib": [("opensource.org", r"opensource\.org/licenses?/zlib")],
+}
+ADDRESS = (5, 0.95)
+# (label, keyword, priority, weight, pattern): sentences of licence texts and file headers.
+SENTENCES = (
+    ("mpl", "mpl", 5, 0.95, r"subject to the terms of the mpl,? v(?:ersion|\.)? ?[12]"),
+    ("mpl", "mozilla", 5, 0.95, r"subject to the (?:terms of the )?mozilla public licen[cs]e"),
+    ("gpl", "free software", 5, 0.95, r"is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", "free software", 5, 0.95, r"is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "free software", 5, 0.95, r"is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl", "gnu general public", 4, 0.9, r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "general public", 4, 0.9, r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("bsd", "endorse or promote", 5, 0.95, r"may be used to endorse or promote products derived from this software"),
+    ("zlib", "be held liable", 5, 0.95, r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", 6, 1.0, r"this is free and unencumbered software released into the public domain"),
+    ("boost", "person or organization", 6, 1.0, r"permission is hereby granted, free of charge, to any person or organi[sz]ation obtaining a copy"),
+    ("wtfpl", "what the fuck", 5, 0.95, r"you just do what the fuck you want to"),
+    ("cc0", "related rights", 5, 0.95, r"waived all copyright and related (?:or|and) neighboring rights"),
+    ("proprietary", "confidential", 3, 0.7, r"confidential and proprietary|unauthori[sz]ed copying of this (?:file|software)"),
+    ("as-is", "provided", 2, 0.4, r"(?:software|program|work|material) is provided (?:on an )?[\"'(]*as[ -]is"),
+)
 # label: (keyword, priority, weight, pattern): notices that name no family.
 PLAIN_RULES = {
     "public-domain": ("public domain", 4, 0.8, r"(?:(?:is|are|placed|dedicated|released) (?:in|to|into) the public domain|public domain dedication)"),
@@ -105,7 +159,9 @@ PLAIN_RULES = {
 }
 LABEL_OF = {"mit-text": "mit", "isc-text": "isc", "bsd-text": "bsd"}
 # Without one of these a text has no notice of any rule.
-ANCHORS = (b"licen", b"copyright", b"spdx", b"public domain", b"rights reserved", b"cc by", b"cc-by", b"cc0", b"creative commons",
+ANCHORS = (b"gpl", b"mpl", b"epl", b"eupl", b"gfdl", b"cddl", b"osl", b"zpl", b"apache", b"mozilla.org", b"attribution", b"creativecommons", b"free software",
+           b"unencumbered", b"held liable", b"endorse or promote", b"what the fuck", b"related rights", b"opendatacommons", b"confidential", b"is provided",
+           b"wtfpl", b"boost.org", b"eclipse.org", b"sil.org", b"licen", b"copyright", b"spdx", b"public domain", b"rights reserved", b"cc by", b"cc-by", b"cc0", b"creative commons",
            b"proprietary", b"permission", b"redistribution", b"bsd", b"rail")
 
 
@@ -118,15 +174,26 @@ class Signature:
     pattern: regex.Pattern
 
 
+def _expressions() -> Iterator[tuple[str, str, str]]:
+    """(label, SPDX pattern, pattern) of identifiers that stand beside another one."""
+    priority, weight, first, second = EXPRESSION
+    for label, (_, _, spdx) in FAMILIES.items():
+        yield label, spdx, first.format(spdx=spdx, versioned=VERSIONED)
+        # What has a version of its own may stand beside any identifier.
+        left = r"[a-z][a-z0-9.]*(?:-[a-z0-9.]+)*" if r"[\d.]" in spdx else VERSIONED
+        yield label, spdx, second.format(spdx=spdx, left=left)
+
+
 def _keywords(way: str, keyword: str, spdx: str) -> tuple[bytes, ...]:
     """What a text must have one of: the name's keywords, in a field also the identifier's first letters."""
     if way == "spdx":
         return (b"spdx",)
     stems = []
-    if way == "field":
+    if way in ("field", "expression"):
         forms = regex.match(r"\(\?:([^)]*)", spdx)
         stems = [regex.match(r"[a-z0-9-]+", f)[0] for f in (forms[1].split("|") if forms else [spdx])]
-    return tuple(k.encode() for k in dict.fromkeys([*keyword.split("|"), *stems]))
+    names = [] if way == "expression" else keyword.split("|")
+    return tuple(k.encode() for k in dict.fromkeys([*names, *stems]))
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,6 +206,16 @@ def signatures() -> tuple[Signature, ...]:
     ]
     out += [Signature(LABEL_OF.get(label, label), (keyword.encode(),), priority, weight, regex.compile(text.encode()))
             for label, (keyword, priority, weight, text) in PLAIN_RULES.items()]
+    priority, weight, *_ = EXPRESSION
+    out += [Signature(label, _keywords("expression", "", spdx), priority, weight, regex.compile(text.encode()))
+            for label, spdx, text in _expressions()]
+    priority, weight, text = SHORT
+    out += [Signature(label, (keyword.encode(),), priority, weight, regex.compile(text.format(short=short, versions=versions).encode()))
+            for label, (short, keyword, versions) in SHORT_NAMES.items()]
+    out += [Signature(label, (keyword.encode(),), *ADDRESS, regex.compile(text.encode()))
+            for label, places in ADDRESSES.items() for keyword, text in places]
+    out += [Signature(label, (keyword.encode(),), priority, weight, regex.compile(text.encode()))
+            for label, keyword, priority, weight, text in SENTENCES]
     return tuple(sorted(out, key=lambda s: (-s.priority, s.label, s.pattern.pattern)))
 
 

@@ -282,6 +282,18 @@ def test_placement(spark):
     ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
     ("Released under the MIT License.", ["mit"]),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of it", ["mit"]),
+    ("see https://creativecommons.org/licenses/by-sa/4.0/", ["cc-by-sa"]), ("http://www.apache.org/licenses/LICENSE-2.0", ["apache"]),
+    ("https://opensource.org/licenses/MIT", ["mit"]), ("GPLv3", ["gpl"]), ("License: GPLv2+", ["gpl"]), ("under LGPL 2.1 or later", ["lgpl"]),
+    ("This Source Code Form is subject to the terms of the MPL, v. 2.0.", ["mpl"]), ("The software is provided as is.", ["as-is"]),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY', ["as-is"]), ("Creative Commons Attribution-ShareAlike 4.0", ["cc-by-sa"]),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 License", ["cc-by-nc"]), ("Attribution-NonCommercial-NoDerivatives", ["cc-by-nc-nd"]),
+    ("MIT OR Apache-2.0", ["apache", "mit"]), ("license = MIT or Apache-2.0", ["apache", "mit"]), ("SPDX-License-Identifier: (MIT OR GPL-2.0-only)", ["gpl", "mit"]),
+    ("BSD 3-Clause", ["bsd"]), ("the new BSD license", ["bsd"]), ("released under the MIT licence", ["mit"]),
+    ("neither the name may be used to endorse or promote products derived from this software", ["bsd"]),
+    ("This is free and unencumbered software released into the public domain.", ["unlicense"]),
+    # No licence, or not the one that a part of the words names.
+    ("BSD 4.3 manual", []), ("bsd sockets", []), ("sublicense: mit", []), ("mit and without", []), ("ruby and rails", []), ("an example-2 file", []),
+    ("the mit-2 bus", []), ("it is provided as known", []), ("http://example.org/gpl-3.html", []), ("attribution of sales", []),
     ("a licence to kill", []), ("", []), ("this work is in the public domain", ["public-domain"]),
 ])
 def test_detections(text, labels):
@@ -374,5 +386,5 @@ def test_license_rows(spark):
     assert (got[2, 0].n_base, got[2, 0].first_word, got[2, 0].labels, got[2, 0].score) == (0, None, "", 0.0)
     assert got[4, 40000].n_base == 20000 and got[4, 40000].last_word == 39998
     assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 < r.score <= 1
-    assert len(licenses.signatures()) > 200
+    assert len(licenses.signatures()) > 300
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
