@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import deadletter as D
 from pulsegrid.operators import ingest as I
+from pulsegrid.operators.rollups import derive_sends
 from pulsegrid.plans.base import AS_OF, EV, Tables, flat, sql
 from pulsegrid.session import checkpoint_dir
 from pulsegrid.sources import batches as J
 from pulsegrid.sources import fixture as X
+from pulsegrid.sources import store
 from pulsegrid.sources import tables as W
 
 
@@ -97,6 +99,19 @@ def i7_write_and_load_tables(spark, sf):
     return flat(e.join(s, "day", "left"))
 
 
+def i7_atomic_load(spark, sf):
+    """Two loads published as versions: the newest holds both halves of the events, the first one only its own."""
+    t, base = Tables(spark, sf), _scratch(spark)
+    first, second = t.events.where("id % 2 = 0"), t.events.where("id % 2 = 1")
+    store.publish(spark, {"events": first, "sends": derive_sends(first, AS_OF), "customers": t.customers}, base)
+    store.publish(spark, {"events": second, "sends": derive_sends(second, AS_OF)}, base, append=("events", "sends"))
+    parts = []
+    for version in store.versions(spark, base):
+        back = store.tables(spark, base, version=version)
+        parts.append(W.table_counts({n: back[n] for n in ("customers", "events", "sends")}).withColumn("version", F.lit(version)))
+    return flat(parts[0].unionByName(parts[1]))
+
+
 def i8_read_replay_file(spark, sf):
     """Batch files written, then posted again with every id stored: nothing but duplicates."""
     t, base = Tables(spark, sf), _scratch(spark)
@@ -176,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_read_event_batches, i2_parse_items, i3_validate_events, i4_resolve_dimensions, i5_dedup_events,
-        i6_ingest_summary, i6_rejected_items, i7_write_and_load_tables, i8_read_replay_file, i9_table_counts, p6_classify_failures,
+        i6_ingest_summary, i6_rejected_items, i7_write_and_load_tables, i7_atomic_load, i8_read_replay_file, i9_table_counts, p6_classify_failures,
         p6_dead_letters, p7_replay_dlq, p7_replay_events, p8_stuck_pending, p9_select_unprocessed,
     )
 }
@@ -255,6 +270,11 @@ ORACLES = {
           CASE WHEN count(*) FILTER (status = 'processed' AND type = 'sent' AND campaign_id IS NOT NULL) = 0 THEN -1
             ELSE count(*) FILTER (status = 'processed' AND type = 'sent' AND campaign_id IS NOT NULL) END AS sends
         FROM ev GROUP BY 1""", *EV),
+    "i7_atomic_load": sql(
+        """SELECT v AS version, 'customers' AS "table", (SELECT count(*) FROM cu) AS rows FROM range(1, 3) t(v)
+        UNION ALL SELECT v, 'events', (SELECT count(*) FROM ev WHERE id % 2 = 0 OR v = 2) FROM range(1, 3) t(v)
+        UNION ALL SELECT v, 'sends', (SELECT count(*) FROM pe WHERE type = 'sent' AND campaign_id IS NOT NULL
+          AND (id % 2 = 0 OR v = 2)) FROM range(1, 3) t(v)""", *EV),
     "i8_read_replay_file": sql(
         "SELECT 'duplicate' AS outcome, count(*) AS items FROM ev", *EV),
     "i9_table_counts": sql(

@@ -8,7 +8,9 @@ from pulsegrid.operators import health as H
 from pulsegrid.operators import logs as L
 from pulsegrid.plans.base import AS_OF, EV, Tables, flat, sql
 from pulsegrid.plans.ingest_plans import DLQ, FAILS, INBOUND, dlq, failures, outcomes, replayed
+from pulsegrid.session import shared_path
 from pulsegrid.sources import fixture as X
+from pulsegrid.sources import store
 
 
 def _logs(spark, sf):
@@ -63,6 +65,14 @@ def l5_prune(spark, sf):
     return flat(L.prune(_logs(spark, sf), 14, AS_OF), "id", "created_at")
 
 
+def l5_prune_stored(spark, sf):
+    """The same retention on stored logs: a version without the older day folders."""
+    base = shared_path(spark, "logs")
+    store.publish(spark, {"event_logs": _logs(spark, sf)}, base)
+    store.prune(spark, base, "event_logs", 14, AS_OF)
+    return flat(store.tables(spark, base)["event_logs"], "id", "created_at")
+
+
 def _activity(spark, sf):
     return L.activity_records(X.access_log(spark, sf))
 
@@ -86,6 +96,15 @@ def l10_health_report(spark, sf):
     return flat(H.health_report(events, letters, outcomes(spark, sf), AS_OF))
 
 
+def l11_trace_event_stored(spark, sf):
+    """The same lookup on stored logs, whose Bloom filters and order spare most row groups."""
+    t, base = Tables(spark, sf), shared_path(spark, "logs")
+    store.publish(spark, {"event_logs": _logs(spark, sf)}, base)
+    logs = store.tables(spark, base)["event_logs"].drop("event_day")
+    out = L.trace_event(logs, t.customers, t.campaigns, request_id="req-3")
+    return flat(out, "id", "created_at", "event_id", "stage", "attempt", "customer", "campaign")
+
+
 def l11_trace_event(spark, sf):
     """All log rows of the events of one request."""
     t = Tables(spark, sf)
@@ -97,6 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l1_lifecycle_entries, l2_apply_log_mode, l3_query_event_logs, l3_query_newest_logs, l3_query_unknown_customer, l4_min_level, l5_prune,
+        l5_prune_stored, l11_trace_event_stored,
         l6_activity_records, l7_query_activity, l9_list_dlq, l10_health_report, l11_trace_event,
     )
 }
@@ -208,3 +228,5 @@ ORACLES = {
         FROM lg LEFT JOIN cu ON cu.id = customer_id LEFT JOIN ca ON ca.id = campaign_id
         WHERE request_id = 'req-3'""", *_L),
 }
+ORACLES["l5_prune_stored"] = ORACLES["l5_prune"]
+ORACLES["l11_trace_event_stored"] = ORACLES["l11_trace_event"]
