@@ -120,17 +120,20 @@ def delivered_recent(campaigns: DataFrame, daily: DataFrame, as_of) -> DataFrame
 
 def anomaly_open_rate(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
     """Campaigns opening at less than half of the platform rate; text or NULL."""
-    base = F.col("_base")
+    return (
+        metrics.withColumn("_base", baseline.select("open_rate").scalar())
+        .select("campaign_id", _low_opens(F.col("_base")).alias("anomaly"))
+    )
+
+
+def _low_opens(base: Column) -> Column:
     own = F.col("open_rate")
     hit = (F.col("delivered") > 0) & (base > 0) & (own < 0.5 * base)
     text = F.concat(
         F.lit("open_rate "), S.fixed(own * 100, 0), F.lit("% vs platform avg "), S.fixed(base * 100, 0),
         F.lit("% ("), S.signed_pct0((own - base) / F.when(base > 0, base)), F.lit(")"),
     )
-    return (
-        metrics.withColumn("_base", baseline.select("open_rate").scalar())
-        .select("campaign_id", F.when(hit, text).alias("anomaly"))
-    )
+    return F.when(hit, text)
 
 
 def anomaly_conversion_spike(conversions: DataFrame) -> DataFrame:
@@ -145,49 +148,80 @@ def anomaly_conversion_spike(conversions: DataFrame) -> DataFrame:
         F.avg(prior).alias("mean"),
         F.stddev_pop(prior).alias("sd"),
     )
+    return stats.select("campaign_id", _spike().alias("anomaly"))
+
+
+def _spike() -> Column:
     text = F.concat(
         F.lit("conversions spiked: "), F.col("last_n").cast("string"), F.lit(" on "),
         F.col("last_day").cast("string"), F.lit(" vs mean "), S.fixed(F.col("mean"), 1),
         F.lit("/day (σ="), S.fixed(F.col("sd"), 1), F.lit(", >3σ)"),
     )
-    hit = (F.col("days") >= 3) & (F.col("last_n") > F.col("mean") + 3 * F.col("sd"))
-    return stats.select("campaign_id", F.when(hit, text).alias("anomaly"))
+    return F.when((F.col("days") >= 3) & (F.col("last_n") > F.col("mean") + 3 * F.col("sd")), text)
 
 
 def anomaly_bounce_rate(metrics: DataFrame) -> DataFrame:
+    return metrics.select("campaign_id", _high_bounces().alias("anomaly"))
+
+
+def _high_bounces() -> Column:
     share = S.rate(F.col("bounces"), F.col("sends"))
     text = F.concat(
         F.lit("bounce_rate "), S.fixed(share * 100, 1), F.lit("% exceeds 5% threshold ("),
         F.col("bounces").cast("string"), F.lit(" bounces / "), F.col("sends").cast("string"), F.lit(" sends)"),
     )
-    return metrics.select("campaign_id", F.when(share > 0.05, text).alias("anomaly"))
+    return F.when(share > 0.05, text)
 
 
 def anomaly_silent_active(campaigns: DataFrame, recent: DataFrame) -> DataFrame:
-    hit = (F.col("status") == "active") & (F.col("delivered_recent") == 0)
     return (
         campaigns.select(F.col("id").alias("campaign_id"), "status").join(recent, "campaign_id")
-        .select("campaign_id", F.when(hit, "zero delivered events in last 48h on active campaign").alias("anomaly"))
+        .select("campaign_id", _silent().alias("anomaly"))
     )
 
 
+def _silent() -> Column:
+    hit = (F.col("status") == "active") & (F.col("delivered_recent") == 0)
+    return F.when(hit, "zero delivered events in last 48h on active campaign")
+
+
+def _grouped(daily: DataFrame, as_of) -> DataFrame:
+    """Counters per campaign, per (campaign, channel) and per (campaign, day) in one pass; ``part`` names the grouping."""
+    since = F.date_sub(F.to_date(S.as_ts(as_of)), 2)
+    recent = F.sum(F.when((F.col("event_type") == "delivered") & (F.col("day") >= since), F.col("count")).otherwise(0))
+    converted = F.sum(F.when(F.col("event_type") == "converted", F.col("count")))
+    whole, channel, day = [F.col("campaign_id")], [F.col("campaign_id"), F.col("channel")], [F.col("campaign_id"), F.col("day")]
+    return daily.withColumn("_day", F.col("day")).groupingSets([whole, channel, day], *channel, F.col("day")).agg(
+        *counter_sums(), F.min("_day").alias("first_event_day"), F.max("_day").alias("last_event_day"), recent.alias("delivered_recent"),
+        converted.alias("n"), F.grouping_id("campaign_id", "channel", "day").alias("part"))
+
+
 def campaign_analytics(campaigns: DataFrame, daily: DataFrame, as_of) -> DataFrame:
-    """Metrics, channels, platform baseline and anomalies of every campaign in rule order."""
+    """Metrics, channels, platform baseline and anomalies of every campaign in rule order.
+
+    Everything but the baseline comes from one grouping pass over ``daily``; its rows, a few for each campaign, are
+    put together by campaign.
+    """
     daily = _until_day(daily, as_of)
-    metrics = campaign_metrics(campaigns, daily)
     baseline = platform_baseline(daily)
-    rules = [
-        anomaly_open_rate(metrics, baseline),
-        anomaly_conversion_spike(daily_conversions(daily)),
-        anomaly_bounce_rate(metrics),
-        anomaly_silent_active(campaigns, delivered_recent(campaigns, daily, as_of)),
-    ]
-    out = metrics.join(by_channel(campaign_channel_metrics(daily)), "campaign_id", "left")
-    for i, rule in enumerate(rules):
-        out = out.join(rule.withColumnRenamed("anomaly", f"_a{i}"), "campaign_id", "left")
-    out = out.withColumn("_b", baseline.select(F.struct(*RATES)).scalar())
-    return out.select(
-        *metrics.columns, "by_channel",
-        *[F.col(f"_b.{r}").alias(f"platform_{r}") for r in RATES],
-        F.array_compact(F.array(*[F.col(f"_a{i}") for i in range(len(rules))])).alias("anomalies"),
+    rows = _with_rates(_grouped(daily, as_of))
+    # Bits of the columns that a grouping leaves out: day 1, channel 2.
+    whole, channel, day = F.col("part") == 3, F.col("part") == 1, F.col("part") == 2
+    totals = (*COUNTERS, "first_event_day", "last_event_day", "delivered_recent")
+    converted = day & F.col("n").isNotNull()
+    last = F.max(F.when(converted, F.col("day"))).over(Window.partitionBy("campaign_id"))
+    prior = F.when(converted & (F.col("day") < F.col("_last")), F.col("n").cast("double"))
+    per = rows.withColumn("_last", last).groupBy("campaign_id").agg(
+        *[F.max(F.when(whole, F.col(c))).alias(c) for c in totals],
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(channel, F.struct("channel", F.struct(*COUNTERS, *RATES).alias("m")))))).alias("by_channel"),
+        F.count(F.when(converted, 1)).alias("days"), F.max("_last").alias("last_day"),
+        F.max(F.when(converted & (F.col("day") == F.col("_last")), F.col("n"))).alias("last_n"),
+        F.avg(prior).alias("mean"), F.stddev_pop(prior).alias("sd"),
     )
+    out = campaigns.select(F.col("id").alias("campaign_id"), "status").join(per, "campaign_id", "left").fillna(
+        0, [*COUNTERS, "delivered_recent"])
+    out = _with_rates(out).withColumn("_b", baseline.select(F.struct(*RATES)).scalar())
+    out = out.withColumn("anomalies", F.array_compact(F.array(
+        _low_opens(F.col("_b.open_rate")), _spike(), _high_bounces(), _silent())))
+    shown = ["campaign_id", *[c for c in COUNTERS if c != "complained"], "first_event_day", "last_event_day", *RATES]
+    return out.select(*shown, "by_channel", *[F.col(f"_b.{r}").alias(f"platform_{r}") for r in RATES], "anomalies")

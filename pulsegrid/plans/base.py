@@ -102,7 +102,7 @@ ev1 AS (
 ev AS (
   SELECT id, 'evt_' || lpad(id::VARCHAR, 9, '0') AS event_id, customer_id, campaign_id,
     CASE WHEN campaign_id IS NULL THEN {chooser(_CH, 'id')}
-         ELSE {chooser(_CH, 'campaign_id + campaign_id // 5')} END AS channel,
+         ELSE {chooser(_CH, 'campaign_id + campaign_id // 5 + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END')} END AS channel,
     CASE WHEN campaign_id = 13 AND id % 100 BETWEEN 68 AND 79 THEN 'delivered'
          WHEN id % 100 < 35 THEN 'sent' WHEN id % 100 < 68 THEN 'delivered' WHEN id % 100 < 82 THEN 'opened'
          WHEN id % 100 < 90 THEN 'clicked' WHEN id % 100 < 94 THEN 'converted' WHEN id % 100 < 96 THEN 'bounced'
