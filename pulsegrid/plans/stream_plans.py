@@ -54,7 +54,24 @@ def st3_stream_outcomes(spark, sf):
     return flat(pipe.table("outcomes").groupBy("outcome").agg(F.count("*").alias("items")))
 
 
-QUERIES = {f.__name__: f for f in (st1_stream_profiles, st2_stream_campaign_daily, st3_stream_outcomes)}
+def st5_stream_dedup(spark, sf):
+    """Four loads: two of new ids, one of nothing but repeats, one of repeats and new ids."""
+    t, base = Tables(spark, sf), f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    pipe = EngagementPipeline(spark, base, t.customers, t.campaigns, clock=lambda: datetime.fromisoformat(AS_OF + "+00:00"))
+    posted = bodies(spark, sf, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").drop("part")
+    part = F.col("batch_id") % 4
+    for load, wanted in enumerate([part == 0, part == 1, part == 0, (part == 1) | (part == 2)]):
+        pipe.process(posted.where(wanted), load)
+    return flat(pipe.table("outcomes").groupBy("load", "outcome").agg(F.count("*").alias("items")))
+
+
+def p4_stream_customer_last_event(spark, sf):
+    """The recency markers that the stream keeps."""
+    return flat(drained(spark, sf).current_customers(), "id", "last_event_at")
+
+
+QUERIES = {f.__name__: f for f in (st1_stream_profiles, st2_stream_campaign_daily, st3_stream_outcomes, st5_stream_dedup,
+                                   p4_stream_customer_last_event)}
 
 # The pipeline processes what it accepts, so no event has failed.
 _ALL = tuple(part.replace("SELECT * FROM ev WHERE status = 'processed'", "SELECT * FROM ev") for part in EV)
@@ -71,4 +88,14 @@ ORACLES = {
     "st3_stream_outcomes": sql(
         """SELECT 'accepted' AS outcome, count(*) AS items FROM ev
         UNION ALL SELECT 'duplicate', count(*) FROM ev WHERE id // 50 % 10 = 0""", *EV),
+    "st5_stream_dedup": sql(
+        """SELECT load, outcome, items FROM (
+          SELECT 0 AS load, 'accepted' AS outcome, count(*) AS items FROM ev WHERE id // 50 % 4 = 0
+          UNION ALL SELECT 1, 'accepted', count(*) FROM ev WHERE id // 50 % 4 = 1
+          UNION ALL SELECT 2, 'duplicate', count(*) FROM ev WHERE id // 50 % 4 = 0
+          UNION ALL SELECT 3, 'duplicate', count(*) FROM ev WHERE id // 50 % 4 = 1
+          UNION ALL SELECT 3, 'accepted', count(*) FROM ev WHERE id // 50 % 4 = 2) WHERE items > 0""", *EV),
+    "p4_stream_customer_last_event": sql(
+        """SELECT id, coalesce(epoch_us(greatest(seen, last_at)), -1) AS last_event_at
+        FROM cu LEFT JOIN lastev ON customer_id = id""", *_ALL, PROFILES),
 }

@@ -4,6 +4,10 @@ Every micro-batch writes its own ``load`` partition of each table and replaces i
 run again, so the at-least-once delivery of ``foreachBatch`` changes nothing. Nothing is ever
 updated in place: profiles and daily counts are sums over the loads, made on read, and
 ``compact`` folds old loads into a base.
+
+Whether an id is stored is asked of a bit filter first, of bounded size and written anew by each load;
+only the buckets of ids that it cannot rule out are read, so a load without repeats reads no older ids.
+The answer is exact: an over-full filter only lets more buckets be read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pulsegrid.operators.rollups import campaign_daily, derive_sends, merge_dail
 from pulsegrid.sources.batches import malformed_batches, split_batches, stream_batch_files
 
 BUCKETS = 64
+# Bits of each bucket's filter, and how many of them an id sets: ample for half a million ids in all buckets.
+FILTER_BITS = 1 << 18
+FILTER_HASHES = 6
 WRITERS = 4
 _PARTITIONS = 1 << 14
 _ROWS = 1 << 26
@@ -89,12 +96,45 @@ class EngagementPipeline:
         return as_planned.where(F.lit(False)) if rows is None else rows.where(F.col("load") == load).drop("load")
 
     def _stored_ids(self, load: int, posted: DataFrame) -> DataFrame:
-        """Ids of earlier loads that this batch posts again. The history is scanned, not shuffled."""
-        ids = self.table("event_ids")
-        keys = posted.select("event_id").distinct().withColumn("bucket", self._bucket())
-        if ids is None:
-            return keys.where(F.lit(False)).select("event_id")
-        return ids.where(F.col("load") < load).join(keys, ["bucket", "event_id"], "left_semi").select("event_id")
+        """Ids of earlier loads that this batch posts again. Only buckets with a possible repeat are read."""
+        keys = posted.select("event_id").where("event_id IS NOT NULL").distinct().withColumn("bucket", self._bucket())
+        none = keys.where(F.lit(False)).select("event_id")
+        bits = self._filter(load)
+        if bits is None:
+            return none
+        place = F.bitmap_bit_position("cell")
+        byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.bit_get(byte, (place % 8).cast("int")) == 1, F.lit(False))
+        maybe = self._cells(keys).join(bits, ["bucket", "chunk"], "left").groupBy("bucket", "event_id").agg(
+            F.bool_and(hit).alias("all_set")).where("all_set").drop("all_set").persist()
+        try:
+            buckets = [r.bucket for r in maybe.select("bucket").distinct().collect()]
+            if not buckets:
+                return none
+            ids = self.table("event_ids").where((F.col("load") < load) & F.col("bucket").isin(*buckets))
+            return ids.join(maybe, ["bucket", "event_id"], "left_semi").select("event_id")
+        finally:
+            maybe.unpersist()
+
+    def _cells(self, ids: DataFrame) -> DataFrame:
+        """The bits that an id sets in its bucket's filter: (bucket, event_id, cell, chunk)."""
+        cells = F.array(*[F.xxhash64("event_id", F.lit(i)).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) + 1
+                          for i in range(1, FILTER_HASHES + 1)])
+        return ids.select("bucket", "event_id", F.explode(cells).alias("cell")).withColumn("chunk", F.bitmap_bucket_number("cell"))
+
+    def _filter(self, load: int) -> DataFrame | None:
+        """Bits of all ids stored before a load: (bucket, chunk, bits)."""
+        versions = self.table("id_filters")
+        newest = None if versions is None else versions.where(F.col("load") < load).agg(F.max("load").alias("m")).first().m
+        return None if newest is None else versions.where(F.col("load") == newest).drop("load")
+
+    def _write_filter(self, load: int, ids: DataFrame) -> None:
+        """The bits of earlier loads and of this one, as this load's version."""
+        bits = self._cells(ids).groupBy("bucket", "chunk").agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+        before = self._filter(load)
+        if before is not None:
+            bits = bits.unionByName(before).groupBy("bucket", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+        self._write(bits, "id_filters", load)
 
     @staticmethod
     def _bucket() -> Column:
@@ -134,8 +174,12 @@ class EngagementPipeline:
         self._write(L.apply_log_mode(entries, self.log_mode), "event_logs", load)
         if self.on_events is not None:
             self.on_events(done, load)
-        # Last, so that a load counts as stored only when all of it is.
-        self._write(done.select("event_id", self._bucket().alias("bucket")), "event_ids", load, "bucket")
+        latest = done.groupBy("customer_id").agg(F.max("occurred_at").alias("last_event_at"))
+        self._write(latest, "customer_last", load)
+        # Last, so that a load counts as stored only when all of it is; the filter knows no id before its row is there.
+        ids = done.select("event_id", self._bucket().alias("bucket"))
+        self._write(ids, "event_ids", load, "bucket")
+        self._write_filter(load, ids)
 
     def compact(self, table: str, upto: int, as_of) -> None:
         """Fold the loads up to ``upto`` into one base partition; a reader finds the newest."""
@@ -156,6 +200,14 @@ class EngagementPipeline:
         rows = rows.drop("load")
         return merge_daily(rows) if table == "campaign_daily" else P.merge_cells(rows)
 
+    def current_customers(self) -> DataFrame:
+        """Customers with their recency marker moved forward by all loads, never back."""
+        rows = self.table("customer_last")
+        if rows is None:
+            return self.customers
+        latest = rows.groupBy(F.col("customer_id").alias("id")).agg(F.max("last_event_at").alias("_new"))
+        return self.customers.join(latest, "id", "left").withColumn("last_event_at", F.greatest("last_event_at", "_new")).drop("_new")
+
     def daily(self) -> DataFrame:
         return self._merged("campaign_daily", None)
 

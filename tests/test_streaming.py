@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import profiles as P
 from pulsegrid.operators import rollups as R
+from pulsegrid.streaming import pipeline
 from pulsegrid.streaming.pipeline import EngagementPipeline
 
 AS_OF = "2024-01-31 00:00:00"
@@ -101,3 +102,51 @@ def test_first_loads_without_rows(spark, tmp_path):
     counts = {r.outcome: r["count"] for r in pipe.table("outcomes").groupBy("outcome").count().collect()}
     assert counts == {"rejected": 1, "accepted": 5}
     assert pipe.table("refused_batches").count() == 1 and pipe.profiles(AS_OF).count() > 0
+
+
+def test_a_load_without_repeats_reads_no_older_ids(spark, tmp_path, monkeypatch):
+    pipe = EngagementPipeline(spark, str(tmp_path / "t"), *dims(spark), clock=clock)
+    items, read = posted(90), []
+    whole = pipe.table
+    monkeypatch.setattr(pipe, "table", lambda name: read.append(name) or whole(name))
+
+    def load(number, part):
+        read.clear()
+        body = json.dumps({"events": part})
+        pipe.process(spark.createDataFrame([(number, body)], "batch_id long, body string"), number)
+        got = {r.outcome: r["count"] for r in whole("outcomes").where(F.col("load") == number).groupBy("outcome").count().collect()}
+        return got, "event_ids" in read
+
+    assert load(0, items[:30]) == ({"accepted": 30}, False)
+    assert load(1, items[30:60]) == ({"accepted": 30}, False)
+    assert load(2, items[60:] + items[:5]) == ({"accepted": 30, "duplicate": 5}, True)
+    # Again, as after a failure; then nothing but repeats.
+    assert load(2, items[60:] + items[:5]) == ({"accepted": 30, "duplicate": 5}, True)
+    assert load(3, items) == ({"duplicate": 90}, True)
+    assert whole("event_ids").count() == 90
+    # A version holds all earlier bits, whichever load brought them.
+    assert pipe._filter(2).count() <= pipe._filter(9).count()
+
+
+def test_a_full_filter_keeps_dedup_exact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "FILTER_BITS", 4)
+    pipe = EngagementPipeline(spark, str(tmp_path / "t"), *dims(spark), clock=clock)
+    items = posted(60)
+    for number, part in enumerate([items[:40], items[40:], items]):
+        pipe.process(spark.createDataFrame([(number, json.dumps({"events": part}))], "batch_id long, body string"), number)
+    counts = {(r.load, r.outcome): r["count"] for r in pipe.table("outcomes").groupBy("load", "outcome").count().collect()}
+    assert counts == {(0, "accepted"): 40, (1, "accepted"): 20, (2, "duplicate"): 60}
+
+
+def test_the_stream_keeps_the_customers_recency(spark, tmp_path):
+    cust, camp = dims(spark)
+    cust = cust.withColumn("last_event_at", F.when(F.col("id") == 1, F.lit("2025-01-01").cast("timestamp")))
+    pipe = EngagementPipeline(spark, str(tmp_path / "t"), cust, camp, clock=clock)
+    assert pipe.current_customers().where("last_event_at IS NOT NULL").count() == 1
+    items = posted(40)
+    for number, part in enumerate([items[20:], items[:20]]):
+        pipe.process(spark.createDataFrame([(number, json.dumps({"events": part}))], "batch_id long, body string"), number)
+    got = {r.id: r.at for r in pipe.current_customers().selectExpr("id", "cast(last_event_at as string) at").collect()}
+    want = {int(c[1:]): max(x["occurred_at"] for x in items if x["customer_id"] == c) for c in {x["customer_id"] for x in items}}
+    assert got[1].startswith("2025-01-01")
+    assert {k: v for k, v in got.items() if k != 1 and v} == {k: v.replace("T", " ").rstrip("Z") for k, v in want.items() if k != 1}
