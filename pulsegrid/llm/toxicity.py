@@ -1,14 +1,16 @@
 """Toxicity by compression distance: windows compressed with dictionaries of toxic and of ordinary text.
 
-Both zstandard dictionaries are trained from labelled texts: they share common words and the ordinary
-words most like toxic ones; the toxic one ends with the words that set toxic texts apart, the other
+Both zstandard dictionaries are put together from labelled texts, as raw content (``train_dictionary`` spends
+its bytes on what all texts share): they share common words and the ordinary words most like toxic ones; the toxic one ends with the words that set toxic texts apart, the other
 with ordinary words in their place. A window is one folded word between blanks, closed by a fixed tail
 that both dictionaries hold (zstandard looks for no match in the last bytes of a block). A window that
 is shorter with the toxic dictionary is evidence; words of ordinary texts that mislead are added to
 both dictionaries. A logistic regression over the counts of windows beyond each length difference,
 fitted on texts that trained no dictionary, sets the thresholds.
 
-The dictionaries stay below ``DICTIONARY_BYTES``: windows must reach all of a dictionary.
+The dictionaries stay below ``DICTIONARY_BYTES``, as windows must reach all of a dictionary: at most
+``TOXIC_BYTES`` of marked words (the strongest first) and ``MISLEADING`` misleading ones are kept. Words in
+too few texts to exceed ``LEAST_Z``, and phrases of ordinary words, are not found.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ THRESHOLD = 0.5
 DICTIONARY_BYTES = 6_500
 COMMON_WORDS = 400
 TOXIC_BYTES = 2_000
+MISLEADING = 300
 # Standard deviations by which a word's share of toxic texts exceeds chance.
 LEAST_Z = 5.0
 GRAM = 4
@@ -136,7 +139,7 @@ def books(fit: list[L.Example]) -> ToxicityModel:
     for _ in range(2):
         lengths = model.lengths()
         misled = [w for w in plain if lengths[w] >= STEPS[0] and toxic[w] * n[0] <= 1.5 * ordinary[w] * n[1]]
-        alike = list(dict.fromkeys(sorted(misled, key=lambda w: (-ordinary[w] * lengths[w], w))[:300] + alike))
+        alike = list(dict.fromkeys(sorted(misled, key=lambda w: (-ordinary[w] * lengths[w], w))[:MISLEADING] + alike))
         model = _model(marked, common, alike, plain)
     return model
 
