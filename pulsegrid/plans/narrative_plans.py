@@ -9,7 +9,7 @@ from pulsegrid.functions import scalars as S
 from pulsegrid.operators import campaigns as K
 from pulsegrid.operators import narrative as N
 from pulsegrid.plans.base import EVD, Tables, flat, sql
-from pulsegrid.plans.campaign_plans import METRICS
+from pulsegrid.plans.campaign_plans import _COUNTS, METRICS
 from pulsegrid.session import spread
 from pulsegrid.sources import fixture as X
 
@@ -227,7 +227,13 @@ ORACLES = {
         """SELECT DISTINCT campaign, round(unnest([sends, delivered, opens, clicks, conversions, bounces, unsubscribes,
           floor(r1 * 10000 + 0.5) / 10000, floor(r2 * 10000 + 0.5) / 10000, floor(r3 * 10000 + 0.5) / 10000,
           op, cp, vp, bp, up, 30, 20, 3, 1, 5, 0.5, id::DOUBLE, 0, year(first_day), month(first_day), day(first_day),
-          year(last_day), month(last_day), day(last_day)]::DOUBLE[]), 6) + 0.0 AS n FROM fc""", *EVD, FACTS),
+          year(last_day), month(last_day), day(last_day)]::DOUBLE[]), 6) + 0.0 AS n FROM fc
+        UNION SELECT ca.ext, round(unnest([sends, delivered, opens, clicks, conversions, bounces, unsubscribes,
+          floor(coalesce(opens::DOUBLE / nullif(delivered, 0), 0) * 1000 + 0.5) / 10,
+          floor(coalesce(clicks::DOUBLE / nullif(delivered, 0), 0) * 1000 + 0.5) / 10,
+          floor(coalesce(conversions::DOUBLE / nullif(delivered, 0), 0) * 1000 + 0.5) / 10]::DOUBLE[]), 6) + 0.0
+        FROM (""" + f"SELECT campaign_id, channel, {_COUNTS} FROM daily GROUP BY 1, 2" + ") x JOIN ca ON ca.id = campaign_id",
+        *EVD, FACTS),
     "n6_unsupported_numbers": f"""SELECT doc_id, len(list_filter({_NUMS}, lambda n:
         NOT list_contains(ok, n) AND NOT list_contains(ok, n / 100) AND NOT list_contains(ok, n * 100))) AS unsupported
       FROM documents, (SELECT [1, 2, 3, 5, 10, 24, 30, 50, 100, 2024]::DOUBLE[] AS ok)""",
