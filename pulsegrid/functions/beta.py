@@ -1,4 +1,4 @@
-"""Beta distributions by numeric integration, as Column expressions (all stay in the JVM).
+"""Beta distributions by numeric integration, as Column expressions (all but the batch form stay in the JVM).
 
 A distribution is a table over a grid that is even in the log-odds of the rate, where its density is smooth
 and falls off exponentially whatever the parameters. Quantiles are read off the running integral; the
@@ -11,10 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINTS = 128
+# Rows of a batch that are integrated at a time: some 3 MB for each array over all points.
+CHUNK = 100
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,3 +108,36 @@ def best_probabilities(tables: Column) -> Column:
     points = F.sort_array(F.flatten(F.transform(tables, lambda t: F.transform(grid, lambda k: t["lo"] + t["step"] * k))))
     at = let(points, lambda ys: F.transform(ys, lambda y: F.transform(tables, lambda t: _below(t, y))))
     return let(at, lambda values: let(F.transform(values, others), lambda beaten: let(integral(values, beaten), shares)))
+
+
+def _integrals(lo: np.ndarray, step: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The integrals of ``best_probabilities`` for n rows of k tables: lo and step (n, k), below (n, k, POINTS + 1)."""
+    n, k = lo.shape
+    y = np.sort((lo[:, :, None] + step[:, :, None] * np.arange(POINTS + 1)).reshape(n, -1), axis=1)
+    place = (y[:, None, :] - lo[:, :, None]) / step[:, :, None]
+    at = np.clip(place, 0, POINTS)
+    left = np.minimum(at.astype(np.int32), POINTS - 1)
+    first, second = np.take_along_axis(below, left, 2), np.take_along_axis(below, left + 1, 2)
+    own = np.where(place <= 0, 0.0, np.where(place >= POINTS, 1.0, first + (at - left) * (second - first)))
+    raw = np.empty((n, k))
+    for i in range(k):
+        others = np.prod(np.delete(own, i, axis=1), axis=1)
+        raw[:, i] = (np.diff(own[:, i], axis=1) * (others[:, 1:] + others[:, :-1])).sum(axis=1)
+    return raw / raw.sum(axis=1, keepdims=True)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _integrated(lo: pd.Series, step: pd.Series, below: pd.Series) -> pd.Series:
+    out = []
+    for at in range(0, len(lo), CHUNK):
+        a, b, c = (np.stack(x.iloc[at:at + CHUNK].to_numpy()) for x in (lo, step, below))
+        out.extend(_integrals(a, b, c.reshape(*a.shape, POINTS + 1)))
+    return pd.Series(out, dtype=object)
+
+
+def best_probabilities_in_batches(tables: Column) -> Column:
+    """``best_probabilities`` where very many rows have equally many tables: the same integral over Arrow batches.
+
+    Functions over arrays are interpreted node by node, some 12 ms a row of five tables, fifty times what this takes.
+    """
+    return _integrated(tables["lo"], tables["step"], F.flatten(tables["below"]))

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.functions.beta import best_probabilities, beta_table
+from pulsegrid.functions.beta import best_probabilities, best_probabilities_in_batches, beta_table
 from pulsegrid.operators.dominance import dominance_counts, placed, score_ranges
 from pulsegrid.session import settle
 from pulsegrid.sources.tables import from_day
 
 SALTS = 16
+FEW_AUDIENCES = 64
 PATTERNS_PER_TASK = 200
 KEY = ["objective", "lookback_days"]
 SUCCESS_TYPES = ("opened", "clicked", "converted")
@@ -175,39 +176,28 @@ def audience_evidence(requests: DataFrame, rollup: DataFrame, profiles: DataFram
                       as_of) -> DataFrame:
     """Responses per (request, channel) of each audience, with the audience's size.
 
-    Score floors, activity limits and windows are thresholds. A customer is placed once among the floors of all
-    requests; days are their own places. Counts are kept per place, and ``dominance_counts`` answers
-    every request from them: the data is read once however many audiences are asked for, and no request
-    meets all places.
+    Up to 64 audiences are conditions tested on each member. Of more, score floors, activity limits and windows are
+    thresholds. A customer is placed once among the floors of all requests; days are their own places. Counts
+    are kept per place, and ``dominance_counts`` answers every request from them. Either way the data is read
+    once however many audiences are asked for, and no request meets all places.
     """
     now = S.as_ts(as_of)
     aud = requests.where(F.col("scope") == "audience").select(
         "request_id", "success_event", F.col("lookback_days").cast("int").alias("w"),
         S.raw_min_score(F.col("min_score")).alias("floor"), F.col("last_active_days").cast("int").alias("days"),
     )
-    # No limit is one day beyond the longest limit asked for, and so is a customer idle for longer or never seen.
-    beyond = F.coalesce(aud.agg(F.max("days") + 1).scalar(), F.lit(1))
-    beyond = F.greatest(beyond, F.lit(1))
-    ranges = score_ranges(aud)
-    # Written once: the placed requests are met in several places.
-    aud = settle(placed(aud.withColumn("beyond", beyond), ranges, "floor", "i").withColumn(
-        "j", F.when(F.col("days") > 0, F.col("days")).otherwise(F.col("beyond")).cast("int")), "audiences")
-    beyond = F.coalesce(aud.agg(F.max("beyond")).scalar(), F.lit(1))
-    idle = F.ceil(S.seconds_between(now, F.col("last_event_at")) / 86400)
-    members = (
-        customers.where(F.col("is_active")).select(F.col("id").alias("customer_id"))
-        .join(profiles.select("customer_id", "engagement_score", "last_event_at"), "customer_id")
-        .withColumn("j", F.least(F.greatest(F.coalesce(idle, beyond), F.lit(0)), beyond).cast("int"))
-    )
-    members = placed(members, ranges, "engagement_score", "i").where("i > 0").select("customer_id", "i", "j")
-    # One row per member stands for the audience's size: channel '' and no window.
-    measures = ("delivered", *SUCCESS_TYPES)
-    zeros = [F.lit(0).cast("long").alias(t) for t in SUCCESS_TYPES]
-    sizes = members.select("i", "j", F.lit(0).alias("w"), F.lit("").alias("channel"), F.lit(1).cast("long").alias("delivered"), *zeros)
-    seen = members.join(rollup, "customer_id").select("i", "j", F.greatest("age", F.lit(0)).alias("w"), "channel", *measures)
-    cells = sizes.unionByName(seen).groupBy("i", "j", "w", "channel").agg(*[F.sum(t).alias(t) for t in measures])
-    counts = dominance_counts(cells, aud.select("request_id", "i", "j", "w"), measures, ("", *V.CHANNELS))
-
+    idle = F.greatest(F.ceil(S.seconds_between(now, F.col("last_event_at")) / 86400), F.lit(0))
+    members = customers.where(F.col("is_active")).select(F.col("id").alias("customer_id")).join(
+        profiles.select("customer_id", "engagement_score", "last_event_at"), "customer_id").withColumn("idle", idle)
+    few = aud.limit(FEW_AUDIENCES + 1).collect()
+    if len(few) <= FEW_AUDIENCES:
+        aud = customers.sparkSession.createDataFrame(few, aud.schema)
+        return _by_request(aud, _few_audiences(few, rollup, members))
+    return _by_request(*_many_audiences(aud, rollup, members))
+
+
+def _by_request(aud: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts per (request, channel, or '' for the size) as rows of evidence, zeros where there are none."""
     def total(channel: str, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("channel") == channel, value)), F.lit(0).cast("long"))
 
@@ -221,6 +211,43 @@ def audience_evidence(requests: DataFrame, rollup: DataFrame, profiles: DataFram
     )
 
 
+def _counted(members: DataFrame, rollup: DataFrame, *places: str) -> DataFrame:
+    """Responses of the members, and a row per member that stands for the size: channel '' and no window."""
+    zeros = [F.lit(0).cast("long").alias(t) for t in SUCCESS_TYPES]
+    sizes = members.select(*places, F.lit(0).alias("w"), F.lit("").alias("channel"), F.lit(1).cast("long").alias("delivered"), *zeros)
+    return sizes.unionByName(members.join(rollup, "customer_id").select(
+        *places, F.greatest("age", F.lit(0)).alias("w"), "channel", "delivered", *SUCCESS_TYPES))
+
+
+def _few_audiences(few: list, rollup: DataFrame, members: DataFrame) -> DataFrame:
+    """Each member carries the numbers of the requests that it fits; sums are made before the shuffle."""
+    fits = F.array_compact(F.array(*[
+        F.when((F.col("engagement_score") >= r.floor) & (F.lit(r.days <= 0) | (F.col("idle") <= r.days)), F.lit(n))
+        for n, r in enumerate(few)]).cast("array<int>"))
+    members = members.select("customer_id", fits.alias("fits")).where(F.size("fits") > 0)
+    windows = F.array(*[F.lit(r.w) for r in few]).cast("array<int>")
+    rows = _counted(members, rollup, "fits").withColumn("n", F.explode(F.filter("fits", lambda n: F.col("w") <= F.get(windows, n))))
+    sums = rows.groupBy("n", "channel").agg(*[F.sum(t).alias(t) for t in ("delivered", *SUCCESS_TYPES)])
+    return sums.withColumn("request_id", F.get(F.array(*[F.lit(r.request_id) for r in few]), F.col("n")))
+
+
+def _many_audiences(aud: DataFrame, rollup: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, written once, and their counts by dominance)."""
+    # No limit is one day beyond the longest limit asked for, and so is a customer idle for longer or never seen.
+    beyond = F.coalesce(aud.agg(F.max("days") + 1).scalar(), F.lit(1))
+    beyond = F.greatest(beyond, F.lit(1))
+    ranges = score_ranges(aud)
+    # Written once: the placed requests are met in several places.
+    aud = settle(placed(aud.withColumn("beyond", beyond), ranges, "floor", "i").withColumn(
+        "j", F.when(F.col("days") > 0, F.col("days")).otherwise(F.col("beyond")).cast("int")), "audiences")
+    beyond = F.coalesce(aud.agg(F.max("beyond")).scalar(), F.lit(1))
+    members = members.withColumn("j", F.least(F.coalesce("idle", beyond), beyond).cast("int"))
+    members = placed(members, ranges, "engagement_score", "i").where("i > 0").select("customer_id", "i", "j")
+    measures = ("delivered", *SUCCESS_TYPES)
+    cells = _counted(members, rollup, "i", "j").groupBy("i", "j", "w", "channel").agg(*[F.sum(t).alias(t) for t in measures])
+    return aud, dominance_counts(cells, aud.select("request_id", "i", "j", "w"), measures, ("", *V.CHANNELS))
+
+
 def channel_evidence(requests: DataFrame, events: DataFrame, profiles: DataFrame, customers: DataFrame,
                      daily: DataFrame, campaigns: DataFrame, as_of, rollup: DataFrame | None = None) -> DataFrame:
     """One row per valid request and channel. A request for an unknown customer has none.
@@ -312,14 +339,16 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def summary(tables: Column) -> Column:
-    """Interval and probability of being best of each of several Beta tables, as arrays."""
-    return F.struct(tables["lower"].alias("lower"), tables["upper"].alias("upper"), best_probabilities(tables).alias("prob_best"))
+    """Interval and probability of being best of each of several Beta tables, as an array of structs."""
+    return F.zip_with(tables, best_probabilities(tables), lambda t, p: F.struct(
+        t["lower"].alias("lower"), t["upper"].alias("upper"), p.alias("prob_best")))
 
 
 def simulate(posts: DataFrame) -> DataFrame:
     """Interval and probability of being best, per request and channel, by numeric integration."""
     done = _packed(posts.select("request_id", "pos", "channel", "a", "b"))
-    one = F.arrays_zip(F.col("_v.channel"), F.col("_sim.lower"), F.col("_sim.upper"), F.col("_sim.prob_best"))
+    one = F.zip_with("_v", "_sim", lambda e, sim: F.struct(e["channel"].alias("channel"), sim["lower"].alias("lower"),
+                                                           sim["upper"].alias("upper"), sim["prob_best"].alias("prob_best")))
     return done.select("request_id", F.explode(one).alias("_z")).select("request_id", "_z.*")
 
 
@@ -434,17 +463,17 @@ def prediction_advice(ranked: DataFrame) -> DataFrame:
 def predictions(evidence: DataFrame) -> DataFrame:
     """Evidence to ranked channels with reasons and the request's advice, in one pass."""
     rows = risk_rates(posteriors(evidence))
-    sim = F.col("_sim")
 
-    def finish(e: Column, i: Column) -> Column:
-        rate, prob = S.round4(e["mean"]), S.round4(F.get(sim["prob_best"], i))
+    def finish(e: Column, sim: Column) -> Column:
+        rate, prob = S.round4(e["mean"]), S.round4(sim["prob_best"])
         return F.struct(
             (-rate).alias("o1"), (-prob).alias("o2"), e["pos"].alias("o3"), e["channel"].alias("channel"),
-            prob.alias("prob_best"), rate.alias("predicted_rate"), S.round4(F.get(sim["lower"], i)).alias("lower"),
-            S.round4(F.get(sim["upper"], i)).alias("upper"), e.alias("e"),
+            prob.alias("prob_best"), rate.alias("predicted_rate"), S.round4(sim["lower"]).alias("lower"),
+            S.round4(sim["upper"]).alias("upper"), e.alias("e"),
         )
 
-    ranked = _packed(rows).withColumn("_r", F.array_sort(F.transform("_v", finish)))
+    # Element by element: a summary looked up by index inside the function would be integrated anew for each channel.
+    ranked = _packed(rows).withColumn("_r", F.array_sort(F.zip_with("_v", "_sim", finish)))
     first = F.get(F.col("_v"), F.lit(0))
     answer = advice_columns(F.col("_r"), first["scope"], first["success_event"])
     kept = [c for c in rows.columns if c not in ("request_id", "channel")]
@@ -463,7 +492,8 @@ def predictions(evidence: DataFrame) -> DataFrame:
 def predict_channels(requests: DataFrame, events: DataFrame, profiles: DataFrame, customers: DataFrame,
                      daily: DataFrame, campaigns: DataFrame, as_of) -> DataFrame:
     """All valid requests of a raw request table, one row per request and channel."""
-    asked = normalize_prediction_requests(requests)
+    # Written once: five steps read the requests.
+    asked = settle(normalize_prediction_requests(requests), "prediction-requests")
     out = predictions(channel_evidence(asked, events, profiles, customers, daily, campaigns, as_of))
     return out.select(
         "request_id", "objective", "scope", "success_event", "recommended_channel", "confidence", "advice", "rank",
@@ -542,19 +572,20 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
     parts = patterns.count() // PATTERNS_PER_TASK + 1
     vectors = channels.join(tables, ["a", "b"]).repartition(parts, "objective", "s", "n").groupBy("objective", "s", "n").agg(
         F.array_sort(F.collect_list(F.struct("pos", "a", "b", "_t"))).alias("_v"))
-    vectors = vectors.select("objective", "s", "n", F.col("_v.a").alias("a"), F.col("_v.b").alias("b"), F.col("_v._t").alias("_t"))
-    sim, names = F.col("_sim"), F.array(*[F.lit(c) for c in V.CHANNELS])
+    vectors = vectors.select("objective", "s", "n", F.col("_v.a").alias("a"), F.col("_v.b").alias("b"),
+                             F.col("_v._t.lower").alias("lower"), F.col("_v._t.upper").alias("upper"),
+                             best_probabilities_in_batches(F.col("_v._t")).alias("prob_best"))
+    names = F.array(*[F.lit(c) for c in V.CHANNELS])
 
-    def finish(channel: Column, i: Column) -> Column:
-        a, b, prob = F.get(F.col("a"), i), F.get(F.col("b"), i), S.round4(F.get(sim["prob_best"], i))
+    def finish(p: Column, i: Column) -> Column:
+        a, b, prob = F.get(F.col("a"), i), F.get(F.col("b"), i), S.round4(p)
         return F.struct(
-            (-S.round4(a / (a + b))).alias("o1"), (-prob).alias("o2"), i.alias("o3"), channel.alias("channel"),
-            prob.alias("prob_best"), S.round4(F.get(sim["lower"], i)).alias("lower"),
-            S.round4(F.get(sim["upper"], i)).alias("upper"),
+            (-S.round4(a / (a + b))).alias("o1"), (-prob).alias("o2"), i.alias("o3"), F.get(names, i).alias("channel"),
+            prob.alias("prob_best"), S.round4(F.get(F.col("lower"), i)).alias("lower"),
+            S.round4(F.get(F.col("upper"), i)).alias("upper"),
         )
 
-    done = vectors.withColumn("_sim", summary(F.col("_t"))).drop("_t")
-    ranked = done.withColumn("_r", F.array_sort(F.transform(names, finish)))
+    ranked = vectors.withColumn("_r", F.array_sort(F.transform("prob_best", finish))).select("objective", "s", "n", "_r")
     answer = advice_columns(F.col("_r"), F.lit("customer"), S.success_event(F.col("objective")))
     best = F.get(F.col("_r"), F.lit(0))
     answers = ranked.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.functions.beta import best_probabilities, beta_table
+from pulsegrid.functions.beta import best_probabilities, best_probabilities_in_batches, beta_table
 from pulsegrid.operators import dominance as N
 from pulsegrid.operators import predict as B
 from pulsegrid.plans.base import AS_OF, Tables
@@ -194,6 +194,42 @@ def test_many_audiences_cost_rows_plus_requests(spark):
     assert "sequence(" not in plan(sums)
 
 
+def test_batches_integrate_as_columns_do(spark):
+    rng = random.Random(11)
+    rows = [(n, [10 ** rng.uniform(-1, 5) for _ in range(5)], [10 ** rng.uniform(-1, 5) for _ in range(5)]) for n in range(250)]
+    rows += [(250, [3.0] * 5, [40.0] * 5), (251, [3.0, 3.0, 9.0, 9.0, 1.0], [40.0, 40.0, 90.0, 90.0, 30.0])]
+    df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>")
+    tables = df.withColumn("t", F.zip_with("a", "b", lambda a, b: beta_table(a, b, *V.INTERVAL)))
+    got = tables.select("i", best_probabilities(F.col("t")).alias("p"), best_probabilities_in_batches(F.col("t")).alias("q")).collect()
+    assert max(abs(p - q) for r in got for p, q in zip(r.p, r.q)) < 1e-9
+    same = {r.i: r.q for r in got}
+    assert len(set(same[250])) == 1 and same[251][0] == same[251][1] and same[251][2] == same[251][3]
+
+
+def few_and_many(spark, requests, limit, monkeypatch):
+    t = Tables(spark, SF)
+    monkeypatch.setattr(B, "FEW_AUDIENCES", limit)
+    asked = B.normalize_prediction_requests(requests)
+    return sorted(tuple(r) for r in B.audience_evidence(asked, B.target_daily(t.events, AS_OF), t.profiles, t.customers, AS_OF).collect())
+
+
+def test_few_audiences_count_as_many_do(spark, monkeypatch):
+    """Conditions on members and counts by dominance agree; an audience that nobody fits has zeros."""
+    reqs = X.prediction_requests(spark, SF)
+    nobody = reqs.where("audience IS NOT NULL").limit(1).withColumns({
+        "request_id": F.lit(999).cast(reqs.schema["request_id"].dataType),
+        "audience": F.struct(F.lit(99.999).alias("min_score"), F.lit(1).alias("last_active_days"))})
+    reqs = reqs.unionByName(nobody)
+    few = few_and_many(spark, reqs, 64, monkeypatch)
+    assert few == few_and_many(spark, reqs, 0, monkeypatch) and len({r[0] for r in few}) > 2
+    assert sum(r[1] for r in few) > 0
+
+
+def test_no_audience_has_no_rows(spark, monkeypatch):
+    none = X.prediction_requests(spark, SF).where("audience IS NULL")
+    assert few_and_many(spark, none, 64, monkeypatch) == []
+
+
 def test_partitioning_does_not_change_the_summary(spark):
     posts = B.posteriors(evidence(spark, {"email": obj(6, 150), "sms": obj(5, 140)}))
     got = {tuple(sorted(tuple(r) for r in B.simulate(posts.repartition(n)).collect())) for n in (1, 3)}
