@@ -7,9 +7,13 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import deadletter as D
+from pulsegrid.plans import ingest_plans
 from pulsegrid.plans.base import AS_OF, EV, DAILY, PROFILES, Tables, flat, sql
 from pulsegrid.plans.ingest_plans import bodies
 from pulsegrid.session import checkpoint_dir
+from pulsegrid.streaming import failures as A
+from pulsegrid.streaming.live import enable_state_store
 from pulsegrid.streaming.pipeline import EngagementPipeline
 
 LOADS = 2
@@ -54,6 +58,21 @@ def st3_stream_outcomes(spark, sf):
     return flat(pipe.table("outcomes").groupBy("outcome").agg(F.count("*").alias("items")))
 
 
+def st4_stream_dead_letters(spark, sf):
+    """Failures posted in three parts by time; the stream ends after each part and goes on from its checkpoint."""
+    enable_state_store(spark)
+    base = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    failed = ingest_plans.failures(spark, sf)
+    number = F.regexp_extract("error", r"(\d+)", 1).cast("int")
+    for part in (number <= 3, number.between(4, 9), number > 9):
+        failed.where(part).write.mode("append").parquet(f"{base}/failures")
+        letters = A.live_dead_letters(spark.readStream.schema(failed.schema).parquet(f"{base}/failures"))
+        letters.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start(f"{base}/letters").awaitTermination()
+    done = A.failed_rounds(spark.read.schema(A.OUTPUT).parquet(f"{base}/letters"))
+    return flat(D.dead_letters(ingest_plans.X.events(spark, sf), done), "id", "event_id", "error", "attempts", "failed_at", "payload")
+
+
 def st5_stream_dedup(spark, sf):
     """Four loads: two of new ids, one of nothing but repeats, one of repeats and new ids."""
     t, base = Tables(spark, sf), f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
@@ -70,7 +89,8 @@ def p4_stream_customer_last_event(spark, sf):
     return flat(drained(spark, sf).current_customers(), "id", "last_event_at")
 
 
-QUERIES = {f.__name__: f for f in (st1_stream_profiles, st2_stream_campaign_daily, st3_stream_outcomes, st5_stream_dedup,
+QUERIES = {f.__name__: f for f in (st1_stream_profiles, st2_stream_campaign_daily, st3_stream_outcomes,
+                                   st4_stream_dead_letters, st5_stream_dedup,
                                    p4_stream_customer_last_event)}
 
 # The pipeline processes what it accepts, so no event has failed.
@@ -88,6 +108,7 @@ ORACLES = {
     "st3_stream_outcomes": sql(
         """SELECT 'accepted' AS outcome, count(*) AS items FROM ev
         UNION ALL SELECT 'duplicate', count(*) FROM ev WHERE id // 50 % 10 = 0""", *EV),
+    "st4_stream_dead_letters": ingest_plans.ORACLES["p6_dead_letters"],
     "st5_stream_dedup": sql(
         """SELECT load, outcome, items FROM (
           SELECT 0 AS load, 'accepted' AS outcome, count(*) AS items FROM ev WHERE id // 50 % 4 = 0
