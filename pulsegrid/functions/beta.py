@@ -138,6 +138,6 @@ def _integrated(lo: pd.Series, step: pd.Series, below: pd.Series) -> pd.Series:
 def best_probabilities_in_batches(tables: Column) -> Column:
     """``best_probabilities`` where very many rows have equally many tables: the same integral over Arrow batches.
 
-    Functions over arrays are interpreted node by node, some 12 ms a row of five tables, fifty times what this takes.
+    Functions over arrays are interpreted node by node: a stage took some 12 ms a row of five tables, and 2 ms so.
     """
     return _integrated(tables["lo"], tables["step"], F.flatten(tables["below"]))
