@@ -9,6 +9,7 @@ from pulsegrid import vocab as V
 from pulsegrid.operators import deadletter as D
 from pulsegrid.operators import ingest as I
 from pulsegrid.sources import batches as J
+from pulsegrid.sources import fixture as X
 from pulsegrid.sources import tables as W
 
 NOW = "2026-01-01 00:00:00"
@@ -169,3 +170,15 @@ def test_replay_file(spark, tmp_path):
     (tmp_path / "replay.json").write_text(json.dumps({"events": [BASE, {**BASE, "event_id": "e2"}]}, indent=1))
     items = J.read_replay_file(spark, str(tmp_path / "replay.json"))
     assert [r.event_id for r in I.parse_items(items).orderBy("idx").collect()] == ["evt_01HZTEST", "e2"]
+
+
+def test_keys_longer_than_their_padding_keep_external_ids_of_their_own(spark):
+    keys = spark.createDataFrame([(42,), (10000,), (100000,), (100009,), (100000000,), (1000000001,)], "id long")
+    for ext in (X.customer_ext, X.campaign_ext, X.event_ext):
+        assert keys.select(ext(F.col("id")).alias("x")).distinct().count() == 6
+    cust = keys.select("id", X.customer_ext(F.col("id")).alias("external_id"))
+    items = cust.select(F.col("id").alias("batch_id"), F.lit(0).alias("idx"), F.col("external_id").alias("customer_id"),
+                        F.lit("").alias("campaign_id"), F.lit("").alias("payload"), F.lit(None).cast("string").alias("reject_reason"))
+    got = I.resolve_dimensions(items, cust, spark.createDataFrame([], "id long, external_id string")).collect()
+    assert len(got) == 6 and all(r.customer_key == r.batch_id for r in got)
+    assert "cust_00042" in {r.external_id for r in cust.collect()}
