@@ -12,6 +12,7 @@ from pulsegrid.plans import ingest_plans
 from pulsegrid.plans.base import AS_OF, EV, DAILY, PROFILES, Tables, flat, sql
 from pulsegrid.plans.ingest_plans import bodies
 from pulsegrid.session import checkpoint_dir
+from pulsegrid.sources import batches as J
 from pulsegrid.streaming import failures as A
 from pulsegrid.streaming.live import enable_state_store
 from pulsegrid.streaming.pipeline import EngagementPipeline
@@ -31,15 +32,17 @@ def drained(spark, sf) -> EngagementPipeline:
 
 
 def run_pipeline(spark, sf) -> EngagementPipeline:
-    """Posts every event in files of 50, some files twice, and drains them."""
+    """Posts every event in bodies of 50, some bodies twice, and drains their log."""
     t, base = Tables(spark, sf), f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     posted = bodies(spark, sf, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     again = posted.where(F.col("batch_id") % 10 == 0).withColumn("batch_id", F.col("batch_id") + 1000000000)
-    posted.unionByName(again).drop("part").repartition("batch_id").write.partitionBy("batch_id").text(f"{base}/inbox")
+    parts = max(LOADS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    J.write_batch_log(posted.unionByName(again).repartition(parts, "batch_id"), f"{base}/inbox")
     pipe = EngagementPipeline(spark, f"{base}/tables", t.customers, t.campaigns,
                               clock=lambda: datetime.fromisoformat(AS_OF + "+00:00"))
-    files = spark.read.text(f"{base}/inbox").count() // LOADS + 1
-    pipe.start(f"{base}/inbox", f"{base}/checkpoint", files).awaitTermination()
+    files = len(J.read_batch_log(spark, f"{base}/inbox").inputFiles())
+    stream = J.stream_batch_log(spark, f"{base}/inbox", -(-files // LOADS))
+    pipe.follow(stream, f"{base}/checkpoint").awaitTermination()
     return pipe
 
 

@@ -61,7 +61,10 @@ class EngagementPipeline:
 
     def start(self, source: str, checkpoint: str, files_per_trigger: int = 1000, **trigger):
         """Follow a folder of batch files; by default take what is there and stop."""
-        stream = stream_batch_files(self.spark, source, files_per_trigger)
+        return self.follow(stream_batch_files(self.spark, source, files_per_trigger), checkpoint, **trigger)
+
+    def follow(self, stream: DataFrame, checkpoint: str, **trigger):
+        """Follow any stream of (batch_id, body): batch files, a batch log, a topic."""
         return (
             stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import profiles as P
 from pulsegrid.operators import rollups as R
+from pulsegrid.plans import stream_plans
+from pulsegrid.sources import batches as J
 from pulsegrid.streaming import pipeline
 from pulsegrid.streaming.pipeline import EngagementPipeline
 
@@ -150,3 +152,12 @@ def test_the_stream_keeps_the_customers_recency(spark, tmp_path):
     want = {int(c[1:]): max(x["occurred_at"] for x in items if x["customer_id"] == c) for c in {x["customer_id"] for x in items}}
     assert got[1].startswith("2025-01-01")
     assert {k: v for k, v in got.items() if k != 1 and v} == {k: v.replace("T", " ").rstrip("Z") for k, v in want.items() if k != 1}
+
+
+def test_the_drained_bodies_share_files_and_make_two_loads(spark):
+    pipe = stream_plans.run_pipeline(spark, "/root/testdata/sf0.001")
+    log = J.read_batch_log(spark, pipe.base.removesuffix("tables") + "inbox")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.expr("event_id div 50").alias("b")).distinct()
+    assert log.count() == events.count() + events.where("b % 10 = 0").count()
+    assert len(log.inputFiles()) <= 4
+    assert sorted(r.load for r in pipe.table("outcomes").select("load").distinct().collect()) == [0, 1]
