@@ -182,3 +182,12 @@ def test_keys_longer_than_their_padding_keep_external_ids_of_their_own(spark):
     got = I.resolve_dimensions(items, cust, spark.createDataFrame([], "id long, external_id string")).collect()
     assert len(got) == 6 and all(r.customer_key == r.batch_id for r in got)
     assert "cust_00042" in {r.external_id for r in cust.collect()}
+
+
+def test_a_batch_log_gives_the_items_of_its_bodies(spark, tmp_path):
+    posted = batches(spark, ["{oops", {"events": [BASE, 42]}, {"items": []}, {"events": [BASE]}, {"events": []}])
+    J.write_batch_log(posted.coalesce(1), str(tmp_path / "log"))
+    good, bad = J.read_event_batches(spark, str(tmp_path / "log"), log=True)
+    assert sorted((r.batch_id, r.idx) for r in good.collect()) == [(1, 0), (1, 1), (3, 0)]
+    assert sorted(r.batch_id for r in bad.collect()) == [0, 2]
+    assert len(good.inputFiles()) == 1 and J.read_replay_file(spark, str(tmp_path / "log"), log=True).count() == 3
