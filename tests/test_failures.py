@@ -38,3 +38,21 @@ def test_stream_leaves_the_dead_letters_of_the_batch(spark, tmp_path):
     assert got == sorted((tuple(r) for r in want.collect()), key=str) and len(got) == sum(i // 5 for i in range(12))
     # Started again with nothing new, it changes nothing.
     assert drain() == got
+
+
+def test_events_of_a_bucket_are_counted_together():
+    calls = pd.DataFrame({"id": [7, 9, 7, 7, 9], "us": [3, 1, 1, 2, 2], "error": ["c", "x", "a", "b", None]})
+    left, last = A.bucket_rounds(pd.Series({9: 1, 2**60 + 1: 2}), calls, 3)
+    assert left.to_dict() == {2**60 + 1: 2}
+    assert [(r.id, r.us) for r in last.itertuples()] == [(7, 3), (9, 2)]
+
+
+def test_ids_come_back_from_their_buckets_a_missing_one_too(spark, tmp_path):
+    failed = spark.range(3000).selectExpr("if(id = 0, null, id + 1000000000000) id", "timestamp '2024-01-01' attempted_at", "'e' error")
+    failed.write.parquet(str(tmp_path / "in"))
+    enable_state_store(spark)
+    query = A.live_dead_letters(spark.readStream.schema(failed.schema).parquet(str(tmp_path / "in")), 1).writeStream.format(
+        "parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    got = [r.id for r in spark.read.schema(A.OUTPUT).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted((r.id for r in failed.collect()), key=str)
