@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import deadletter as D
 from pulsegrid.streaming import failures as A
 from pulsegrid.streaming.live import enable_state_store
+from tests.helpers import plan
 
 
 @settings(max_examples=100, deadline=None)
@@ -56,3 +57,14 @@ def test_ids_come_back_from_their_buckets_a_missing_one_too(spark, tmp_path):
     query.awaitTermination()
     got = [r.id for r in spark.read.schema(A.OUTPUT).parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=str) == sorted((r.id for r in failed.collect()), key=str)
+
+
+def test_rounds_are_told_by_one_sort_of_the_failures(spark):
+    rows = [(1, k, None if k == 5 else f"e{k}") for k in range(12)] + [(2, 0, "a"), (2, None, "b"), (None, 3, "c"), (3, 1, "x"), (3, 1, "y")]
+    failed = spark.createDataFrame(rows, "id long, s long, error string").select("id", F.timestamp_seconds("s").alias("attempted_at"), "error")
+    got = {r.id: (r.attempts, r.last_error, r.failed_at and r.failed_at.second, r.status) for r in D.classify_failures(failed, 6).collect()}
+    assert got == {1: (6, "e11", 11, "failed"), 2: (2, "a", 0, "pending"), 3: (2, "y", 1, "pending"), None: (1, "c", 3, "pending")}
+    ends = D.failure_rounds(failed, 6).where("id = 1").orderBy("round").collect()
+    assert [(r["round"], r.attempts, r.last_error, r.status) for r in ends] == [(0, 6, None, "failed"), (1, 6, "e11", "failed")]
+    text = plan(D.classify_failures(failed))
+    assert "Aggregate" not in text and text.count("Sort [") == 1
