@@ -67,6 +67,19 @@ def test_spike_rule(spark, days, want):
     assert K.anomaly_conversion_spike(K.daily_conversions(df)).first().anomaly == want
 
 
+@pytest.mark.parametrize("prior", [[1, 2, 1, 1, 1, 2, 1, 1, 2, 2, 2, 2], [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 1], [2, 2, 2, 3, 2, 3, 3, 3]])
+def test_spike_on_the_limit_does_not_depend_on_row_order(spark, prior):
+    """Mean + 3 deviations is 3 (or 4) exactly; summed in doubles, the deviation falls short in some orders."""
+    limit = max(prior) + 1
+    for last in (limit, limit + 1):
+        df = daily(spark, [(1, "email", "converted", f"2026-09-{i + 1:02d}", n) for i, n in enumerate([*prior, last])]).coalesce(1)
+        days = df.select("campaign_id", "day", df["count"].alias("n"))
+        text = K.anomaly_conversion_spike(days).first().anomaly
+        assert (text is not None) == (last > limit)
+        found = K.campaign_analytics(camps(spark), df, "2026-09-30").where("campaign_id = 1").first().anomalies
+        assert any(a.startswith("conversions spiked") for a in found) == (last > limit)
+
+
 def test_all_anomalies_in_rule_order(spark):
     rows = [(1, "email", "sent", "2024-01-01", 1000), (1, "email", "delivered", "2024-01-01", 900),
             (1, "email", "opened", "2024-01-01", 90), (1, "email", "bounced", "2024-01-01", 80),
