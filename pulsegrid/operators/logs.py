@@ -103,7 +103,8 @@ def apply_log_mode(entries: DataFrame, mode: str) -> DataFrame:
     if mode == "all":
         return entries
     if mode == "errors":
-        return entries.where(F.col("stage").isin(*V.ERROR_MODE_STAGES))
+        # Equalities, not a list: Spark evaluates them on a step's fixed stages and leaves out the steps without any.
+        return entries.where(reduce(Column.__or__, [F.col("stage") == s for s in V.ERROR_MODE_STAGES]))
     return entries.where(F.lit(False))
 
 

@@ -68,3 +68,11 @@ def test_rounds_are_told_by_one_sort_of_the_failures(spark):
     assert [(r["round"], r.attempts, r.last_error, r.status) for r in ends] == [(0, 6, None, "failed"), (1, 6, "e11", "failed")]
     text = plan(D.classify_failures(failed))
     assert "Aggregate" not in text and text.count("Sort [") == 1
+
+
+def test_partitions_grow_with_the_failures(spark, monkeypatch):
+    failed = spark.range(40).select((F.col("id") % 20).alias("id"), F.timestamp_seconds("id").alias("attempted_at"), F.lit("e").alias("error"))
+    monkeypatch.setattr(D, "FAILURES_PER_TASK", 4)
+    got = D.failed_attempts(failed)
+    assert got.rdd.getNumPartitions() == 11
+    assert sorted((r.id, r["round"], r.attempt) for r in got.collect()) == [(i, 0, k) for i in range(20) for k in (1, 2)]

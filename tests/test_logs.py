@@ -54,6 +54,21 @@ def test_modes_and_levels(spark, world):
         L.min_level("loud")
 
 
+def test_errors_mode_leaves_out_the_steps_without_errors(spark, world):
+    """Ingest is the dear step: its items are not read for a log that keeps none of its rows."""
+    e, _, dlq, *_ = world
+    items = spark.range(3).select(
+        F.col("id").alias("row_id"), F.lit("evt").alias("event_id"), F.lit(1).alias("customer_key"), F.lit(1).alias("campaign_key"),
+        F.lit("r").alias("request_id"), F.when(F.col("id") < 2, "accepted").otherwise("rejected").alias("outcome"),
+        F.lit("email").alias("channel"), F.lit("sent").alias("type"))
+    _, _, replays = D.replay_dlq(dlq, e, dlq.select("id"), NOW, "req-9")
+    logs = L.lifecycle_entries(L.ingest_entries(items, F.lit(NOW).cast("timestamp")), L.replay_entries(replays))
+    kept = L.apply_log_mode(logs, "errors")
+    assert logs.count() == 4 and [r.stage for r in kept.collect()] == ["replayed"] * 2
+    assert "Range" in logs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_life_of_one_event(spark, world):
     *_, cust, camp = world
     rows = L.trace_event(all_logs(spark, world), cust, camp, event_id="evt_3").collect()
