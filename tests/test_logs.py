@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import deadletter as D
 from pulsegrid.operators import health as H
 from pulsegrid.operators import logs as L
+from pulsegrid.plans import log_plans
 from tests.helpers import events
 
 NOW = "2024-02-01 00:00:00"
@@ -146,3 +147,9 @@ def test_health(spark, world):
     h = H.health_report(D.replay_dlq(dlq, e, dlq.select("id"), NOW)[1], dlq, out, NOW).first()
     assert (h.pending_events, h.processed_events, h.dlq_size, h.accepted_rate) == (1, 11, 2, 0.75)
     assert h.oldest_pending_seconds == 29 * 86400
+
+
+def test_pages_of_the_newest_logs_derive_them_once(spark):
+    out = log_plans.l3_query_newest_logs(spark, "/root/testdata/sf0.001")
+    assert not any("events.parquet" in f for f in out.inputFiles())
+    assert [(r.page, r.page_pos) for r in out.orderBy("page", "page_pos").collect()] == [(p, i) for p in (1, 2) for i in range(1, 51)]
