@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.functions.beta import best_probabilities, best_probabilities_in_batches, beta_table
+from pulsegrid.functions.beta import best_probabilities, beta_table, summaries_in_batches
 from pulsegrid.operators.dominance import dominance_counts, placed, score_ranges
 from pulsegrid.session import settle
 from pulsegrid.sources.tables import from_day
 
 SALTS = 16
+# A pattern that holds more than one row in so many is salted.
+FREQUENT = 1000
 FEW_AUDIENCES = 64
-PATTERNS_PER_TASK = 200
+PATTERNS_PER_TASK = 2000
 KEY = ["objective", "lookback_days"]
 SUCCESS_TYPES = ("opened", "clicked", "converted")
 EVIDENCE = (
@@ -531,17 +533,18 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
     """Best channel of every customer for every objective.
 
     Customers with the same responses have the same posterior, so the integrals run once per distinct
-    (objective, responses). The answer goes back to the customers over a salted join, because
-    one pattern, above all "no history", can hold most of them.
+    (objective, responses). The answers go back to the customers over a join that is salted for frequent
+    patterns, as one of them, above all "no history", can hold most of the customers.
     """
     check_lookback(lookback_days)
     spark = customers.sparkSession
     asked = spark.createDataFrame([(o, lookback_days) for o in objectives], "objective string, lookback_days int")
     priors = customer_priors(daily, campaigns, asked, as_of)
     recent = target_daily(events, as_of).where(F.col("age") <= lookback_days)
-    seen = recent.groupBy("customer_id").agg(
+    # Written once: the patterns and the answers both read it, and the events cost far more.
+    seen = settle(recent.groupBy("customer_id").agg(
         *[_by_channel(t).alias(t) for t in ("delivered", *SUCCESS_TYPES)]
-    )
+    ), "seen")
     zeros = F.array(*[F.lit(0).cast("long") for _ in V.CHANNELS])
     success = S.success_event(F.col("objective"))
     keyed = (
@@ -557,24 +560,19 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
         )
         .withColumn("n", F.zip_with("s", "n", lambda s, n: F.greatest(s, n)))
     )
-    patterns = settle(keyed.select("objective", "s", "n").distinct(), "patterns")
-    # One row per objective, so at most five.
-    vectors = patterns.join(F.broadcast(priors), "objective").select(
-        "objective", "s", "n",
+    key = ["objective", "s", "n"]
+    patterns = settle(keyed.groupBy(*key).agg(F.count("*").alias("rows")), "patterns")
+    size = patterns.agg(F.count("*").alias("patterns"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    patterns = patterns.select(*key, F.when(F.col("rows") * FREQUENT > size.rows, SALTS).otherwise(1).alias("salts"))
+    # One row per objective, so at most five. Few bytes but much work per row: partitions by the number of
+    # patterns, which Spark does not merge.
+    vectors = patterns.repartition(size.patterns // PATTERNS_PER_TASK + 1, *key).join(F.broadcast(priors), "objective").select(
+        *key, "salts",
         F.zip_with("pa", "s", lambda p, s: p + s).alias("a"),
         F.zip_with("pb", F.zip_with("n", "s", lambda n, s: n - s), lambda p, f: p + f).alias("b"),
     )
-    channels = vectors.select("objective", "s", "n", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "_z")).select(
-        "objective", "s", "n", "pos", "_z.*")
-    # Patterns share their channels' posteriors: each different one is integrated once.
-    tables = channels.select("a", "b").distinct().withColumn("_t", beta_table(F.col("a"), F.col("b"), *V.INTERVAL))
-    # Few bytes but much work per row: partitions by the number of patterns, which Spark does not merge.
-    parts = patterns.count() // PATTERNS_PER_TASK + 1
-    vectors = channels.join(tables, ["a", "b"]).repartition(parts, "objective", "s", "n").groupBy("objective", "s", "n").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "a", "b", "_t"))).alias("_v"))
-    vectors = vectors.select("objective", "s", "n", F.col("_v.a").alias("a"), F.col("_v.b").alias("b"),
-                             F.col("_v._t.lower").alias("lower"), F.col("_v._t.upper").alias("upper"),
-                             best_probabilities_in_batches(F.col("_v._t")).alias("prob_best"))
+    vectors = vectors.withColumn("_z", summaries_in_batches(F.col("a"), F.col("b"), *V.INTERVAL)).select(
+        *key, "salts", "a", "b", "_z.*")
     names = F.array(*[F.lit(c) for c in V.CHANNELS])
 
     def finish(p: Column, i: Column) -> Column:
@@ -585,14 +583,17 @@ def predict_all_customers(customers: DataFrame, events: DataFrame, daily: DataFr
             S.round4(F.get(F.col("upper"), i)).alias("upper"),
         )
 
-    ranked = vectors.withColumn("_r", F.array_sort(F.transform("prob_best", finish))).select("objective", "s", "n", "_r")
+    ranked = vectors.withColumn("_r", F.array_sort(F.transform("prob_best", finish))).select(*key, "salts", "_r")
     answer = advice_columns(F.col("_r"), F.lit("customer"), S.success_event(F.col("objective")))
     best = F.get(F.col("_r"), F.lit(0))
     answers = ranked.select(
-        "objective", "s", "n", *[c.alias(k) for k, c in answer.items()],
+        *key, *[c.alias(k) for k, c in answer.items()],
         (-best["o1"]).alias("predicted_rate"), best["prob_best"].alias("prob_best"),
         best["lower"].alias("lower"), best["upper"].alias("upper"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"),
     )
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("customer_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(answers, ["objective", "s", "n", "_salt"]).drop("_salt", "s", "n")
+    # Fewer than FREQUENT rows.
+    frequent = patterns.where(F.col("salts") > 1)
+    salted = keyed.join(F.broadcast(frequent), key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("customer_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.join(answers, [*key, "_salt"]).drop("_salt", "salts", "s", "n")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.functions.beta import best_probabilities, best_probabilities_in_batches, beta_table
+from pulsegrid.functions.beta import best_probabilities, best_probabilities_in_batches, beta_table, summaries_in_batches
 from pulsegrid.operators import dominance as N
 from pulsegrid.operators import predict as B
 from pulsegrid.plans.base import AS_OF, Tables
+from pulsegrid.session import settle
 from pulsegrid.sources import fixture as X
 from tests.helpers import plan
 
@@ -206,6 +207,16 @@ def test_batches_integrate_as_columns_do(spark):
     assert len(set(same[250])) == 1 and same[251][0] == same[251][1] and same[251][2] == same[251][3]
 
 
+def test_summaries_of_parameters_are_those_of_tables(spark):
+    rng = random.Random(12)
+    rows = [(n, [10 ** rng.uniform(-1, 5) for _ in range(5)], [10 ** rng.uniform(-1, 5) for _ in range(5)]) for n in range(150)]
+    df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>")
+    tables = df.withColumn("t", F.zip_with("a", "b", lambda a, b: beta_table(a, b, *V.INTERVAL)))
+    for r in tables.select(B.summary(F.col("t")).alias("x"), summaries_in_batches(F.col("a"), F.col("b"), *V.INTERVAL).alias("y")).collect():
+        for name in ("lower", "upper", "prob_best"):
+            assert [x[name] for x in r.x] == pytest.approx(list(r.y[name]), abs=1e-9)
+
+
 def few_and_many(spark, requests, limit, monkeypatch):
     t = Tables(spark, SF)
     monkeypatch.setattr(B, "FEW_AUDIENCES", limit)
@@ -276,6 +287,25 @@ def test_all_customers_equal_single_requests(spark, asked):
         assert (e.predicted_rate, e.prob_best, e.lower, e.upper) == (r.predicted_rate, r.prob_best, r.lower, r.upper)
 
 
+def test_all_customers_shuffle_no_tables_and_read_events_once(spark, asked, monkeypatch):
+    """No Beta table leaves its batch, the last join reads stored counts, and only frequent patterns are repeated."""
+    t, _ = asked
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = settle(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(B, "settle", keep)
+    out = B.predict_all_customers(t.customers, t.events, t.daily, t.campaigns, AS_OF)
+    text = plan(out)
+    assert "below" not in text and "SortMergeJoin [a#" not in text
+    reads = [line for line in text.splitlines() if "Scan parquet" in line or "FileScan parquet" in line]
+    assert sum("events.parquet" in line for line in reads) <= 1  # the platform's rollup only
+    rows = kept["patterns"].agg(F.sum("rows")).first()[0]
+    assert rows == out.count() == 5 * t.customers.count()
+
+
 def test_unknown_customer_has_no_rows(spark, asked):
     t, reqs = asked
     lost = reqs.limit(1).withColumns({"customer_id": F.lit("nobody"), "audience": F.lit(None).cast(
