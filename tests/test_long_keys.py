@@ -11,6 +11,7 @@ from tests.check import NAMES, compare
 SF = pathlib.Path("/root/testdata/sf0.001")
 NAMES_HERE = (
     "i5_dedup_events",
+    "i6_ingest_summary",
 )
 
 
