@@ -12,6 +12,7 @@ SF = pathlib.Path("/root/testdata/sf0.001")
 NAMES_HERE = (
     "i5_dedup_events",
     "i6_ingest_summary",
+    "l11_trace_event",
 )
 
 
