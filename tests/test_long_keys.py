@@ -13,6 +13,7 @@ NAMES_HERE = (
     "i5_dedup_events",
     "i6_ingest_summary",
     "l11_trace_event",
+    "l1_lifecycle_entries",
 )
 
 
