@@ -14,6 +14,7 @@ NAMES_HERE = (
     "i6_ingest_summary",
     "l11_trace_event",
     "l1_lifecycle_entries",
+    "i8_read_replay_file",
 )
 
 
