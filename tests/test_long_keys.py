@@ -15,6 +15,7 @@ NAMES_HERE = (
     "l11_trace_event",
     "l1_lifecycle_entries",
     "i8_read_replay_file",
+    "l11_trace_event_stored",
 )
 
 
