@@ -16,6 +16,7 @@ NAMES_HERE = (
     "l1_lifecycle_entries",
     "i8_read_replay_file",
     "l11_trace_event_stored",
+    "l5_prune",
 )
 
 
