@@ -17,6 +17,7 @@ NAMES_HERE = (
     "i8_read_replay_file",
     "l11_trace_event_stored",
     "l5_prune",
+    "l5_prune_stored",
 )
 
 
