@@ -18,6 +18,7 @@ NAMES_HERE = (
     "l11_trace_event_stored",
     "l5_prune",
     "l5_prune_stored",
+    "st2_stream_campaign_daily",
 )
 
 
