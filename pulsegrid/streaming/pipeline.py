@@ -157,11 +157,15 @@ class EngagementPipeline:
         items = I.parse_items(split_batches(batch))
         if "request_id" not in items.columns:
             items = items.withColumn("request_id", F.concat(F.lit("batch-"), F.hex("batch_id")))
-        outcomes = I.ingest(items, self.customers, self.campaigns, self._stored_ids(load, items), now)
-        # Written once and read back: later steps see the same ids, and a lost executor only
-        # re-reads files.
-        outcomes = outcomes.withColumn("id", _row_ids(load))
-        self._write(outcomes, "outcomes", load)
+        # Kept for the three reads that follow: the asked ids, the claims and the rows. Parsing costs most of a load.
+        items = I.resolve_dimensions(I.validate_events(items, now), self.customers, self.campaigns).persist()
+        try:
+            # Written once and read back: later steps see the same ids, and a lost executor only
+            # re-reads files.
+            outcomes = I.dedup_events(items, self._stored_ids(load, items)).withColumn("id", _row_ids(load))
+            self._write(outcomes, "outcomes", load)
+        finally:
+            items.unpersist()
         mine = self._written("outcomes", load, outcomes)
         events = I.accepted_events(mine, now, "id").withColumns(
             {"status": F.lit("processed"), "processed_at": now}

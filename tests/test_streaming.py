@@ -10,6 +10,7 @@ from pulsegrid.plans import stream_plans
 from pulsegrid.sources import batches as J
 from pulsegrid.streaming import pipeline
 from pulsegrid.streaming.pipeline import EngagementPipeline
+from tests.helpers import plan
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -161,3 +162,28 @@ def test_the_drained_bodies_share_files_and_make_two_loads(spark):
     assert log.count() == events.count() + events.where("b % 10 = 0").count()
     assert len(log.inputFiles()) <= 4
     assert sorted(r.load for r in pipe.table("outcomes").select("load").distinct().collect()) == [0, 1]
+
+
+def test_items_of_a_load_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen, parse = spark.sparkContext.accumulator(0), pipeline.I.parse_items
+
+    @F.udf("boolean")
+    def count(_):
+        seen.add(1)
+        return True
+
+    monkeypatch.setattr(pipeline.I, "parse_items", lambda items: parse(items).where(count("event_id")))
+    bodies = [(i, json.dumps({"events": posted()[i::4]})) for i in range(4)]
+    pipe = EngagementPipeline(spark, str(tmp_path / "t"), *dims(spark), clock=clock)
+    for load in range(2):
+        pipe.process(spark.createDataFrame(bodies, J.BATCH_LOG), load)
+    assert seen.value == 2 * 120
+    counts = {(r.load, r.outcome): r["count"] for r in pipe.table("outcomes").groupBy("load", "outcome").count().collect()}
+    assert counts == {(0, "accepted"): 120, (1, "duplicate"): 120}
+
+
+def test_a_body_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, '{"events":[1,2]}'), (2, '{"events":[]}'), (3, "{oops"), (4, None)], J.BATCH_LOG)
+    items = J.split_batches(rows)
+    assert [(r.batch_id, r.idx) for r in items.orderBy("idx").collect()] == [(1, 0), (1, 1)]
+    assert plan(items).count("parseJson") == 1
